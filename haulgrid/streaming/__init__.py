@@ -1,0 +1 @@
+"""Nothing here: every data set this library works on is a finite table, so there is no streaming query."""
