@@ -245,7 +245,7 @@ WITH {PTS}, {EDGES}, {hit_sql('hit', 'pts', 'id, x, y')}
 SELECT n_nationkey AS area, n_name, id, x, y FROM nation LEFT JOIN hit ON n_nationkey = area
 """)
 def sjoin_contains(spark, d):
-    return P.spatial_join(areas(spark, d), points(spark, d), "rings", "area", ["id"], CELL)
+    return P.spatial_join(areas(spark, d), points(spark, d), "rings", "area", CELL)
 
 
 @query("sjoin_points_in_area", f"""
@@ -253,7 +253,7 @@ WITH {PTS}, {EDGES}, {hit_sql('hit', 'pts', 'id')}
 SELECT id, area, n_name FROM hit JOIN nation ON n_nationkey = area
 """)
 def sjoin_points_in_area(spark, d):
-    return P.points_in_area(points(spark, d), areas(spark, d), "rings", ["id"], CELL).select("id", "area", "n_name")
+    return P.points_in_area(points(spark, d), areas(spark, d), "rings", CELL).select("id", "area", "n_name")
 
 
 @query("sjoin_within_distance", f"""
@@ -261,7 +261,7 @@ WITH {PTS}, {SEGS}
 SELECT DISTINCT id, x, y FROM pts, segs WHERE {dist_sql('x', 'y')} <= 5
 """)
 def sjoin_within_distance(spark, d):
-    return P.within_distance(points(spark, d), P.segments(lines(spark, d), "line", []), 5.0, ["id"])
+    return P.within_distance(points(spark, d), P.segments(lines(spark, d), "line", []), 5.0)
 
 
 @query("sjoin_nearest", f"""

@@ -80,10 +80,10 @@ profile AS (SELECT nk, area, code, shortname, CAST(yr AS VARCHAR) AS yr, v IS NU
 
 @query("job_gdp_profile", f"""
 WITH {GDP} SELECT CAST(nk AS VARCHAR) AS "GeoFIPS", area, code AS "IndustryClassification", shortname, yr AS "Year",
-  missing AS "MissingData", round(v, 2) AS "Thousands", freight AS "FreightRel" FROM profile
+  missing AS "MissingData", round(v, 4) AS "Thousands", freight AS "FreightRel" FROM profile
 """)
 def job_gdp_profile(spark, d):
-    return rounded(gdp_profile(spark, d), 2, "Thousands").select(
+    return rounded(gdp_profile(spark, d), 4, "Thousands").select(
         "GeoFIPS", "area", "IndustryClassification", "shortname", "Year", "MissingData", "Thousands", "FreightRel"
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +26,3 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder for files written and read back: in the cluster's shared folder where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = current.get() if current.isDefined() else None
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"haulgrid-{tag}-") + "/out"
-    return f"{shared}/haulgrid-{tag}-{uuid.uuid4().hex}"

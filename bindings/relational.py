@@ -90,7 +90,7 @@ def project_rename(spark, d):
 
 @query("derive_chain", """
 SELECT l_orderkey, round(net, 6) AS net, round(net * (1 + l_tax), 6) AS gross,
-       round(net * (1 + l_tax) / (l_quantity * 7), 6) AS unit_gross
+       round(net * (1 + l_tax) / (l_quantity * 7 + CAST(0.1 AS DOUBLE)), 6) AS unit_gross
 FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem)
 """)
 def derive_chain(spark, d):
@@ -98,7 +98,7 @@ def derive_chain(spark, d):
     chained = (
         li.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
         .withColumn("gross", F.col("net") * (1 + F.col("l_tax")))
-        .withColumn("unit_gross", F.col("gross") / (F.col("l_quantity") * 7))
+        .withColumn("unit_gross", F.col("gross") / (F.col("l_quantity") * 7 + 0.1))
     )
     return R.across(chained, ["net", "gross", "unit_gross"], lambda c: F.round(c, 6)).select(
         "l_orderkey", "net", "gross", "unit_gross"

@@ -2,18 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from haulgrid.session import new_path
 from haulgrid.sources import geojson as G
 from haulgrid.sources import payloads as P
 from haulgrid.sources import tables as S
 
-from .registry import query, scratch, table
+from .registry import query, table
 
 
 @query("scan_csv_typed", """
 SELECT lpad(CAST(c_custkey AS VARCHAR), 15, '0') AS code, c_acctbal AS amount FROM customer
 """)
 def scan_csv_typed(spark, d):
-    out = scratch(spark, "csv")
+    out = new_path(spark, "csv")
     table(spark, d, "customer").select(
         F.lpad(F.col("c_custkey").cast("string"), 15, "0").alias("code"), F.col("c_acctbal").alias("amount")
     ).write.option("header", True).option("compression", "gzip").csv(out)
@@ -25,7 +26,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS a, NULL AS b FROM ord
 UNION ALL SELECT CAST(event_id AS VARCHAR), NULL, event_type FROM events
 """)
 def scan_glob_append(spark, d):
-    out = scratch(spark, "glob")
+    out = new_path(spark, "glob")
     table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("a")).write.option(
         "header", True).csv(f"{out}/AccA")
     table(spark, d, "events").select(F.col("event_type").alias("b"), F.col("event_id").alias("id")).write.option(
@@ -38,7 +39,7 @@ SELECT 'nation' AS layer, CAST(n_nationkey AS BIGINT) AS key, n_name AS name FRO
 UNION ALL SELECT 'customer', c_custkey, c_name FROM customer
 """)
 def scan_layers_tagged(spark, d):
-    out = scratch(spark, "layers")
+    out = new_path(spark, "layers")
     table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"),
                                      F.lit("nation").alias("kind")).write.parquet(f"{out}/nation")
     table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
@@ -53,7 +54,7 @@ SELECT c_custkey AS id, c_name AS name, CAST((c_custkey * 37) % 1000 AS DOUBLE)
 FROM customer
 """)
 def geojson_parse(spark, d):
-    out = scratch(spark, "features")
+    out = new_path(spark, "features")
     c = table(spark, d, "customer")
     text = F.format_string(
         '{"type":"Feature","geometry":{"type":"Point","coordinates":[%d,%d,5.5]},"properties":{"id":%d,"name":"%s"}}',
@@ -69,7 +70,7 @@ SELECT s_suppkey AS id, s_name AS name, CAST((s_suppkey * 37) % 1000 AS DOUBLE)
 FROM supplier
 """)
 def geojson_emit(spark, d):
-    out = scratch(spark, "emit")
+    out = new_path(spark, "emit")
     k = F.col("s_suppkey")
 
     def vertex(key):
@@ -88,7 +89,7 @@ def geojson_emit(spark, d):
 SELECT o_orderpriority AS p, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1
 """)
 def sink_csv_roundtrip(spark, d):
-    out = scratch(spark, "sink")
+    out = new_path(spark, "sink")
     t = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
     )
@@ -100,7 +101,7 @@ def sink_csv_roundtrip(spark, d):
 SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
 """)
 def checkpoint_roundtrip(spark, d):
-    out = scratch(spark, "tables")
+    out = new_path(spark, "tables")
     S.save_tables({"nation": table(spark, d, "nation"), "region": table(spark, d, "region")}, out)
     t = S.load_tables(spark, out, ["nation", "region"])
     return t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, ratio, strict_sum
 from .ranking import group_value_ranks, value_ranks
+from .skew import beside
 
 
 def sum_cols(cols: Sequence[str]) -> Column:
@@ -125,11 +126,13 @@ def designated(condition: Column, c: Column | str) -> Column:
 def histogram(df: DataFrame, col: str, width: float | None = None, bins: int | None = None) -> DataFrame:
     """Counts in bins centred on multiples of the width; with ``bins`` the width follows from the range."""
     x = F.col(col)
+    kept = df.filter(x.isNotNull())
     if width is not None:
         w = F.lit(float(width))
     else:
-        w = df.agg(((F.max(x) - F.min(x)) / (bins - 1)).alias("w")).scalar()
-    binned = df.filter(x.isNotNull()).select((F.floor(x / w + 0.5) * w).alias("bin_center"))
+        kept = beside(kept, df.agg(((F.max(x) - F.min(x)) / (bins - 1)).alias("__w")))
+        w = F.col("__w")
+    binned = kept.select((F.floor(x / w + 0.5) * w).alias("bin_center"))
     return binned.groupBy("bin_center").agg(F.count(F.lit(1)).alias("n"))
 
 

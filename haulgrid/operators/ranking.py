@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, ratio
 from ..session import shuffle_partitions
-from .skew import attach_by_key
+from .skew import attach_by_key, beside
 
 SAMPLE_PER_BUCKET = 20
 
@@ -75,8 +75,7 @@ def _ranks(counted: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
 def value_ranks(df: DataFrame, col: str) -> DataFrame:
     """Each known value once: ``n`` rows hold it, ``below`` rows are smaller, ``total`` rows are known."""
     counted = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("t")).scalar()
-    return _ranks(counted, F.col(col), [col]).withColumn("total", total)
+    return beside(_ranks(counted, F.col(col), [col]), counted.agg(F.sum("n").alias("total")))
 
 
 def group_value_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
@@ -143,7 +142,7 @@ def share_within(df: DataFrame, by: Sequence[str], col: str, out: str = "share")
 def share_of_total(df: DataFrame, col: str, out: str = "share", where: Column | None = None) -> DataFrame:
     """Value over the table total, or over the value of the one row that meets ``where``."""
     total = F.sum(col) if where is None else F.max(F.when(where, F.col(col)))
-    return df.withColumn(out, ratio(F.col(col), df.agg(total.alias("t")).scalar()))
+    return beside(df, df.agg(total.alias("__total"))).withColumn(out, ratio(col, "__total")).drop("__total")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:

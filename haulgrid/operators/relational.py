@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.nulls import as_col, number
 from .aggregates import quantile
+from .skew import beside
 
 log = logging.getLogger(__name__)
 
@@ -27,7 +28,7 @@ def split_null(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
 
 def filter_above_quantile(df: DataFrame, col: str, p: float) -> DataFrame:
     """Rows whose value is above the exact p-quantile of the whole table."""
-    return df.filter(F.col(col) > quantile(df, col, p).scalar())
+    return df.join(F.broadcast(quantile(df, col, p, "__q")), F.col(col) > F.col("__q")).drop("__q")
 
 
 # ---- projections ---------------------------------------------------------------------------------------
@@ -126,9 +127,10 @@ def join_suffix(
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every column of a one-row table beside each row; more than one row is an error at run time."""
-    value = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
-    return df.withColumns({c: value.getField(c) for c in one_row.columns})
+    """Every column of a one-row table beside each row; any other number of rows is an error at run time."""
+    once = one_row.agg(F.count(F.lit(1)).alias("__rows"), *[F.any_value(c).alias(c) for c in one_row.columns])
+    checked = once.filter(F.assert_true(F.col("__rows") == 1, "attach_scalar needs exactly one row").isNull())
+    return beside(df, checked.drop("__rows"))
 
 
 def attach_labels(df: DataFrame, dim: DataFrame, key: str | Mapping[str, str]) -> DataFrame:

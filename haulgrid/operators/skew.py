@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1e-3
-# a key with fewer rows is not worth splitting, whatever its share
-MIN_SPLIT_ROWS = 100_000
+
+
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of an ungrouped aggregate, which is always one row, next to every row."""
+    return df.join(F.broadcast(one_row), F.lit(True))
 
 
 def _on(keys: Sequence[str], right_prefix: str):
@@ -31,11 +34,11 @@ def attach_by_key(
     """
     keys = list(keys)
     values = [c for c in stats.columns if c not in keys and c != count_col]
-    total = stats.agg(F.sum(count_col).alias("t")).scalar()
-    tagged = stats.select(
+    total = stats.agg(F.sum(count_col).alias("__total"))
+    tagged = beside(stats, total).select(
         *[F.col(k).alias("__s_" + k) for k in keys],
         *values,
-        (F.col(count_col) >= total * F.lit(hot_share)).alias("__hot"),
+        (F.col(count_col) >= F.col("__total") * hot_share).alias("__hot"),
     )
     right_keys = ["__s_" + k for k in keys]
     hot = F.broadcast(tagged.filter("__hot").drop("__hot"))
@@ -48,47 +51,3 @@ def attach_by_key(
         .drop(*right_keys)
     )
     return hot_rows.unionByName(cold_rows)
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    left_id: Sequence[str],
-    how: str = "inner",
-    condition: Column | None = None,
-    hot_share: float = HOT_SHARE,
-) -> DataFrame:
-    """Equi-join on shared ``keys`` (plus a condition on both sides' columns) for a skewed ``left``.
-
-    A key with share s of the left rows is split into ceil(s / hot_share) parts by a hash of ``left_id``
-    and its right rows are repeated once per part. At most ``1 / hot_share`` keys are split, so the table
-    of split keys can be broadcast. ``how`` is inner, left_semi or left_anti.
-    """
-    keys = list(keys)
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("t")).scalar()
-    splits = F.broadcast(
-        counts.withColumn("__parts", F.ceil(F.col("__n") / (total * F.lit(hot_share))).cast("int"))
-        .filter((F.col("__parts") > 1) & (F.col("__n") >= MIN_SPLIT_ROWS))
-        .select(*keys, "__parts")
-    )
-    parts = F.coalesce(F.col("__parts"), F.lit(1))
-    salted_left = (
-        left.join(splits, keys, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*left_id), parts).cast("int"))
-        .drop("__parts")
-    )
-    salted_right = (
-        right.join(splits, keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("__parts")
-    )
-    all_keys = [*keys, "__salt"]
-    renamed = salted_right.withColumnsRenamed({k: "__r_" + k for k in all_keys})
-    on = F.lit(True)
-    for k in all_keys:
-        on = on & (F.col(k) == F.col("__r_" + k))
-    if condition is not None:
-        on = on & condition
-    return salted_left.join(renamed, on, how).drop("__salt", *["__r_" + k for k in all_keys])

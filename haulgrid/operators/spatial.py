@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .skew import salted_join
+from ..session import materialize
 
 ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -131,15 +131,27 @@ def _in_cell_polygon(x: Column, y: Column) -> Column:
 # ---- joins ---------------------------------------------------------------------------------------------
 
 
+def cell_join(left: DataFrame, index: DataFrame, how: str = "inner", condition: Column | None = None) -> DataFrame:
+    """Equi-join on the grid cell plus an exact test.
+
+    A crowded cell is a skewed shuffle partition of ``left``, which adaptive execution splits over tasks by
+    map output, whatever the number of rows with that one key; a small index is broadcast at run time.
+    """
+    index = index.withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
+    on = (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy"))
+    joined = left.join(index, on if condition is None else on & condition, how)
+    return joined.drop("cx", "cy", "__cx", "__cy")
+
+
 def points_in_area(
-    pts: DataFrame, polys: DataFrame, rings: str, point_id: Sequence[str], cell: float, x: str = "x", y: str = "y"
+    pts: DataFrame, polys: DataFrame, rings: str, cell: float, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Points inside an area with the area's attributes; a point in two areas comes out twice."""
     keep = [c for c in polys.columns if c != rings]
     placed = point_cell(pts.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, cell)
     index = polygon_cells(polys, rings, keep, cell)
-    hit = salted_join(placed, index, ["cx", "cy"], point_id, "inner", _in_cell_polygon(F.col(x), F.col(y)))
-    return hit.drop("cx", "cy", "west", "south", "below_corner", "near")
+    hit = cell_join(placed, index, "inner", _in_cell_polygon(F.col(x), F.col(y)))
+    return hit.drop("west", "south", "below_corner", "near")
 
 
 def spatial_join(
@@ -147,42 +159,40 @@ def spatial_join(
     pts: DataFrame,
     rings: str,
     poly_id: str,
-    point_id: Sequence[str],
     cell: float,
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
     """Every area with the points inside it; an area without points comes out once with NULLs."""
     attributes = [c for c in polys.columns if c != rings]
-    matched = points_in_area(pts, polys, rings, point_id, cell, x, y).select(*attributes, *pts.columns)
+    matched = points_in_area(pts, polys, rings, cell, x, y).select(*attributes, *pts.columns)
     found = matched.select(F.col(poly_id).alias("__found")).distinct()
     empty = polys.select(*attributes).join(found, F.col(poly_id) == F.col("__found"), "left_anti")
     return matched.unionByName(empty, allowMissingColumns=True)
 
 
-def _near_lines(pts: DataFrame, segs: DataFrame, d: float, point_id: Sequence[str], how: str, cell: float | None,
-                x: str, y: str) -> DataFrame:
+def _near_lines(
+    pts: DataFrame, segs: DataFrame, d: float, how: str, cell: float | None, x: str, y: str
+) -> DataFrame:
     cell = cell or 4.0 * d
     placed = point_cell(pts, x, y, cell)
     index = segment_cells(segs.select(*ENDS), cell, pad=d)
     close = G.point_segment(F.col(x), F.col(y), *[F.col(c) for c in ENDS]) <= d
-    return salted_join(placed, index, ["cx", "cy"], point_id, how, close).drop("cx", "cy")
+    return cell_join(placed, index, how, close)
 
 
 def within_distance(
-    pts: DataFrame, segs: DataFrame, d: float, point_id: Sequence[str], cell: float | None = None,
-    x: str = "x", y: str = "y",
+    pts: DataFrame, segs: DataFrame, d: float, cell: float | None = None, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Points at most ``d`` from any segment. The segments stay a table: no merged shape or buffer is made."""
-    return _near_lines(pts, segs, d, point_id, "left_semi", cell, x, y)
+    return _near_lines(pts, segs, d, "left_semi", cell, x, y)
 
 
 def beyond_distance(
-    pts: DataFrame, segs: DataFrame, d: float, point_id: Sequence[str], cell: float | None = None,
-    x: str = "x", y: str = "y",
+    pts: DataFrame, segs: DataFrame, d: float, cell: float | None = None, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Points more than ``d`` from every segment."""
-    return _near_lines(pts, segs, d, point_id, "left_anti", cell, x, y)
+    return _near_lines(pts, segs, d, "left_anti", cell, x, y)
 
 
 def point_segments(df: DataFrame, keep: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -199,17 +209,6 @@ CELL_CAP = 1000
 MAX_LEVELS = 12
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut a long lineage where the session has a shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if folder is None:
-            return df
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _grid(right: DataFrame) -> tuple[float, float, float, int] | None:
     """Origin, extent and depth of the cell tree over the right side."""
     x1, y1, x2, y2 = (F.col(c) for c in ENDS)
@@ -248,15 +247,15 @@ def nearest_join(
     left_id = list(left_id)
     ids = left.select(*left_id).distinct()
     # equal geometry: only the smallest id can win
-    unique = right.groupBy(*ENDS).agg(F.min(right_id).alias("__rid"))
-    grid = _grid(right)
+    unique = materialize(right.groupBy(*ENDS).agg(F.min(right_id).alias("__rid")), "nearest-right")
+    grid = _grid(unique)
     if grid is None:
         rid_type = right.schema[right_id].dataType
         return ids.select("*", F.lit(None).cast(rid_type).alias(right_id), F.lit(None).cast("double").alias(distance))
     x0, y0, extent, levels = grid
     leaf = extent / FAN**levels
     leaves = segment_cells(unique, leaf, 0.0, x0, y0)
-    tables = {levels: leaves.select("cx", "cy").distinct()}
+    tables = {levels: materialize(leaves.select("cx", "cy").distinct(), "nearest-cells")}
     for k in range(levels - 1, 0, -1):
         tables[k] = tables[k + 1].select(
             F.floor(F.col("cx") / FAN).alias("cx"), F.floor(F.col("cy") / FAN).alias("cy")
@@ -276,8 +275,6 @@ def nearest_join(
         )
         if k <= SMALL_LEVELS:
             children = F.broadcast(children)
-        else:
-            frontier = _cut(frontier)
         met = frontier.join(children, (F.col("cx") == F.col("__px")) & (F.col("cy") == F.col("__py")))
         w, s = x0 + F.col("__nx") * size, y0 + F.col("__ny") * size
         ax, ay, bx, by = (F.col(lx[c]) for c in ENDS)
@@ -291,7 +288,7 @@ def nearest_join(
             .select(*seg_key, *lx.values(), F.col("__nx").alias("cx"), F.col("__ny").alias("cy"))
         )
 
-    pairs = salted_join(frontier, leaves, ["cx", "cy"], [*seg_key, "cx", "cy"])
+    pairs = cell_join(frontier, leaves)
     dist = G.segment_segment([F.col(c) for c in lx.values()], [F.col(c) for c in ENDS])
     best = (
         pairs.select(*left_id, dist.alias("__d"), "__rid")
@@ -355,7 +352,7 @@ def lines_within(
     pts = parts.select(line_id, "part", F.posexplode(ends).alias("vertex", "p")).select(
         line_id, "part", "vertex", "p.x", "p.y"
     )
-    outside = beyond_distance(pts, network, d, [line_id, "part", "vertex"]).select(F.col(line_id).alias("__out")).distinct()
+    outside = beyond_distance(pts, network, d).select(F.col(line_id).alias("__out")).distinct()
     return df.join(outside, F.col(line_id) == F.col("__out"), "left_anti")
 
 
@@ -373,7 +370,7 @@ def clip_lines(
     side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
     end1, end2 = G.orient(*a, b[0], b[1]), G.orient(*a, b[2], b[3])
     meets = ((side1 > 0) != (side2 > 0)) & (end1 * end2 <= 0)
-    hits = salted_join(segment_cells(segs, cell), edge_cells, ["cx", "cy"], [line_id, "seg"], "inner", meets)
+    hits = cell_join(segment_cells(segs, cell), edge_cells, "inner", meets)
     cuts = hits.groupBy(F.col(line_id).alias("__k"), F.col("seg").alias("__s")).agg(
         F.array_sort(F.collect_set(side1 / (side1 - side2))).alias("__cuts")
     )
@@ -395,7 +392,7 @@ def clip_lines(
         (x1 + t1 * (x2 - x1)).alias("x2"), (y1 + t1 * (y2 - y1)).alias("y2"),
         (x1 + (t0 + t1) / 2 * (x2 - x1)).alias("mx"), (y1 + (t0 + t1) / 2 * (y2 - y1)).alias("my"),
     )
-    inside = points_in_area(cut, polys.select(poly_id, rings), rings, [line_id, "seg", "t0"], cell, "mx", "my")
+    inside = points_in_area(cut, polys.select(poly_id, rings), rings, cell, "mx", "my")
     along = Window.partitionBy(line_id, poly_id).orderBy("seg", "t0")
     follows = ((F.col("seg") == F.lag("seg").over(along)) & (F.col("t0") == F.lag("t1").over(along))) | (
         (F.col("seg") == F.lag("seg").over(along) + 1) & (F.col("t0") == 0) & (F.lag("t1").over(along) == 1)

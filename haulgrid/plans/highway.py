@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions.nulls import number, ratio
 from ..functions.scalar import wrap_degrees
 from ..operators import spatial as P
-from ..operators.aggregates import quantile, weighted_mean
+from ..operators.aggregates import weighted_mean
 from ..operators.ranking import percent_rank_global
 from ..operators.relational import append, clean_names, filter_above_quantile, left_on, natural_join
 from ..sources.payloads import number_batches, payloads
@@ -63,7 +63,7 @@ def job_segment_delay(
 
 def job_bottlenecks(delay: DataFrame, max_flow: float = 0.8) -> DataFrame:
     """Busy zones (volume above the median) that flow badly, worst first."""
-    busy = delay.filter(F.col("stlIndex") > quantile(delay, "stlIndex", 0.5).scalar())
+    busy = filter_above_quantile(delay, "stlIndex", 0.5)
     return (
         busy.filter(F.col("FFF") < max_flow).select("zone_id", "stlIndex", "avgSpd", "FFF", "name", "lengthFeet")
         .orderBy("FFF", "zone_id")
@@ -97,7 +97,7 @@ def freight_network(
 def job_network_lines(lines: DataFrame, network: DataFrame, d: float = 100.0, key: str = "zone_name") -> DataFrame:
     """Lines all of whose vertices lie within ``d`` of the network; rows sharing a key pass together."""
     pts = P.vertices(lines, "line", [key]).distinct()
-    off = P.beyond_distance(pts, network, d, [key, "vertex", "x", "y"]).select(F.col(key).alias("__off")).distinct()
+    off = P.beyond_distance(pts, network, d).select(F.col(key).alias("__off")).distinct()
     return lines.join(off, F.col(key).eqNullSafe(F.col("__off")), "left_anti")
 
 

@@ -11,6 +11,7 @@ from ..functions.nulls import ratio, row_sum, strict_sum
 from ..functions.scalar import change, pct_change, to_sqmi
 from ..operators.relational import apply_overrides, left_on
 from ..operators.reshape import pivot_values
+from ..operators.skew import beside
 from ..operators.spatial import spatial_join
 
 # Each group as the variables added up for it; the first entry of a block is its denominator.
@@ -88,7 +89,7 @@ def boundary_crosswalk(old: DataFrame, new: DataFrame, cell: float, overrides: D
         F.col("GEOID").alias("GEOID_old"), F.col("estimate").alias("pop_old"), point_on_surface("rings").alias("p")
     ).select("GEOID_old", "pop_old", "p.x", "p.y")
     targets = sound_new.select(F.col("GEOID").alias("GEOID_new"), F.col("estimate").alias("pop_new"), "rings")
-    joined = spatial_join(targets, inner, "rings", "GEOID_new", ["GEOID_old"], cell)
+    joined = spatial_join(targets, inner, "rings", "GEOID_new", cell)
     summed = joined.groupBy("GEOID_new").agg(
         strict_sum("pop_old").alias("pop_old"), F.max("pop_new").alias("pop_new")
     )
@@ -108,6 +109,5 @@ def job_population_change(
 
 def total_change(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: both totals, their difference and their ratio."""
-    a = old.agg(strict_sum("estimate").alias("t")).scalar()
-    out = new.agg(strict_sum("estimate").alias("pop_new")).withColumn("pop_old", a)
+    out = beside(new.agg(strict_sum("estimate").alias("pop_new")), old.agg(strict_sum("estimate").alias("pop_old")))
     return out.withColumns({"change": change("pop_new", "pop_old"), "growth": ratio("pop_new", "pop_old")})

@@ -13,6 +13,7 @@ from ..operators import spatial as P
 from ..operators.aggregates import mode_by, with_total_row
 from ..operators.relational import attach_labels, keep_in, left_on, split_null
 from ..operators.reshape import pivot_counts, pivot_sums
+from ..session import materialize
 
 # Categories in table order.
 TYPES = ("PubHwy", "PubPed", "Priv")
@@ -56,7 +57,7 @@ def job_crossings(
         .withColumn("__p", G.project(G.point("Longitude", "Latitude"), src, dst, 0))
         .select("*", "__p.x", "__p.y").drop("__p")
     )
-    inside = P.points_in_area(located, areas, "rings", ["CrossingID"], cell)
+    inside = P.points_in_area(located, areas, "rings", cell)
     return attach_labels(inside, owners, "CrossingIdSuffix").withColumn("trainTot", c("DayThru") + c("NghtThru"))
 
 
@@ -64,12 +65,15 @@ def job_rail_volume(crossings: DataFrame, rail: DataFrame, net: str = "M") -> Da
     """Trains and speed per mainline: the mode over its nearest crossings, else those of the nearest known line."""
     segs = P.segments(rail, "line", ["OBJECTID"])
     nearest = P.nearest_join(P.point_segments(crossings, ["CrossingID"]), segs, ["CrossingID"], "OBJECTID").drop("distance")
-    observed = left_on(crossings.select("CrossingID", "trainTot", "MaxTtSpd"), nearest, {"CrossingID": "CrossingID"})
+    observed = materialize(
+        left_on(crossings.select("CrossingID", "trainTot", "MaxTtSpd"), nearest, {"CrossingID": "CrossingID"}).drop("CrossingID")
+    )
     modes = mode_by(observed, ["OBJECTID"], ["trainTot", "MaxTtSpd"]).withColumnsRenamed(
         {"trainTot": "trains", "MaxTtSpd": "speed"}
     )
-    joined = left_on(rail.filter(in_set("NET", net)), modes, {"OBJECTID": "OBJECTID"})
-    known, empty = split_null(joined.select("OBJECTID", "trains", "speed", "line"), "trains")
+    mainlines = rail.filter(in_set("NET", net)).select("OBJECTID", "line")
+    joined = materialize(left_on(mainlines, modes, {"OBJECTID": "OBJECTID"}))
+    known, empty = split_null(joined, "trains")
     known_segs = P.segments(known, "line", ["OBJECTID"]).withColumnRenamed("OBJECTID", "known_id")
     found = P.nearest_join(P.segments(empty, "line", ["OBJECTID"]), known_segs, ["OBJECTID"], "known_id").drop("distance")
     filled = left_on(

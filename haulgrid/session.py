@@ -1,16 +1,22 @@
-"""Session settings the library is designed for."""
+"""Session settings the library is designed for, and written intermediate tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
 
-# Adaptive execution sizes partitions, splits skewed join partitions and switches to a broadcast join
-# only after it has measured the side; forcing the split also covers joins that feed a grouping.
+from pyspark.sql import DataFrame, SparkSession
+
+# Adaptive execution sizes partitions, splits skewed join partitions (also when one key fills them) and
+# switches to a broadcast join only after it has measured the side; forcing the split also covers joins
+# that feed a grouping. The thresholds are low because a spatial join works hard on few bytes.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -24,3 +30,39 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """Where intermediate tables go: the folder the cluster names, or a temporary one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="haulgrid-")
+        spark.sparkContext.setCheckpointDir(folder)
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return None
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path nothing has been written to yet, in the shared folder."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can write to")
+    return f"{folder}/haulgrid-{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write a table that several later steps use and read it back.
+
+    It is computed once, its lineage ends there, lost executors cannot undo it, and the planner knows its size.
+    """
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
+        return df
+    path = new_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

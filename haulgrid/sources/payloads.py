@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import batch_id, row_id
+from ..operators.skew import beside
 
 
 def number_batches(df: DataFrame, size: int, order: Sequence[Column | str], name: str) -> DataFrame:
     """Adds ``row_num``, ``batch`` and ``batch_name`` ('name_i_of_n')."""
     numbered = row_id(df, order).withColumn("batch", batch_id("row_num", size))
-    batches = df.agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n")).scalar()
-    return numbered.withColumn(
-        "batch_name",
-        F.concat(F.lit(name + "_"), F.col("batch").cast("string"), F.lit("_of_"), batches.cast("string")),
-    )
+    batches = df.agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__n"))
+    label = F.concat(F.lit(name + "_"), F.col("batch").cast("string"), F.lit("_of_"), F.col("__n").cast("string"))
+    return beside(numbered, batches).withColumn("batch_name", label).drop("__n")
 
 
 def payloads(numbered: DataFrame, item: Column, header: Mapping[str, object]) -> DataFrame:
