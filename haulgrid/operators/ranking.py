@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, ratio
-from ..session import shuffle_partitions
+from ..session import materialize, shuffle_partitions
 from .skew import attach_by_key, beside
 
 SAMPLE_PER_BUCKET = 20
@@ -74,13 +74,17 @@ def _ranks(counted: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
 
 def value_ranks(df: DataFrame, col: str) -> DataFrame:
     """Each known value once: ``n`` rows hold it, ``below`` rows are smaller, ``total`` rows are known."""
-    counted = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(
+        df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")), "value-counts"
+    )
     return beside(_ranks(counted, F.col(col), [col]), counted.agg(F.sum("n").alias("total")))
 
 
 def group_value_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """As ``value_ranks``, counted inside each group."""
-    counted = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(
+        df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n")), "value-counts"
+    )
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*by, col])])
     ranked = _ranks(counted, key, [*by, col]).withColumnRenamed("below", "__before")
     groups = ranked.groupBy(*by).agg(
@@ -153,5 +157,5 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
 
 def order_rank(df: DataFrame, category: str, measure: Column, out: str = "order_rank") -> DataFrame:
     """One row per category with its measure and its place, largest first, ties by name."""
-    totals = df.groupBy(category).agg(measure.alias("measure"))
+    totals = materialize(df.groupBy(category).agg(measure.alias("measure")), "category-totals")
     return row_id(totals, [-F.col("measure"), category], out)

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_SHARE = 1e-3
+# statistics of so many keys are a few megabytes
+BROADCAST_KEYS = 100_000
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -28,26 +32,29 @@ def attach_by_key(
 ) -> DataFrame:
     """Left-join per-key statistics (unique by ``keys``, with a row count) to every row of ``df``.
 
-    Keys holding at least ``hot_share`` of the rows number at most ``1 / hot_share``, so their statistics
-    are broadcast whatever the data size and their rows are never shuffled. All other rows go through a
-    shuffle join in which no single key can be large. NULL keys match NULL keys.
+    The statistics are written once and measured. Up to ``BROADCAST_KEYS`` keys they are broadcast and no row
+    is shuffled. Beyond that, keys holding at least ``hot_share`` of the rows number at most
+    ``1 / hot_share``: their statistics are broadcast and their rows stay where they are, and all other rows
+    go through a shuffle join in which no single key can be large. NULL keys match NULL keys.
     """
     keys = list(keys)
+    right_keys = ["__s_" + k for k in keys]
     values = [c for c in stats.columns if c not in keys and c != count_col]
-    total = stats.agg(F.sum(count_col).alias("__total"))
-    tagged = beside(stats, total).select(
-        *[F.col(k).alias("__s_" + k) for k in keys],
-        *values,
-        (F.col(count_col) >= F.col("__total") * hot_share).alias("__hot"),
+    kept = materialize(
+        stats.select(*[F.col(k).alias("__s_" + k) for k in keys], *values, F.col(count_col).alias("__rows")), "key-stats"
     )
-    right_keys = ["__s_" + k for k in keys]
-    hot = F.broadcast(tagged.filter("__hot").drop("__hot"))
-    cold = tagged.filter("NOT __hot").drop("__hot")
+    size = kept.agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("__rows").alias("rows"), F.max("__rows").alias("largest")
+    ).first()
     on = _on(keys, "__s_")
-    hot_rows = df.join(hot, on, "inner").drop(*right_keys)
-    cold_rows = (
-        df.join(F.broadcast(tagged.filter("__hot").select(*right_keys)), on, "left_anti")
-        .join(cold, on, "left")
-        .drop(*right_keys)
-    )
-    return hot_rows.unionByName(cold_rows)
+    right = kept.drop("__rows")
+    if size["keys"] <= BROADCAST_KEYS:
+        return df.join(F.broadcast(right), on, "left").drop(*right_keys)
+    limit = size["rows"] * hot_share
+    if size["largest"] < limit:
+        return df.join(right, on, "left").drop(*right_keys)
+    hot = F.broadcast(kept.filter(F.col("__rows") >= limit).drop("__rows"))
+    cold = kept.filter(F.col("__rows") < limit).drop("__rows")
+    hot_rows = df.join(hot, on, "inner")
+    cold_rows = df.join(hot.select(*right_keys), on, "left_anti").join(cold, on, "left")
+    return hot_rows.unionByName(cold_rows).drop(*right_keys)

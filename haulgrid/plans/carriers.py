@@ -12,6 +12,7 @@ from ..functions.scalar import prefix, suffix
 from ..operators.aggregates import count_by, density
 from ..operators.ranking import row_id
 from ..operators.relational import clean_names, left_on, natural_join
+from ..session import materialize
 
 # The home state with its neighbours, and fuels left out of the comparison.
 STATES = ("MN", "ND", "SD", "IA", "WI")
@@ -65,8 +66,7 @@ def job_carbon_density(
     kept = clean_names(pathways).filter(~in_set("fuel_category", *leave_out)).select(
         "fuel_category", number("current_certified_ci").alias("ci")
     )
-    order = row_id(
-        count_by(kept, "fuel_category").withColumnRenamed("label", "chart_name"), [-F.col("n"), "fuel_category"], "chart_order"
-    )
+    counts = materialize(count_by(kept, "fuel_category").withColumnRenamed("label", "chart_name"), "fuel-counts")
+    order = row_id(counts, [-F.col("n"), "fuel_category"], "chart_order")
     curves = density(kept, "ci", "fuel_category", lo, hi, n, bins)
     return left_on(curves, order, {"fuel_category": "fuel_category"})

@@ -15,6 +15,7 @@ from ..operators.aggregates import designated, share_of, sum_cols
 from ..operators.ranking import impute_group_mean, order_rank, top_per_group
 from ..operators.relational import append, attach_labels, attach_scalar, join_suffix, keep_in, left_on, to_number
 from ..operators.reshape import totals_row, unpivot
+from ..session import materialize
 
 # ---- GDP -----------------------------------------------------------------------------------------------
 
@@ -69,6 +70,8 @@ def _national(profile: DataFrame, year: str, nation: str) -> DataFrame:
 def job_gdp_mix(profile: DataFrame, year: str, home: str, nation: str, total_label: str = "All Industry Total") -> DataFrame:
     """Sector shares of two areas side by side, those of the home area with a negative sign."""
 
+    profile = materialize(profile.filter((F.col("Year") == year) & in_set("area", home, nation)), "gdp-year")
+
     def with_shares(df: DataFrame, place: str, sign: int) -> DataFrame:
         total = df.agg(designated(F.col("IndustryClassification") == "All", "Thousands").alias("totGDP"))
         out = attach_scalar(df, total)
@@ -87,6 +90,7 @@ def job_gdp_mix(profile: DataFrame, year: str, home: str, nation: str, total_lab
 
 def job_gdp_share(profile: DataFrame, year: str, home: str, nation: str) -> DataFrame:
     """Each home sector as a share of the same sector of the nation, largest first."""
+    profile = materialize(profile.filter((F.col("Year") == year) & in_set("area", home, nation)), "gdp-year")
     mine = _one_year(profile, year, home).select(
         "IndustryClassification", "shortname", "FreightRel", F.col("Thousands").alias("totGDPhome")
     )
@@ -137,6 +141,7 @@ def job_job_density(rollup: DataFrame, areas: DataFrame, rings: str = "rings") -
 def job_lq_area(density: DataFrame) -> DataFrame:
     """Location quotient of every sector in every small area against all areas together."""
     sectors = [f"NAICS_{s}" for s in C.JOB_SECTORS] + ["FreightEmp", "GoodsProdEmp"]
+    density = materialize(density, "job-density")
     both = attach_scalar(density, totals_row(density, sectors, "NAICS_All", "_all"))
     quotients = [ratio(ratio(s, "NAICS_All"), s + "_all").alias("LQ_" + s) for s in sectors]
     return both.select("GEOID", "FreightEmp", *quotients)
@@ -184,7 +189,7 @@ def job_lq_depth(
 
     def with_total(df: DataFrame) -> DataFrame:
         kept = _coded(df).filter((F.col("NAICS") == "00") | (F.col("len") == depth))
-        summed = kept.groupBy("NAICS").agg(strict_sum("EMP").alias("EMP"))
+        summed = materialize(kept.groupBy("NAICS").agg(strict_sum("EMP").alias("EMP")), "code-totals")
         return attach_scalar(summed, summed.agg(designated(F.col("NAICS") == "00", "EMP").alias("denom")))
 
     mine = with_total(region).filter(~in_set("NAICS", "00", "99"))

@@ -14,6 +14,7 @@ from ..operators import spatial as P
 from ..operators.aggregates import weighted_mean
 from ..operators.ranking import percent_rank_global
 from ..operators.relational import append, clean_names, filter_above_quantile, left_on, natural_join
+from ..session import materialize
 from ..sources.payloads import number_batches, payloads
 
 # The day type and day part rows the delay index is taken from.
@@ -43,7 +44,7 @@ def segment_flow(results: DataFrame, day_type: str = DAY_TYPE, day_part: str = D
         number("avg_segment_speed_mph").alias("avgSpd"),
         number("free_flow_factor").alias("FFF"),
     )
-    zones = weighted_mean(rows, ["zone_id"], "stlIndex", skip=["avgSpd"], strict=["FFF"])
+    zones = materialize(weighted_mean(rows, ["zone_id"], "stlIndex", skip=["avgSpd"], strict=["FFF"]), "zone-flow")
     ranked = percent_rank_global(zones, "stlIndex", "percRank")
     return ranked.withColumn("zone_id", number("zone_id", "bigint")).filter(
         (F.col("FFF") > 0) & (F.col("stlIndex") >= 0)
@@ -63,6 +64,7 @@ def job_segment_delay(
 
 def job_bottlenecks(delay: DataFrame, max_flow: float = 0.8) -> DataFrame:
     """Busy zones (volume above the median) that flow badly, worst first."""
+    delay = materialize(delay, "delay")
     busy = filter_above_quantile(delay, "stlIndex", 0.5)
     return (
         busy.filter(F.col("FFF") < max_flow).select("zone_id", "stlIndex", "avgSpd", "FFF", "name", "lengthFeet")
@@ -72,7 +74,7 @@ def job_bottlenecks(delay: DataFrame, max_flow: float = 0.8) -> DataFrame:
 
 def delay_hotspots(delay: DataFrame, p: float = 0.9) -> DataFrame:
     """Zones whose delay index is above its p-quantile."""
-    return filter_above_quantile(delay, "delay_index", p)
+    return filter_above_quantile(materialize(delay, "delay"), "delay_index", p)
 
 
 # ---- network -------------------------------------------------------------------------------------------
@@ -109,7 +111,7 @@ def job_zone_batches(
         {"direction": wrap_degrees(G.bearing("line")), "len_metres": G.length("line", geodesic=True)}
     ).filter(F.col("len_metres") > min_metres)
     zones = measured.select(*dict.fromkeys([*order, "zone_name", "line", "direction", "len_metres"]))
-    numbered = number_batches(zones, size, list(order), name)
+    numbered = number_batches(materialize(zones, "zones"), size, list(order), name)
     return numbered.select(
         "row_num", F.col("row_num").alias("id"), F.col("zone_name").alias("name"), F.lit(1).alias("is_pass"),
         "direction", "len_metres", "line", "batch", "batch_name",
@@ -136,7 +138,7 @@ def job_split_zones(
     """Lines (``segment_id``, ``line``) on the network cut into zones of at most ``max_len``, numbered in batches."""
     on_network = P.lines_within(lines, "line", "segment_id", network, d, tolerance)
     long_enough = on_network.filter(G.length("line") > min_len)
-    parts = P.split_lines(long_enough, "line", ["segment_id"], max_len)
+    parts = materialize(P.split_lines(long_enough, "line", ["segment_id"], max_len), "zone-parts")
     numbered = number_batches(parts, size, ["segment_id", "part"], name)
     return numbered.select(
         "row_num", F.col("row_num").alias("id"),
