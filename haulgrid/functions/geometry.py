@@ -21,6 +21,11 @@ ZONE_6501 = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where it is used inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def point(x: Column | str, y: Column | str) -> Column:
     return F.struct(as_col(x).cast("double").alias("x"), as_col(y).cast("double").alias("y"))
 
@@ -79,7 +84,7 @@ def ring_area(ring: Column) -> Column:
 def area(polygon: Column | str) -> Column:
     """Outer ring less holes."""
     rings = F.transform(as_col(polygon), lambda r: F.abs(ring_area(r)))
-    return F.aggregate(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), rings[0], lambda a, h: a - h)
+    return let(rings, lambda a: 2 * a[0] - _total(a))
 
 
 def multi_area(polygons: Column | str) -> Column:
@@ -117,15 +122,24 @@ def contains(polygon: Column | str, x: Column, y: Column) -> Column:
 
 def point_on_surface(polygon: Column | str) -> Column:
     """A point inside: the middle of the widest inner stretch of the line at half height."""
-    polygon = as_col(polygon)
-    edges = ring_edges(polygon)
-    ys = F.transform(F.flatten(polygon), lambda p: p["y"])
-    y = (F.array_min(ys) + F.array_max(ys)) / 2
-    xs = F.array_sort(F.transform(F.filter(edges, lambda e: crosses_level(e, y)), lambda e: crossing_x(e, y)))
-    starts = F.filter(xs, lambda _, i: i % 2 == 0)
-    ends = F.filter(xs, lambda _, i: i % 2 == 1)
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x")))
-    return F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y"))
+
+    def widest(xs: Column) -> Column:
+        starts = F.filter(xs, lambda _, i: i % 2 == 0)
+        ends = F.filter(xs, lambda _, i: i % 2 == 1)
+        return F.array_max(
+            F.zip_with(starts, ends, lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x")))
+        )["x"]
+
+    def at_height(edges: Column) -> Column:
+        ys = F.transform(edges, lambda e: e["y1"])
+
+        def inner(y: Column) -> Column:
+            crossings = F.transform(F.filter(edges, lambda e: crosses_level(e, y)), lambda e: crossing_x(e, y))
+            return F.struct(let(F.array_sort(crossings), widest).alias("x"), y.alias("y"))
+
+        return let(let(ys, lambda v: (F.array_min(v) + F.array_max(v)) / 2), inner)
+
+    return let(ring_edges(as_col(polygon)), at_height)
 
 
 def is_ring_valid(ring: Column) -> Column:

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, ratio, strict_sum
-from .ranking import group_value_ranks, value_ranks
+from .ranking import group_value_ranks, value_counts, value_ranks
 from .skew import beside
 
 
+# so many distinct values fit one aggregate's state (tens of megabytes)
+SMALL_VALUES = 1_000_000
+
+
 def sum_cols(cols: Sequence[str]) -> Column:
     """Sum over several columns and all rows; NULL if any cell is missing."""
     total = F.col(cols[0])
@@ -84,16 +88,24 @@ def _interpolated(below: str, n: str, total: Column, col: str, p: float) -> Colu
 def quantile(df: DataFrame, col: str, p: float, name: str = "q") -> DataFrame:
     """One-row table with the exact quantile (linear interpolation) of the known values.
 
-    Works from counts per distinct value in range buckets; no task sees the whole column.
+    Works from counts per distinct value. Up to ``SMALL_VALUES`` of them one aggregate holds them all; beyond
+    that they are ranked in range buckets, so that no task sees the whole column.
     """
-    ranks = value_ranks(df, col)
-    return ranks.agg(_interpolated("below", "n", F.col("total"), col, p).alias(name))
+    counted = value_counts(df, col)
+    if counted.count() <= SMALL_VALUES:
+        return counted.agg(F.percentile(F.col(col).cast("double"), F.lit(float(p)), F.col("n")).alias(name))
+    return value_ranks(counted, col).agg(_interpolated("below", "n", F.col("total"), col, p).alias(name))
 
 
 def quantiles_by(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group, one column per entry of ``probs``."""
-    ranks = group_value_ranks(df, by, col)
-    return ranks.groupBy(*by).agg(
+    """Exact quantiles per group, one column per entry of ``probs``; grown groups are ranked in range buckets."""
+    counted = value_counts(df, col, by)
+    if counted.count() <= SMALL_VALUES:
+        value = F.col(col).cast("double")
+        return counted.groupBy(*by).agg(
+            *[F.percentile(value, F.lit(float(p)), F.col("n")).alias(k) for k, p in probs.items()]
+        )
+    return group_value_ranks(counted, by, col).groupBy(*by).agg(
         *[_interpolated("below", "n", F.col("total"), col, p).alias(k) for k, p in probs.items()]
     )
 

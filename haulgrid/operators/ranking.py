@@ -72,19 +72,19 @@ def _ranks(counted: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     )
 
 
-def value_ranks(df: DataFrame, col: str) -> DataFrame:
-    """Each known value once: ``n`` rows hold it, ``below`` rows are smaller, ``total`` rows are known."""
-    counted = materialize(
-        df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")), "value-counts"
-    )
+def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Known values with their row count ``n``, written once."""
+    counted = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counted, "value-counts")
+
+
+def value_ranks(counted: DataFrame, col: str) -> DataFrame:
+    """Value counts with ``below`` (rows with a smaller value) and ``total`` (all known rows)."""
     return beside(_ranks(counted, F.col(col), [col]), counted.agg(F.sum("n").alias("total")))
 
 
-def group_value_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+def group_value_ranks(counted: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """As ``value_ranks``, counted inside each group."""
-    counted = materialize(
-        df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n")), "value-counts"
-    )
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*by, col])])
     ranked = _ranks(counted, key, [*by, col]).withColumnRenamed("below", "__before")
     groups = ranked.groupBy(*by).agg(
@@ -99,7 +99,7 @@ def group_value_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
 
 def percent_rank_global(df: DataFrame, col: str, out: str = "percent_rank") -> DataFrame:
     """Share of the other known values that are smaller; NULL for missing values and for a lone value."""
-    ranks = value_ranks(df, col)
+    ranks = value_ranks(value_counts(df, col), col)
     scored = ranks.select(col, "n", ratio(F.col("below"), F.col("total") - 1).alias(out))
     return attach_by_key(df, scored, [col], "n")
 
