@@ -477,13 +477,13 @@ def job_population_total(spark, d):
 
 @query("job_truck_share", """
 WITH t AS (SELECT 'TH ' || (o_custkey % 100) AS route, o_totalprice * (o_orderkey % 10) / 10 AS trucks,
-  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_totalprice END AS adt FROM orders)
+  CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_totalprice END AS adt FROM orders)
 SELECT route AS "ROUTE_LABE", round(avg(trucks), 4) AS "avgTrucks", round(avg(trucks / nullif(adt, 0)), 6) AS "avgTruckP" FROM t GROUP BY 1
 """)
 def job_truck_share(spark, d):
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")
-    adt = o.filter(key % 7 != 0).select(
+    adt = o.filter(F.col("o_orderstatus") != "P").select(
         key.alias("SEQUENCE_N"), F.when(key % 13 != 0, F.col("o_totalprice")).otherwise(0.0).alias("CURRENT_VO")
     )
     trucks = o.select(

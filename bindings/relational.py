@@ -247,12 +247,12 @@ def join_inner(spark, d):
 
 @query("join_right", """
 SELECT n_nationkey AS area, total FROM
-  (SELECT s_nationkey, round(sum(s_acctbal), 4) AS total FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY s_nationkey)
+  (SELECT s_nationkey, round(sum(s_acctbal), 4) AS total FROM supplier WHERE s_acctbal > 8000 GROUP BY s_nationkey)
   RIGHT JOIN nation ON s_nationkey = n_nationkey
 """)
 def join_right(spark, d):
     totals = (
-        table(spark, d, "supplier").filter(F.col("s_nationkey") % 3 != 0)
+        table(spark, d, "supplier").filter(F.col("s_acctbal") > 8000)
         .groupBy(F.col("s_nationkey").alias("area")).agg(F.round(F.sum("s_acctbal"), 4).alias("total"))
     )
     return R.natural_join(totals, table(spark, d, "nation").select(F.col("n_nationkey").alias("area")), "right")

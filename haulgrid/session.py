@@ -21,6 +21,9 @@ RECOMMENDED = {
 }
 
 
+_written: list[str] = []
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the recommended runtime settings; partition counts and memory stay as the cluster has them."""
     for key, value in RECOMMENDED.items():
@@ -65,4 +68,15 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
         return df
     path = new_path(spark, tag)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` has written; call it when results that rest on them have been saved."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return count

@@ -2,11 +2,12 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from haulgrid.session import configure, materialize, new_path
+from haulgrid.session import configure, materialize, new_path, release
 from haulgrid.sources import geojson as G
 from haulgrid.sources import payloads as P
 from haulgrid.sources import tables as S
@@ -105,5 +106,13 @@ def test_materialized_table_has_no_lineage(spark):
     assert new_path(spark, "a") != new_path(spark, "a")
 
 
+def test_release_deletes_what_was_written(spark):
+    out = materialize(spark.range(3))
+    path = out.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert Path(path).exists()
+    assert release(spark) >= 1 and not Path(path).exists()
+    assert release(spark) == 0
+
+
 def test_configure_is_repeatable(spark):
     assert configure(configure(spark)) is spark
