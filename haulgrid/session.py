@@ -20,6 +20,10 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# These can only be given when a session is built. Collecting a stack trace for every column expression
+# takes longer than planning the query.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 _written: list[str] = []
 
