@@ -253,7 +253,7 @@ WITH {PTS}, {EDGES}, {hit_sql('hit', 'pts', 'id')}
 SELECT id, area, n_name FROM hit JOIN nation ON n_nationkey = area
 """)
 def sjoin_points_in_area(spark, d):
-    return P.points_in_area(points(spark, d), areas(spark, d), "rings", CELL).select("id", "area", "n_name")
+    return P.points_in_area(points(spark, d), areas(spark, d), "rings").select("id", "area", "n_name")
 
 
 @query("sjoin_within_distance", f"""

@@ -458,7 +458,7 @@ SELECT 'N' || id AS "GEOID", e AS estimate, pop_old, pop_new, round((pop_new - p
   pop_new - pop_old AS change FROM est LEFT JOIN walk ON id = k
 """)
 def job_population_change(spark, d):
-    out = population.job_population_change(old_areas(spark, d), new_areas(spark, d), CELL, overrides(spark, d))
+    out = population.job_population_change(old_areas(spark, d), new_areas(spark, d), overrides=overrides(spark, d))
     return rounded(out, 6, "percChange")
 
 
@@ -694,7 +694,7 @@ def inventory(spark, d):
 
 def crossings(spark, d):
     return rail.job_crossings(
-        inventory(spark, d), areas(spark, d).drop("n_name"), rail.owner_table(spark), CELL, src=6501, dst=6501
+        inventory(spark, d), areas(spark, d).drop("n_name"), rail.owner_table(spark), src=6501, dst=6501
     )
 
 

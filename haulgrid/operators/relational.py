@@ -96,8 +96,6 @@ def left_on(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str =
         return out
     if how == "right":
         out = out.withColumns({a: F.col(f"__r_{b}") for a, b in on.items()})
-    if how == "full":
-        out = out.withColumns({a: F.coalesce(F.col(a), F.col(f"__r_{b}")) for a, b in on.items()})
     return out.drop(*[f"__r_{b}" for b in on.values()])
 
 

@@ -63,6 +63,20 @@ def segment_cells(df: DataFrame, cell: float, pad: float = 0.0, x0: float = 0.0,
     return by_column.withColumn("cy", F.explode(F.sequence(_index(lo - pad, cell, y0), _index(hi + pad, cell, y0))))
 
 
+def auto_cell(polys: DataFrame, rings: str) -> float:
+    """Grid size for a layer of areas: about eight edges to a boundary cell, at most some 64 cells across an area."""
+    edges = G.ring_edges(F.col(rings))
+    xs, ys = F.transform(edges, lambda e: e["x1"]), F.transform(edges, lambda e: e["y1"])
+    span = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    lengths = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+    s = polys.select(span.alias("span"), lengths.alias("len"), F.size(edges).alias("n")).agg(
+        F.avg("span").alias("span"), F.sum("len").alias("len"), F.sum("n").alias("n")
+    ).first()
+    if not s["n"]:
+        return 1.0
+    return max(4.0 * s["len"] / s["n"], s["span"] / 64.0) or 1.0
+
+
 def polygon_cells(df: DataFrame, rings: str, keep: Sequence[str], cell: float) -> DataFrame:
     """Polygons cut into grid cells so that a point test only meets the edges of its own cell.
 
@@ -144,9 +158,10 @@ def cell_join(left: DataFrame, index: DataFrame, how: str = "inner", condition:
 
 
 def points_in_area(
-    pts: DataFrame, polys: DataFrame, rings: str, cell: float, x: str = "x", y: str = "y"
+    pts: DataFrame, polys: DataFrame, rings: str, cell: float | None = None, x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Points inside an area with the area's attributes; a point in two areas comes out twice."""
+    cell = cell or auto_cell(polys, rings)
     keep = [c for c in polys.columns if c != rings]
     placed = point_cell(pts.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, cell)
     index = polygon_cells(polys, rings, keep, cell)
@@ -159,7 +174,7 @@ def spatial_join(
     pts: DataFrame,
     rings: str,
     poly_id: str,
-    cell: float,
+    cell: float | None = None,
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
@@ -357,9 +372,10 @@ def lines_within(
 
 
 def clip_lines(
-    df: DataFrame, line: str, line_id: str, polys: DataFrame, rings: str, poly_id: str, cell: float
+    df: DataFrame, line: str, line_id: str, polys: DataFrame, rings: str, poly_id: str, cell: float | None = None
 ) -> DataFrame:
     """Per line and area the parts of the line inside: ``lines`` (array of lines, as it may leave and re-enter)."""
+    cell = cell or auto_cell(polys, rings)
     segs = segments(df, line, [line_id])
     edges = polygon_edges(polys, rings, []).withColumnsRenamed({c: "e_" + c for c in ENDS})
     edge_cells = segment_cells(
@@ -420,35 +436,49 @@ def dissolve_edges(polys: DataFrame, rings: str) -> DataFrame:
     return edges.groupBy(*ENDS).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
 
 
-def validity(df: DataFrame, rings: str, poly_id: str) -> DataFrame:
-    """Per polygon: are its rings sound, how often do its own edges cross, and is it valid.
+def _level(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Exponent of the smallest power of two that is not shorter than the edge."""
+    return F.ceil(F.log2(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))))
 
-    Edges only meet edges of the same cell of a grid with about as many cells as the polygon has edges.
-    """
-    n_edges = F.size(G.ring_edges(F.col(rings)))
-    points = F.flatten(F.col(rings))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    span = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    cell = F.greatest(span / F.ceil(F.sqrt(n_edges)), F.lit(1e-9))
-    edges = df.filter(n_edges > 0).select(
-        poly_id, cell.alias("__cell"), F.posexplode(G.ring_edges(F.col(rings))).alias("seg", "s")
-    ).select(poly_id, "__cell", "seg", "s.*")
+
+def _box_cells(df: DataFrame, size: Column) -> DataFrame:
     x1, y1, x2, y2 = (F.col(c) for c in ENDS)
-    size = F.col("__cell")
-    placed = edges.withColumn(
+    return df.withColumn(
         "cx", F.explode(F.sequence(F.floor(F.least(x1, x2) / size), F.floor(F.greatest(x1, x2) / size)))
     ).withColumn("cy", F.explode(F.sequence(F.floor(F.least(y1, y2) / size), F.floor(F.greatest(y1, y2) / size))))
-    other = placed.drop("__cell").withColumnsRenamed(
-        {poly_id: "__oid", "seg": "__oseg", "cx": "__ocx", "cy": "__ocy", **{c: "__o" + c for c in ENDS}}
+
+
+def validity(df: DataFrame, rings: str, poly_id: str) -> DataFrame:
+    """Per polygon: are its rings sound, how often do its own edges cross, and is it valid.
+
+    Every edge is filed in the cells of a grid as coarse as the edge is long, and looks up the cells it lies in
+    on its own and all coarser grids of its polygon. So a stretch drawn in great detail does not crowd a cell.
+    """
+    edge_list = G.ring_edges(F.col(rings))
+    edges = (
+        df.select(F.col(poly_id).alias("__pid"), F.posexplode(edge_list).alias("seg", "s"))
+        .select("__pid", "seg", "s.*").withColumn("__lv", _level(*[F.col(c) for c in ENDS]))
+        .filter("(x1 <> x2 OR y1 <> y2) AND abs(x1 + x2 + y1 + y2) < double('inf')")
+    )
+    levels = edges.groupBy(F.col("__pid").alias("__lp")).agg(F.collect_set("__lv").alias("__levels"))
+    filed = _box_cells(edges, F.pow(F.lit(2.0), F.col("__lv"))).select(
+        F.col("__pid").alias("__oid"), F.col("seg").alias("__oseg"), F.col("__lv").alias("__olv"),
+        F.col("cx").alias("__ocx"), F.col("cy").alias("__ocy"), *[F.col(c).alias("__o" + c) for c in ENDS],
+    )
+    looking = _box_cells(
+        edges.join(levels, F.col("__pid") == F.col("__lp"))
+        .withColumn("__at", F.explode(F.filter("__levels", lambda v: v >= F.col("__lv")))),
+        F.pow(F.lit(2.0), F.col("__at")),
     )
     crossing = G.segments_cross([F.col(c) for c in ENDS], [F.col("__o" + c) for c in ENDS])
     met = (
-        placed.join(
-            other,
-            (F.col(poly_id) == F.col("__oid")) & (F.col("cx") == F.col("__ocx")) & (F.col("cy") == F.col("__ocy"))
-            & (F.col("seg") < F.col("__oseg")) & crossing,
+        looking.join(
+            filed,
+            (F.col("__pid") == F.col("__oid")) & (F.col("__at") == F.col("__olv"))
+            & (F.col("cx") == F.col("__ocx")) & (F.col("cy") == F.col("__ocy"))
+            & ((F.col("__lv") < F.col("__olv")) | (F.col("seg") < F.col("__oseg"))) & crossing,
         )
-        .select(F.col(poly_id).alias("__id"), "seg", "__oseg").distinct()
+        .select(F.col("__pid").alias("__id"), "seg", "__oseg").distinct()
         .groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
     )
     sound = df.select(

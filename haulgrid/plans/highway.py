@@ -81,7 +81,7 @@ def delay_hotspots(delay: DataFrame, p: float = 0.9) -> DataFrame:
 
 
 def freight_network(
-    to_clip: Mapping[str, DataFrame], whole: Mapping[str, DataFrame], boundary: DataFrame, cell: float
+    to_clip: Mapping[str, DataFrame], whole: Mapping[str, DataFrame], boundary: DataFrame, cell: float | None = None
 ) -> DataFrame:
     """All layers (``line_id``, ``line``) as one segment table with a ``source`` tag.
 

@@ -78,7 +78,9 @@ def population_density(areas: DataFrame, rings: str = "rings") -> DataFrame:
     )
 
 
-def boundary_crosswalk(old: DataFrame, new: DataFrame, cell: float, overrides: DataFrame | None = None) -> DataFrame:
+def boundary_crosswalk(
+    old: DataFrame, new: DataFrame, cell: float | None = None, overrides: DataFrame | None = None
+) -> DataFrame:
     """New areas with the population of the old areas whose inner point they hold.
 
     ``old`` and ``new`` hold GEOID, estimate and rings; a new area without old points has no old population.
@@ -97,7 +99,7 @@ def boundary_crosswalk(old: DataFrame, new: DataFrame, cell: float, overrides: D
 
 
 def job_population_change(
-    old: DataFrame, new: DataFrame, cell: float, overrides: DataFrame | None = None
+    old: DataFrame, new: DataFrame, cell: float | None = None, overrides: DataFrame | None = None
 ) -> DataFrame:
     """Old areas with the change of the new area of the same id."""
     walk = boundary_crosswalk(old, new, cell, overrides).withColumns(

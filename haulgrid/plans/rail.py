@@ -28,7 +28,7 @@ def owner_table(spark) -> DataFrame:
 
 
 def job_crossings(
-    inventory: DataFrame, areas: DataFrame, owners: DataFrame, cell: float, src: int = 4326, dst: int = 6501
+    inventory: DataFrame, areas: DataFrame, owners: DataFrame, cell: float | None = None, src: int = 4326, dst: int = 6501
 ) -> DataFrame:
     """Open at-grade crossings inside the study areas with type, warning device, quiet zone, owner and trains."""
     c = F.col

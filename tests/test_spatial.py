@@ -48,7 +48,7 @@ def test_contains_matches_ray_casting(spark):
     pts += [(400 + i, float(i % 12 * 5), float(i // 12 * 5)) for i in range(120)]
     df = spark.createDataFrame(pts, "id int, x double, y double")
     areas = spark.createDataFrame(polys, f"area int, {RINGS}")
-    for cell in (7.0, 10.0, 500.0):
+    for cell in (7.0, 10.0, 500.0, None):
         got = {(r["id"], r["area"]) for r in P.points_in_area(df, areas, "rings", cell).collect()}
         assert got == {(i, a) for i, x, y in pts for a, rings in polys if inside(x, y, rings)}
 
@@ -143,6 +143,28 @@ def test_validity_report(spark):
     assert not got[3][2] and not got[4][2] and not got[5][2]
 
 
+def test_crossings_between_long_and_short_edges(spark):
+    rng = random.Random(2)
+    shapes = {1: star(0, 0, 10, 30, rng)}
+    for k in range(2, 7):
+        shapes[k] = [(rng.uniform(0, 1) ** 6 * 100, rng.uniform(0, 1) ** 6 * 100) for _ in range(40)]
+        shapes[k].append(shapes[k][0])
+
+    def turn(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def crossings(ring):
+        e = list(zip(ring, ring[1:]))
+        return sum(
+            turn(*e[j], e[i][0]) * turn(*e[j], e[i][1]) < 0 and turn(*e[i], e[j][0]) * turn(*e[i], e[j][1]) < 0
+            for i in range(len(e)) for j in range(i)
+        )
+
+    df = spark.createDataFrame([(k, [v]) for k, v in shapes.items()], f"id int, {RINGS}")
+    got = {r["id"]: r["self_crossings"] for r in P.validity(df, "rings", "id").collect()}
+    assert got == {k: crossings(v) for k, v in shapes.items()}
+
+
 def test_point_on_surface_is_inside(spark):
     rng = random.Random(11)
     polys = [(i, [star(0, 0, 10, 40, rng)]) for i in range(20)]
