@@ -149,7 +149,8 @@ def cell_join(left: DataFrame, index: DataFrame, how: str = "inner", condition:
     """Equi-join on the grid cell plus an exact test.
 
     A crowded cell is a skewed shuffle partition of ``left``, which adaptive execution splits over tasks by
-    map output, whatever the number of rows with that one key; a small index is broadcast at run time.
+    map output, whatever the number of rows with that one key. The index must be a written table: the planner
+    does not see how many rows an explode makes, so only then does it broadcast by a measured size.
     """
     index = index.withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
     on = (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy"))
@@ -164,7 +165,7 @@ def points_in_area(
     cell = cell or auto_cell(polys, rings)
     keep = [c for c in polys.columns if c != rings]
     placed = point_cell(pts.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, cell)
-    index = polygon_cells(polys, rings, keep, cell)
+    index = materialize(polygon_cells(polys, rings, keep, cell), "area-cells")
     hit = cell_join(placed, index, "inner", _in_cell_polygon(F.col(x), F.col(y)))
     return hit.drop("west", "south", "below_corner", "near")
 
@@ -191,7 +192,7 @@ def _near_lines(
 ) -> DataFrame:
     cell = cell or 4.0 * d
     placed = point_cell(pts, x, y, cell)
-    index = segment_cells(segs.select(*ENDS), cell, pad=d)
+    index = materialize(segment_cells(segs.select(*ENDS), cell, pad=d), "segment-cells")
     close = G.point_segment(F.col(x), F.col(y), *[F.col(c) for c in ENDS]) <= d
     return cell_join(placed, index, how, close)
 
@@ -269,7 +270,7 @@ def nearest_join(
         return ids.select("*", F.lit(None).cast(rid_type).alias(right_id), F.lit(None).cast("double").alias(distance))
     x0, y0, extent, levels = grid
     leaf = extent / FAN**levels
-    leaves = segment_cells(unique, leaf, 0.0, x0, y0)
+    leaves = materialize(segment_cells(unique, leaf, 0.0, x0, y0), "nearest-leaves")
     tables = {levels: materialize(leaves.select("cx", "cy").distinct(), "nearest-cells")}
     for k in range(levels - 1, 0, -1):
         tables[k] = tables[k + 1].select(
@@ -377,10 +378,8 @@ def clip_lines(
     """Per line and area the parts of the line inside: ``lines`` (array of lines, as it may leave and re-enter)."""
     cell = cell or auto_cell(polys, rings)
     segs = segments(df, line, [line_id])
-    edges = polygon_edges(polys, rings, []).withColumnsRenamed({c: "e_" + c for c in ENDS})
-    edge_cells = segment_cells(
-        edges.withColumnsRenamed({"e_" + c: c for c in ENDS}), cell
-    ).withColumnsRenamed({c: "e_" + c for c in ENDS})
+    edges = polygon_edges(polys, rings, [])
+    edge_cells = materialize(segment_cells(edges, cell).withColumnsRenamed({c: "e_" + c for c in ENDS}), "edge-cells")
     a = [F.col(c) for c in ENDS]
     b = [F.col("e_" + c) for c in ENDS]
     side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
@@ -455,10 +454,11 @@ def validity(df: DataFrame, rings: str, poly_id: str) -> DataFrame:
     on its own and all coarser grids of its polygon. So a stretch drawn in great detail does not crowd a cell.
     """
     edge_list = G.ring_edges(F.col(rings))
-    edges = (
+    edges = materialize(
         df.select(F.col(poly_id).alias("__pid"), F.posexplode(edge_list).alias("seg", "s"))
         .select("__pid", "seg", "s.*").withColumn("__lv", _level(*[F.col(c) for c in ENDS]))
-        .filter("(x1 <> x2 OR y1 <> y2) AND abs(x1 + x2 + y1 + y2) < double('inf')")
+        .filter("(x1 <> x2 OR y1 <> y2) AND abs(x1 + x2 + y1 + y2) < double('inf')"),
+        "polygon-edges",
     )
     levels = edges.groupBy(F.col("__pid").alias("__lp")).agg(F.collect_set("__lv").alias("__levels"))
     filed = _box_cells(edges, F.pow(F.lit(2.0), F.col("__lv"))).select(
