@@ -24,9 +24,14 @@ def pivot_counts(df: DataFrame, keys: Sequence[str], names: str, values: Sequenc
 def pivot_values(
     df: DataFrame, keys: Sequence[str], names: str, values: Sequence[str], measure: str
 ) -> DataFrame:
-    """One column per listed variable; a (key, variable) pair holds one value."""
-    aggs = [F.max(F.when(F.col(names) == v, F.col(measure))).alias(v) for v in values]
-    return df.groupBy(*keys).agg(*aggs)
+    """One column per listed variable; a (key, variable) pair holds one value.
+
+    Partitioned by key first, so that both stages of the pivot run on one shuffle. A key has at most as many rows
+    as there are variables.
+    """
+    wanted = df.select(*keys, names, measure).repartition(*keys)
+    listed = wanted.groupBy(*keys).pivot(names, list(values)).agg(F.max(measure))
+    return listed.select(*keys, *values)
 
 
 def pivot_sums(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import materialize
+from ..session import materialize, measured
 
 ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -64,7 +64,7 @@ def segment_cells(df: DataFrame, cell: float, pad: float = 0.0, x0: float = 0.0,
 
 
 def auto_cell(polys: DataFrame, rings: str) -> float:
-    """Grid size for a layer of areas: about eight edges to a boundary cell, at most some 64 cells across an area."""
+    """Grid size for a layer of areas: a few edges to a boundary cell, and 4 to 64 cells across an average area."""
     edges = G.ring_edges(F.col(rings))
     xs, ys = F.transform(edges, lambda e: e["x1"]), F.transform(edges, lambda e: e["y1"])
     span = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
@@ -74,7 +74,7 @@ def auto_cell(polys: DataFrame, rings: str) -> float:
     ).first()
     if not s["n"]:
         return 1.0
-    return max(4.0 * s["len"] / s["n"], s["span"] / 64.0) or 1.0
+    return max(min(4.0 * s["len"] / s["n"], s["span"] / 4.0), s["span"] / 64.0) or 1.0
 
 
 def polygon_cells(df: DataFrame, rings: str, keep: Sequence[str], cell: float) -> DataFrame:
@@ -385,7 +385,7 @@ def clip_lines(
     side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
     end1, end2 = G.orient(*a, b[0], b[1]), G.orient(*a, b[2], b[3])
     meets = ((side1 > 0) != (side2 > 0)) & (end1 * end2 <= 0)
-    hits = cell_join(segment_cells(segs, cell), edge_cells, "inner", meets)
+    hits = cell_join(measured(segment_cells(segs, cell), "line-cells"), edge_cells, "inner", meets)
     cuts = hits.groupBy(F.col(line_id).alias("__k"), F.col("seg").alias("__s")).agg(
         F.array_sort(F.collect_set(side1 / (side1 - side2))).alias("__cuts")
     )

@@ -76,6 +76,16 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, tag: str = "table") -> DataFrame:
+    """The table as it is if it is estimated too large to be broadcast, else written.
+
+    The planner's estimate takes no account of explode, so a small estimate proves nothing.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if estimate > limit else materialize(df, tag)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables ``materialize`` has written; call it when results that rest on them have been saved."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
