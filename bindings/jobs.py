@@ -608,7 +608,7 @@ def lon_lat_lines(spark, d):
 
 
 def zone_batches(spark, d):
-    return highway.job_zone_batches(lon_lat_lines(spark, d), "StateFreightZone", size=100)
+    return highway.job_zone_batches(lon_lat_lines(spark, d), "FreightZone", size=100)
 
 
 _A = "radians(45 + 0.000055 * y)"
@@ -623,7 +623,7 @@ zb AS (SELECT *, CAST(ceil(row_num / 100.0) AS INT) AS batch FROM zr)"""
 
 @query("job_zone_batches", f"""
 WITH {ZONES} SELECT row_num, id AS name, 1 AS is_pass, CASE WHEN b <= 0 THEN b + 360 ELSE b END AS direction, round(m, 3) AS len_metres,
-  batch, 'StateFreightZone_' || batch || '_of_' || (SELECT max(batch) FROM zb) AS batch_name FROM zb
+  batch, 'FreightZone_' || batch || '_of_' || (SELECT max(batch) FROM zb) AS batch_name FROM zb
 """)
 def job_zone_batches(spark, d):
     return rounded(zone_batches(spark, d), 3, "len_metres").drop("id", "line")

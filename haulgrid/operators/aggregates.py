@@ -25,14 +25,11 @@ def sum_cols(cols: Sequence[str]) -> Column:
     return strict_sum(total)
 
 
-def count_by(df: DataFrame, *cols: str) -> DataFrame:
-    """Frequency per category with a label 'category (n)'."""
-    return (
-        df.groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("label", F.concat(F.coalesce(F.col(cols[0]).cast("string"), F.lit("NA")),
-                                      F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
-    )
+def count_by(df: DataFrame, *cols: str, measures: Sequence[Column] = ()) -> DataFrame:
+    """Frequency per category with a label 'category (n)', and further measures in the same pass."""
+    name = F.coalesce(F.col(cols[0]).cast("string"), F.lit("NA"))
+    label = F.concat(name, F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), *measures).withColumn("label", label)
 
 
 def share_of(df: DataFrame, predicate: Column, measure: str, by: Sequence[str] = ()) -> DataFrame:

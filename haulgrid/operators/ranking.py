@@ -105,7 +105,11 @@ def percent_rank_global(df: DataFrame, col: str, out: str = "percent_rank") -> D
 
 
 def row_id(df: DataFrame, order: Sequence[Column | str], out: str = "row_num") -> DataFrame:
-    """Numbers 1..n in the stated ascending order, which must identify rows (negate a number to descend)."""
+    """Numbers 1..n in the stated ascending order (negate a number to descend).
+
+    The order must identify rows, else equal rows all meet in one bucket and may swap numbers between runs.
+    Where no column does, end it with the ``row_key`` of ``materialize``, which also tells copies apart.
+    """
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.withColumns({n: as_col(c) for n, c in zip(names, order)})
     key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])

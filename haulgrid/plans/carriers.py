@@ -45,9 +45,7 @@ def screen_carriers(
 
 def carriers_by_state(screened: DataFrame) -> DataFrame:
     """Carriers and trucks per state, with a label."""
-    counts = count_by(screened, "PHY_STATE")
-    trucks = screened.groupBy(F.col("PHY_STATE").alias("__s")).agg(strict_sum("NBR_POWER_UNIT").alias("trucks"))
-    return left_on(counts, trucks, {"PHY_STATE": "__s"})
+    return count_by(screened, "PHY_STATE", measures=[strict_sum("NBR_POWER_UNIT").alias("trucks")])
 
 
 def job_carriers(screened: DataFrame, zips: DataFrame) -> DataFrame:

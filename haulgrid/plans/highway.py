@@ -111,7 +111,8 @@ def job_zone_batches(
         {"direction": wrap_degrees(G.bearing("line")), "len_metres": G.length("line", geodesic=True)}
     ).filter(F.col("len_metres") > min_metres)
     zones = measured.select(*dict.fromkeys([*order, "zone_name", "line", "direction", "len_metres"]))
-    numbered = number_batches(materialize(zones, "zones"), size, list(order), name)
+    # names may repeat, so the place in the written table decides among equals
+    numbered = number_batches(materialize(zones, "zones", "__row"), size, [*order, "__row"], name)
     return numbered.select(
         "row_num", F.col("row_num").alias("id"), F.col("zone_name").alias("name"), F.lit(1).alias("is_pass"),
         "direction", "len_metres", "line", "batch", "batch_name",
@@ -138,8 +139,8 @@ def job_split_zones(
     """Lines (``segment_id``, ``line``) on the network cut into zones of at most ``max_len``, numbered in batches."""
     on_network = P.lines_within(lines, "line", "segment_id", network, d, tolerance)
     long_enough = on_network.filter(G.length("line") > min_len)
-    parts = materialize(P.split_lines(long_enough, "line", ["segment_id"], max_len), "zone-parts")
-    numbered = number_batches(parts, size, ["segment_id", "part"], name)
+    parts = materialize(P.split_lines(long_enough, "line", ["segment_id"], max_len), "zone-parts", "__row")
+    numbered = number_batches(parts, size, ["segment_id", "part", "__row"], name)
     return numbered.select(
         "row_num", F.col("row_num").alias("id"),
         F.concat(F.col("segment_id").cast("string"), F.lit("_"), F.col("row_num").cast("string")).alias("name"),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution sizes partitions, splits skewed join partitions (also when one key fills them) and
 # switches to a broadcast join only after it has measured the side; forcing the split also covers joins
@@ -62,18 +63,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{folder}/haulgrid-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "table", row_key: str | None = None) -> DataFrame:
     """Write a table that several later steps use and read it back.
 
     It is computed once, its lineage ends there, lost executors cannot undo it, and the planner knows its size.
+    ``row_key`` adds a text column that differs for every written row, also for copies of one row, and stays
+    the same in every later run over the table.
     """
     spark = df.sparkSession
     if shared_folder(spark) is None:
-        return df
+        return df if row_key is None else df.withColumn(row_key, F.monotonically_increasing_id().cast("string"))
     path = new_path(spark, tag)
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if row_key is None:
+        return table
+    number = F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")
+    return table.select("*", F.concat(F.col("_metadata.file_name"), F.lit(":"), number).alias(row_key))
 
 
 def measured(df: DataFrame, tag: str = "table") -> DataFrame:

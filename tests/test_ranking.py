@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from haulgrid.operators import aggregates as A
 from haulgrid.operators import ranking as K
 from haulgrid.operators import skew
+from haulgrid.session import materialize
 
 
 @pytest.fixture
@@ -74,6 +75,18 @@ def test_group_statistics_reach_every_row(spark, skewed, small, request):
     assert got["missing"].sum() == pdf["v"].isna().sum()
 
 
+def test_copies_get_their_own_numbers_and_spread_over_buckets(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("name"))
+    stored = materialize(df.repartition(4), "copies", "row")
+    assert stored.select("row").distinct().count() == 3000
+    out = K.row_id(stored, ["name", "row"]).toPandas().sort_values("row_num")
+    assert out["row_num"].tolist() == list(range(1, 3001))
+    assert out["name"].tolist() == sorted(out["name"])
+    key = F.struct(F.col("name").alias("k0"), F.col("row").alias("k1"))
+    placed = stored.withColumn("b", K._bucket(key, K._bounds(stored, key, 16)))
+    assert placed.filter("name = 'same'").groupBy("b").count().count() >= 4
+
+
 def test_null_keys_get_their_group(spark, no_small_paths):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, None), (3, "a", 5.0)], "id int, g string, v double")
     got = {r["id"]: r["v"] for r in K.impute_group_mean(df, ["g"], "v").collect()}
