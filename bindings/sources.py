@@ -40,13 +40,15 @@ UNION ALL SELECT 'customer', c_custkey, c_name FROM customer
 """)
 def scan_layers_tagged(spark, d):
     out = new_path(spark, "layers")
-    table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"),
-                                     F.lit("nation").alias("kind")).write.parquet(f"{out}/nation")
-    table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
-                                       F.lit("customer").alias("kind")).write.parquet(f"{out}/customer")
-    layers = S.read_layers(spark, f"{out}/*/part-*")
-    # part files stand in for layer files here, so the file name is only checked to be there
-    return layers.filter(F.col("layer").startswith("part-")).select(F.col("kind").alias("layer"), "key", "name")
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    S.save_tables(
+        {
+            "nation": n.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")),
+            "customer": c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")),
+        },
+        out,
+    )
+    return S.read_layers(spark, f"{out}/*", by="folder").select("layer", "key", "name")
 
 
 @query("geojson_parse", """

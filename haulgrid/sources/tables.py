@@ -58,14 +58,20 @@ def read_glob_text(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_layers(
-    spark: SparkSession, pattern: str, schema: T.StructType | str | None = None, fmt: str = "parquet"
+    spark: SparkSession, pattern: str, schema: T.StructType | str | None = None, fmt: str = "parquet", by: str = "file"
 ) -> DataFrame:
-    """Every file is a layer; column ``layer`` holds the file name without its extension."""
+    """Many layers in one scan, each row tagged with its ``layer``.
+
+    A layer is a file (tagged by its name without extension) or, with ``by="folder"``, a folder of part files.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
         reader = reader.option("header", True)
     df = reader.format(fmt).load(pattern)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    if by == "folder":
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    else:
+        name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return df.select("*", name.alias("layer"))
 
 
