@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import entropy_secrets as secrets
+from . import parity_join
 from . import redirect_filter as urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +58,7 @@ candidates AS (SELECT * FROM ({places(3, run + "+", f"length(m) >= {secrets.WIND
 windows AS (SELECT doc_id, s, m, n, m[n + 1:n + {secrets.WINDOW}] AS w
   FROM (SELECT *, unnest(range(length(m) - {secrets.WINDOW - 1})) AS n FROM candidates)),
 hits AS (SELECT doc_id, s AS c, s + n AS s, s + n + {secrets.WINDOW} AS e FROM windows
-  WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), x -> {terms}[CAST(x + 1 AS BIGINT)])) <= {limit}),
+  WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda x: {terms}[CAST(x + 1 AS BIGINT)])) <= {limit}),
 runs AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id, c ORDER BY s) AS g FROM (
     SELECT *, CASE WHEN s > lag(e) OVER (PARTITION BY doc_id, c ORDER BY s) THEN 1 ELSE 0 END AS fresh FROM hits))
@@ -106,3 +107,8 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1"""
 def op8_redirect_filter(spark, d):
     judged = urls.filter_urls(_table(spark, d, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op6_parity_join(spark, d):
+    return parity_join.near_duplicates(_table(spark, d, "documents"))
