@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import entropy_secrets as secrets
-from . import parity_join
+from . import grouped_packing, pairwise_quality, parity_join, suffix_repetition
 from . import redirect_filter as urls
+from .tables import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +74,28 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN summed USING (doc_id)"""
 
 
+@query()
+def op1_pairwise_quality(spark, d):
+    docs = _table(spark, d, "documents")
+    model = pairwise_quality.train(docs, _table(spark, d, "labels"))
+    scored = pairwise_quality.score(docs, model, keep=["doc_id"])
+    held_out = remainder(F.col("doc_id"), pairwise_quality.FOLDS) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op2_grouped_packing(spark, d):
+    import public_tokenizers
+
+    return grouped_packing.pack(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op4_suffix_repetition(spark, d):
+    judged = suffix_repetition.judge_repetition(_table(spark, d, "documents"), keep=["doc_id"])
+    return judged.drop("repeat_spans")
+
+
 @query(_secret_sql())
 def op7_entropy_secrets(spark, d):
     found = secrets.scan_secrets(_table(spark, d, "documents"))
