@@ -163,3 +163,12 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
     rows = docs.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of at least CUT, with the columns of ``docs``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(features(batch.column(text))) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import adaptive_scan, crf_extract, grouped_packing, language_bits, pairwise_quality, parity_join, raking, suffix_repetition
 from . import entropy_secrets as secrets
-from . import grouped_packing, pairwise_quality, parity_join, suffix_repetition
 from . import redirect_filter as urls
 from .tables import remainder
 
@@ -135,3 +135,60 @@ def op8_redirect_filter(spark, d):
 @query()
 def op6_parity_join(spark, d):
     return parity_join.near_duplicates(_table(spark, d, "documents"))
+
+
+@query()
+def op5_adaptive_scan(spark, d):
+    return adaptive_scan.nearest(_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op9_language_bits(spark, d):
+    docs = _table(spark, d, "documents")
+    found = language_bits.identify(docs, language_bits.train(docs), keep=["doc_id"])
+    held_out = remainder(F.col("doc_id"), language_bits.FOLDS) == language_bits.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_crf_extract(spark, d):
+    pages = _table(spark, d, "pages")
+    return crf_extract.extract(pages, crf_extract.train(pages), keep=["page_id", "url"])
+
+
+def _raking_sql() -> str:
+    """The same sweeps, written out one after the other."""
+    keys = raking.DIMENSIONS
+    steps, now = [], "c0"
+    for i in range(raking.SWEEPS):
+        for k in keys:
+            new = f"c{i}_{k}"
+            steps.append(f"""{new} AS (SELECT source, lang, topic, n, least(weight * coalesce(t_{k}.target
+  * (SELECT sum(n) FROM c0) / nullif(sum(weight * n) OVER (PARTITION BY {k}), 0), 1.0), {1 / raking.SHARE!r}) AS weight
+  FROM {now} JOIN t_{k} USING ({k}))""")
+            now = new
+    targets = ", ".join(
+        f"t_{k} AS (SELECT {k}, r / sum(r) OVER () AS target FROM (SELECT {k}, sqrt(CAST(sum(n) AS DOUBLE)) AS r FROM c0 GROUP BY {k}))"
+        for k in keys
+    )
+    return f"""
+WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
+  coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS n_tokens FROM documents),
+f AS (SELECT *, CASE WHEN contains(text, ' | ') THEN 'table' WHEN n_tokens >= {raking.LONG} THEN 'long'
+  WHEN n_tokens < {raking.SHORT} THEN 'short' ELSE 'prose' END AS topic FROM d),
+c0 AS (SELECT source, lang, topic, sum(n_tokens) AS n, 1.0::DOUBLE AS weight FROM f GROUP BY ALL),
+{targets}, {", ".join(steps)},
+p AS (SELECT f.*, weight, least(weight * {raking.SHARE}, 1.0) AS probability FROM f JOIN {now} USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight,
+  round(probability, 6) AS probability,
+  CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / CAST(16 AS DOUBLE) ** 13 < probability AS sampled FROM p"""
+
+
+@query(_raking_sql())
+def op3_raking(spark, d):
+    mixed = raking.mix_sources(_table(spark, d, "documents"))
+    return mixed.select(
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"),
+        F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"),
+    )
