@@ -162,7 +162,7 @@ def leaf_blocks(page: str) -> list[Block]:
 _NAMES = (
     ["bias", *TELLING, *_TAGS, "not", "main_mark", "hidden", "header_inside", "in_list_links"]
     + [f"words{k}" for k in range(4)] + [f"links{k}" for k in range(3)]
-    + ["sentence", "copyright", "shouts", "first", "last"]
+    + ["sentence", "copyright", "shouts"]
 )
 _AT = {n: i for i, n in enumerate(_NAMES)}
 
@@ -170,7 +170,7 @@ _AT = {n: i for i, n in enumerate(_NAMES)}
 def block_features(blocks: list[Block]) -> list[list[int]]:
     """The numbers of the features that hold for each block."""
     out = []
-    for i, b in enumerate(blocks):
+    for b in blocks:
         n, share = len(b.text.split()), b.linked / max(len(b.text), 1)
         own = [0, *[_AT[t] for t in b.tags if t in _AT]]
         own += [_AT[m] for m in ("not", "hidden") if m in b.marks] + [_AT["main_mark"]] * ("main" in b.marks)
@@ -186,10 +186,6 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
             own.append(_AT["copyright"])
         if b.text.isupper():
             own.append(_AT["shouts"])
-        if i == 0:
-            own.append(_AT["first"])
-        if i == len(blocks) - 1:
-            own.append(_AT["last"])
         out.append(own)
     return out
 

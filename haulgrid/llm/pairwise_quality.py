@@ -93,7 +93,7 @@ def learn(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e
     """Bradley-Terry weights by Newton's method. With one class only, every score is the share of good rows."""
     prior = float(good.mean()) if len(good) else 0.5
     blank = QualityModel(np.zeros(FEATURES), np.zeros(FEATURES), np.ones(FEATURES), 0.0, prior)
-    if not 0 < prior < 1:
+    if not len(good) or not 0 < prior < 1:
         return blank
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1
