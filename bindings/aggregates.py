@@ -219,14 +219,16 @@ def pivot_counts(spark, d):
 
 @query("pivot_values", """
 SELECT n_regionkey, max(CASE WHEN n_nationkey // 5 = 0 THEN n_name END) AS k0,
-       max(CASE WHEN n_nationkey // 5 = 1 THEN n_name END) AS k1, max(CASE WHEN n_nationkey // 5 = 7 THEN n_name END) AS k7
+       max(CASE WHEN n_nationkey // 5 = 1 THEN n_name END) AS k1, max(CASE WHEN n_nationkey // 5 = 2 THEN n_name END) AS k2,
+       max(CASE WHEN n_nationkey // 5 = 3 THEN n_name END) AS k3, max(CASE WHEN n_nationkey // 5 = 4 THEN n_name END) AS k4,
+       max(CASE WHEN n_nationkey // 5 = 7 THEN n_name END) AS k7
 FROM nation GROUP BY 1
 """)
 def pivot_values(spark, d):
     n = table(spark, d, "nation").select(
         "n_regionkey", "n_name", F.concat(F.lit("k"), F.floor(F.col("n_nationkey") / 5).cast("string")).alias("variable")
     )
-    return S.pivot_values(n, ["n_regionkey"], "variable", ["k0", "k1", "k7"], "n_name")
+    return S.pivot_values(n, ["n_regionkey"], "variable", ["k0", "k1", "k2", "k3", "k4", "k7"], "n_name")
 
 
 @query("totals_one_row", """

@@ -483,8 +483,8 @@ SELECT route AS "ROUTE_LABE", round(avg(trucks), 4) AS "avgTrucks", round(avg(tr
 def job_truck_share(spark, d):
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")
-    adt = o.filter(F.col("o_orderstatus") != "P").select(
-        key.alias("SEQUENCE_N"), F.when(key % 13 != 0, F.col("o_totalprice")).otherwise(0.0).alias("CURRENT_VO")
+    adt = o.select(
+        F.when(F.col("o_orderstatus") != "P", key).alias("SEQUENCE_N"), F.when(key % 13 != 0, F.col("o_totalprice")).otherwise(0.0).alias("CURRENT_VO")
     )
     trucks = o.select(
         key.alias("SEQUENCE_N"), F.concat(F.lit("TH "), (F.col("o_custkey") % 100).cast("string")).alias("ROUTE_LABE"),
@@ -737,16 +737,16 @@ def rail_lines(spark, d):
 
 
 def _point_crossings(spark, d):
-    """Crossings for the volume job: a sparse set, so that some lines stay without one."""
+    """Crossings for the volume job, all in the south, so that some lines stay without one."""
     k = F.col("id")
-    return points(spark, d).filter("y < 700").select(
+    return points(spark, d).withColumn("y", F.col("y") * 0.75).select(
         k.alias("CrossingID"), F.when(k % 9 != 0, k % 7).alias("trainTot"), (k % 5 * 10).alias("MaxTtSpd"), "x", "y"
     )
 
 
 @query("job_rail_volume", f"""
 WITH {PTS}, {SEGS},
-x AS (SELECT id, x, y, CASE WHEN id % 9 <> 0 THEN id % 7 END AS trains, id % 5 * 10 AS speed FROM pts WHERE y < 700),
+x AS (SELECT id, x, y * CAST(0.75 AS DOUBLE) AS y, CASE WHEN id % 9 <> 0 THEN id % 7 END AS trains, id % 5 * 10 AS speed FROM pts),
 d1 AS (SELECT id, line_id, min({dist_sql('x', 'y')}) AS dist FROM x, segs GROUP BY 1, 2),
 near AS (SELECT id, line_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, line_id) AS r FROM d1) WHERE r = 1),
 mt AS (SELECT line_id, trains FROM (SELECT line_id, trains, row_number() OVER (PARTITION BY line_id ORDER BY count(*) DESC, trains NULLS LAST) AS r

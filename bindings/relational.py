@@ -226,19 +226,19 @@ def join_left(spark, d):
 SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
 """)
 def join_natural(spark, d):
-    c = table(spark, d, "customer").filter(F.col("c_acctbal") > 0)
+    key = F.when(F.col("c_acctbal") > 0, F.col("c_custkey"))
     return R.natural_join(
         table(spark, d, "orders").select("o_orderkey", "o_custkey"),
-        c.select(F.col("c_custkey").alias("o_custkey"), "c_name"),
+        table(spark, d, "customer").select(key.alias("o_custkey"), "c_name"),
     )
 
 
 @query("join_inner", """
 SELECT l_orderkey, l_linenumber, p_brand, round(l_extendedprice, 4) AS price
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO'
+FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 def join_inner(spark, d):
-    p = table(spark, d, "part").filter(F.col("p_type") == "PROMO").select("p_partkey", "p_brand")
+    p = table(spark, d, "part").select("p_partkey", "p_brand")
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.round("l_extendedprice", 4).alias("price")
     )
@@ -252,8 +252,8 @@ SELECT n_nationkey AS area, total FROM
 """)
 def join_right(spark, d):
     totals = (
-        table(spark, d, "supplier").filter(F.col("s_acctbal") > 8000)
-        .groupBy(F.col("s_nationkey").alias("area")).agg(F.round(F.sum("s_acctbal"), 4).alias("total"))
+        table(spark, d, "supplier")
+        .groupBy(F.when(F.col("s_acctbal") > 8000, F.col("s_nationkey")).alias("area")).agg(F.round(F.sum("s_acctbal"), 4).alias("total"))
     )
     return R.natural_join(totals, table(spark, d, "nation").select(F.col("n_nationkey").alias("area")), "right")
 

@@ -124,12 +124,10 @@ def units_density(spark, d):
 
 @query("bearing_wrap", """
 SELECT event_id, CASE WHEN b <= 0 THEN b + 360 ELSE b END AS bearing
-FROM (SELECT event_id, CAST(trunc(value - 180) AS INT) AS b FROM events WHERE value <= 360)
+FROM (SELECT event_id, CAST(trunc(value % 360 - 180) AS INT) AS b FROM events)
 """)
 def bearing_wrap(spark, d):
-    return table(spark, d, "events").filter(F.col("value") <= 360).select(
-        "event_id", X.wrap_degrees(F.col("value") - 180).alias("bearing")
-    )
+    return table(spark, d, "events").select("event_id", X.wrap_degrees(F.col("value") % 360 - 180).alias("bearing"))
 
 
 @query("json_roundtrip", """

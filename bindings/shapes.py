@@ -26,6 +26,7 @@ def lines(spark, d, *extra):
 
 OUTER = [(0, 0), (200, 0), (200, 100), (100, 100), (100, 200), (0, 200), (0, 0)]
 HOLE = [(30, 30), (30, 70), (70, 70), (70, 30), (30, 30)]
+NOTCH = [(110, 110), (190, 110), (190, 190), (110, 190), (110, 110)]
 SQUARE = [(0, 0), (200, 0), (200, 200), (0, 200), (0, 0)]
 
 
@@ -43,6 +44,12 @@ def areas(spark, d):
     return _areas(spark, d, [OUTER, HOLE])
 
 
+def two_part_areas(spark, d):
+    """The L-shape with its hole, and a square in its notch, as one area of two parts."""
+    whole = _areas(spark, d, [OUTER, HOLE, NOTCH])
+    return whole.select("area", F.array(F.slice("rings", 1, 2), F.slice("rings", 3, 1)).alias("polygons"))
+
+
 def tiles(spark, d):
     return _areas(spark, d, [SQUARE])
 
@@ -69,6 +76,7 @@ segs AS (SELECT a.line_id, a.s_acctbal, a.vertex AS seg, a.x AS x1, a.y AS y1, b
     sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
   FROM vert a JOIN vert b ON a.line_id = b.line_id AND b.vertex = a.vertex + 1)"""
 EDGES = _edges_sql("edges", [OUTER, HOLE])
+TWO_PART_EDGES = _edges_sql("two_part", [OUTER, HOLE, NOTCH])
 TILE_EDGES = _edges_sql("tile_edges", [SQUARE])
 
 

@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from haulgrid.functions import geometry
+from haulgrid.operators import spatial
 from haulgrid.session import new_path
 from haulgrid.sources import geojson as G
 from haulgrid.sources import payloads as P
 from haulgrid.sources import tables as S
 
 from .registry import query, table
+from .shapes import PTS, TWO_PART_EDGES, points, two_part_areas
 
 
 @query("scan_csv_typed", """
@@ -136,3 +139,54 @@ def batch_configs(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
     numbered = P.number_batches(o, 1000, ["o_orderkey"], "Zone")
     return P.request_configs(numbered, {"travel_mode_type": "Truck"}, "_SegmentAnalysis")
+
+
+@query("layer_two_part_areas", f"""
+WITH {PTS}, {TWO_PART_EDGES},
+hit AS (SELECT area, id FROM pts JOIN two_part ON (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) * (x2 - x1) / (y2 - y1) < x
+  GROUP BY area, id HAVING count(*) % 2 = 1),
+ring AS (SELECT area, r, abs(sum(x1 * y2 - x2 * y1)) / 2 AS size FROM two_part GROUP BY area, r),
+sized AS (SELECT area, round(sum(CASE WHEN r = 1 THEN -size ELSE size END), 4) AS sqft FROM ring GROUP BY area)
+SELECT area, sqft, count(id) AS points FROM sized LEFT JOIN hit USING (area) GROUP BY area, sqft
+""")
+def layer_two_part_areas(spark, d):
+    """A layer of two-part areas with holes, written, read back and joined with points."""
+    out = new_path(spark, "two-part-areas")
+    G.write_features(two_part_areas(spark, d), out, "polygons", "MultiPolygon", ["area"])
+    layer = G.read_geojson(spark, out, "area int").select("area", "polygons")
+    joined = spatial.spatial_join(
+        layer.withColumn("sqft", F.round(geometry.whole_area(layer, "polygons"), 4)), points(spark, d), "polygons", "area"
+    )
+    return joined.groupBy("area", "sqft").agg(F.count("id").alias("points"))
+
+
+@query("geojson_document", """
+SELECT CAST(n_nationkey AS BIGINT) AS id, kind, CAST(n_nationkey AS DOUBLE) AS x, CAST(CASE WHEN kind = 'Point' THEN 1 ELSE 2 END AS INTEGER) AS n
+FROM nation, (VALUES ('Point'), ('MultiPoint'), ('LineString'), ('MultiLineString'), ('Polygon'), ('MultiPolygon')) k(kind)
+""")
+def geojson_document(spark, d):
+    """Every geometry type in one document: type, first coordinate and number of its points, parts or rings."""
+    shapes = {
+        "Point": "[%1$d,1]", "MultiPoint": "[[%1$d,1],[2,3]]", "LineString": "[[%1$d,1],[2,3]]",
+        "MultiLineString": "[[[%1$d,1],[2,3]],[[4,5],[6,7]]]", "Polygon": "[[[%1$d,0],[90,0],[90,90],[%1$d,0]],[[80,10],[85,10],[85,20],[80,10]]]",
+        "MultiPolygon": "[[[[%1$d,0],[90,0],[90,90],[%1$d,0]]],[[[100,0],[101,0],[101,1],[100,0]]]]",
+    }
+    key = F.col("n_nationkey").cast("long")
+    parts = [
+        F.format_string(
+            f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":{text}}},"properties":{{"id":%1$d}}}}', key
+        )
+        for kind, text in shapes.items()
+    ]
+    out = new_path(spark, "document")
+    whole = table(spark, d, "nation").select(F.concat_ws(",", *parts).alias("f")).agg(F.array_join(F.collect_list("f"), ",").alias("f"))
+    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).coalesce(1).write.text(out)
+    read = G.read_geojson_document(spark, out, "id long")
+    kind = F.col("geometry_type")
+    first = F.when(kind == "Point", F.col("point")).when(kind == "MultiPoint", F.col("points")[0]).when(
+        kind.contains("Line"), F.col("lines")[0][0]
+    ).otherwise(F.col("polygons")[0][0][0])
+    n = F.when(kind == "Point", 1).when(kind == "MultiPoint", F.size("points")).when(
+        kind == "LineString", F.size(F.col("lines")[0])
+    ).when(kind == "MultiLineString", F.size("lines")).when(kind == "Polygon", F.size(F.col("polygons")[0])).otherwise(F.size("polygons"))
+    return read.select("id", kind.alias("kind"), first["x"].alias("x"), n.cast("int").alias("n"))

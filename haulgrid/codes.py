@@ -14,31 +14,6 @@ GDP_CODES = (
 # Ranged codes and the single code each is stored under.
 RANGED_CODES = {"31-33": "31", "44-45": "44", "48-49": "48"}
 
-# Short sector names.
-SECTOR_LABELS = {
-    "11": "11: Agriculture",
-    "21": "21: Mining/Quarrying",
-    "22": "22: Utilities",
-    "23": "23: Construction",
-    "31-33": "31-33: Manufacturing",
-    "42": "42: Wholesale Trade",
-    "44-45": "44-45: Retail Trade",
-    "48-49": "48-49: Transportation",
-    "51": "51: Information",
-    "52": "52: Finance/Insurance",
-    "53": "53: Real Estate",
-    "54": "54: Prof. Services",
-    "55": "55: Company Management",
-    "56": "56: Admin./Support",
-    "61": "61: Educational Services",
-    "62": "62: Health Care/Soc. Services",
-    "71": "71: Arts/Recreation",
-    "72": "72: Accomm./Food Services",
-    "81": "81: Other Services",
-    "All": "All Industry Total",
-    "Gov": "Government",
-}
-
 # Sector of each job-count column CNS01, CNS02, … in order.
 JOB_SECTORS = (
     "11", "21", "22", "23", "31", "42", "44", "48", "51", "52", "53", "54", "55", "56", "61", "62", "71", "72",
@@ -54,10 +29,21 @@ RAIL_OWNERS = (
 )
 
 # Survey variables by table; a group is the sum of its members.
-ACS_AGE65 = tuple(f"B01001_{i:03d}" for i in (20, 21, 22, 23, 24, 25, 44, 45, 46, 47, 48, 49))
-ACS_POV100 = tuple(f"B17026_{i:03d}" for i in (2, 3, 4))
-ACS_POV185 = tuple(f"B17026_{i:03d}" for i in (2, 3, 4, 5, 6, 7, 8))
-ACS_ENGLISH = tuple(
-    f"B16004_{i:03d}" for i in (3, 25, 47, 5, 10, 15, 20, 27, 32, 37, 42, 49, 54, 59, 64)
+ACS_AGE65 = (
+    "B01001_020", "B01001_021", "B01001_022", "B01001_023", "B01001_024", "B01001_025", "B01001_044", "B01001_045",
+    "B01001_046", "B01001_047", "B01001_048", "B01001_049",
+)
+ACS_POV100 = (
+    "B17026_002", "B17026_003", "B17026_004",
+)
+ACS_POV185 = (
+    "B17026_002", "B17026_003", "B17026_004", "B17026_005", "B17026_006", "B17026_007", "B17026_008",
+)
+ACS_ENGLISH = (
+    "B16004_003", "B16004_025", "B16004_047", "B16004_005", "B16004_010", "B16004_015", "B16004_020", "B16004_027",
+    "B16004_032", "B16004_037", "B16004_042", "B16004_049", "B16004_054", "B16004_059", "B16004_064",
+)
+ACS_DISABLED = (
+    "B18101_004", "B18101_007", "B18101_010", "B18101_013", "B18101_016", "B18101_019", "B18101_023", "B18101_026",
+    "B18101_029", "B18101_032", "B18101_035", "B18101_038",
 )
-ACS_DISABLED = tuple(f"B18101_{i:03d}" for i in (4, 7, 10, 13, 16, 19, 23, 26, 29, 32, 35, 38))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .nulls import as_col
@@ -91,6 +92,39 @@ def multi_area(polygons: Column | str) -> Column:
     return _total(F.transform(as_col(polygons), area))
 
 
+def depth(df: DataFrame, col: str) -> int:
+    """Levels of arrays in a geometry column: line 1, polygon or multi-part line 2, multi-part polygon 3."""
+    kind, levels = df.schema[col].dataType, 0
+    while isinstance(kind, T.ArrayType):
+        kind, levels = kind.elementType, levels + 1
+    return levels
+
+
+def all_rings(df: DataFrame, col: str) -> Column:
+    """The rings of an area, of one part or of many; parts do not overlap, so even-odd tests hold over all rings."""
+    return F.flatten(F.col(col)) if depth(df, col) == 3 else F.col(col)
+
+
+def whole_area(df: DataFrame, col: str) -> Column:
+    """Area of one part or of many."""
+    return multi_area(col) if depth(df, col) == 3 else area(col)
+
+
+def whole_length(df: DataFrame, col: str, geodesic: bool = False) -> Column:
+    """Length of a line of one part or of many."""
+    if depth(df, col) == 1:
+        return length(col, geodesic)
+    return _total(F.transform(col, lambda part: length(part, geodesic)))
+
+
+def inner_point(df: DataFrame, col: str) -> Column:
+    """A point inside an area; of many parts, inside the largest one (the first of equal ones)."""
+    if depth(df, col) != 3:
+        return point_on_surface(col)
+    sized = F.transform(col, lambda part, i: F.struct((-area(part)).alias("a"), i.alias("i"), part.alias("p")))
+    return let(F.array_min(sized)["p"], point_on_surface)
+
+
 def bearing(line: Column | str) -> Column:
     """Initial great-circle bearing from first to last point, -180 to 180 degrees."""
     line = as_col(line)
@@ -247,6 +281,29 @@ def segments_cross(a: list[Column], b: list[Column]) -> Column:
     return ((d1 > 0) != (d2 > 0)) & ((d3 > 0) != (d4 > 0)) & (d1 * d2 < 0) & (d3 * d4 < 0)
 
 
+def on_segment(px: Column, py: Column, s: list[Column]) -> Column:
+    """A point lies on a segment, ends included."""
+    in_box = px.between(F.least(s[0], s[2]), F.greatest(s[0], s[2])) & py.between(F.least(s[1], s[3]), F.greatest(s[1], s[3]))
+    return in_box & (orient(*s, px, py) == 0)
+
+
+def segments_touch(a: list[Column], b: list[Column]) -> Column:
+    """An end of one segment lies on the other."""
+    return on_segment(a[0], a[1], b) | on_segment(a[2], a[3], b) | on_segment(b[0], b[1], a) | on_segment(b[2], b[3], a)
+
+
+def segments_overlap(a: list[Column], b: list[Column]) -> Column:
+    """Both segments run along one line and share more than a point."""
+    along = (orient(*a, b[0], b[1]) == 0) & (orient(*a, b[2], b[3]) == 0)
+
+    def shared(i: int) -> Column:
+        return F.greatest(F.least(a[i], a[i + 2]), F.least(b[i], b[i + 2])) < F.least(
+            F.greatest(a[i], a[i + 2]), F.greatest(b[i], b[i + 2])
+        )
+
+    return along & (shared(0) | shared(1))
+
+
 def segment_segment(a: list[Column], b: list[Column]) -> Column:
     """Distance between two segments: 0 if they cross, else the smallest end-to-segment distance."""
     ends = F.least(

@@ -17,12 +17,14 @@ SAMPLE_PER_BUCKET = 20
 def _bounds(df: DataFrame, key: Column, buckets: int) -> list:
     """Split points for ``buckets`` ranges of a column of distinct keys.
 
-    The sample is the rows with the smallest key hash: the same for every run, whatever order tasks
-    finish in, and never more than ``SAMPLE_PER_BUCKET * buckets`` keys on the driver.
+    The sample is the keys whose hash lies below a threshold that follows from their number: the same for every
+    run, whatever order tasks finish in, and about ``SAMPLE_PER_BUCKET * buckets`` keys on the driver.
     """
     keyed = df.select(key.alias("k"))
-    sample = keyed.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_PER_BUCKET * buckets)
-    ordered = [r["k"] for r in sample.sort("k").collect()]
+    wanted = SAMPLE_PER_BUCKET * buckets
+    total = keyed.count()
+    share = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < F.lit(wanted / max(total, 1) * float(1 << 40))
+    ordered = [r["k"] for r in keyed.filter(share).sort("k").collect()]
     if len(ordered) < SAMPLE_PER_BUCKET:
         return []
     buckets = min(buckets, len(ordered) // SAMPLE_PER_BUCKET)
@@ -78,13 +80,8 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return materialize(counted, "value-counts")
 
 
-def value_ranks(counted: DataFrame, col: str) -> DataFrame:
-    """Value counts with ``below`` (rows with a smaller value) and ``total`` (all known rows)."""
-    return beside(_ranks(counted, F.col(col), [col]), counted.agg(F.sum("n").alias("total")))
-
-
 def group_value_ranks(counted: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """As ``value_ranks``, counted inside each group."""
+    """Value counts with ``below`` (rows of the group with a smaller value) and ``total`` (its known rows)."""
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*by, col])])
     ranked = _ranks(counted, key, [*by, col]).withColumnRenamed("below", "__before")
     groups = ranked.groupBy(*by).agg(
@@ -98,10 +95,32 @@ def group_value_ranks(counted: DataFrame, by: Sequence[str], col: str) -> DataFr
 
 
 def percent_rank_global(df: DataFrame, col: str, out: str = "percent_rank") -> DataFrame:
-    """Share of the other known values that are smaller; NULL for missing values and for a lone value."""
-    ranks = value_ranks(value_counts(df, col), col)
-    scored = ranks.select(col, "n", ratio(F.col("below"), F.col("total") - 1).alias(out))
-    return attach_by_key(df, scored, [col], "n")
+    """Share of the other known values that are smaller; NULL for missing values and for a lone value.
+
+    Rows are ranked where they are: put into ranges of values, counted, and ranked in their range, so they are shuffled once.
+    A value that fills a range of its own is ranked by the counts alone and its rows do not move, nor do NULLs.
+    """
+    rows = materialize(df, "to-rank")
+    buckets = shuffle_partitions(df.sparkSession)
+    v = F.col(col)
+    points = F.percentile_approx(v, F.lit([i / buckets for i in range(1, buckets)]), F.lit(100 * buckets))
+    found = rows.agg((points if buckets > 1 else F.lit(None)).alias("p"), F.count(v).alias("n")).first()
+    bounds = sorted(set(found["p"] or []))
+    wide = sorted({p for p in bounds if found["p"].count(p) > 1})
+    alone = v.isin(wide) if wide else F.lit(False)
+    # ranges have even numbers; a wide value is the odd number before the range that begins with it
+    placed = rows.withColumn("__bucket", 2 * _bucket(v, bounds) - F.when(alone, 1).otherwise(0))
+    known = placed.filter(v.isNotNull())
+    sizes = known.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(  # at most two rows for each bucket
+        sizes.select("__bucket", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
+    )
+    near = F.rank().over(Window.partitionBy("__bucket").orderBy(v)) - 1
+    ranked = known.filter(~alone).withColumn("__near", near).unionByName(known.filter(alone).withColumn("__near", F.lit(0)))
+    share = ratio(F.col("__near") + F.col("__offset"), F.lit(found["n"] - 1))
+    scored = ranked.join(offsets, "__bucket").withColumn(out, share).select(*df.columns, out)
+    return scored.unionByName(rows.filter(v.isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def row_id(df: DataFrame, order: Sequence[Column | str], out: str = "row_num") -> DataFrame:

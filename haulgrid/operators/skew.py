@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HOT_SHARE = 1e-3
-# statistics of so many keys are a few megabytes
-BROADCAST_KEYS = 100_000
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -32,29 +30,28 @@ def attach_by_key(
 ) -> DataFrame:
     """Left-join per-key statistics (unique by ``keys``, with a row count) to every row of ``df``.
 
-    The statistics are written once and measured. Up to ``BROADCAST_KEYS`` keys they are broadcast and no row
-    is shuffled. Beyond that, keys holding at least ``hot_share`` of the rows number at most
-    ``1 / hot_share``: their statistics are broadcast and their rows stay where they are, and all other rows
-    go through a shuffle join in which no single key can be large. NULL keys match NULL keys.
+    The statistics are written once. Keys with at least ``hot_share`` of the rows number at most ``1 / hot_share``
+    whatever the size, so they are broadcast. All other keys are joined as the planner sees fit by their measured
+    bytes; if that shuffles, rows of hot keys are dealt by the task they come from instead of by their key. NULL is a
+    key like any other.
     """
     keys = list(keys)
-    right_keys = ["__s_" + k for k in keys]
     values = [c for c in stats.columns if c not in keys and c != count_col]
     kept = materialize(
-        stats.select(*[F.col(k).alias("__s_" + k) for k in keys], *values, F.col(count_col).alias("__rows")), "key-stats"
+        stats.select(*[F.col(k).alias("__s_" + k) for k in keys], F.struct(F.lit(1), *values).alias("__v"),
+                     F.col(count_col).alias("__rows")),
+        "key-stats",
     )
-    size = kept.agg(
-        F.count(F.lit(1)).alias("keys"), F.sum("__rows").alias("rows"), F.max("__rows").alias("largest")
-    ).first()
-    on = _on(keys, "__s_")
-    right = kept.drop("__rows")
-    if size["keys"] <= BROADCAST_KEYS:
-        return df.join(F.broadcast(right), on, "left").drop(*right_keys)
-    limit = size["rows"] * hot_share
-    if size["largest"] < limit:
-        return df.join(right, on, "left").drop(*right_keys)
-    hot = F.broadcast(kept.filter(F.col("__rows") >= limit).drop("__rows"))
-    cold = kept.filter(F.col("__rows") < limit).drop("__rows")
-    hot_rows = df.join(hot, on, "inner")
-    cold_rows = df.join(hot.select(*right_keys), on, "left_anti").join(cold, on, "left")
-    return hot_rows.unionByName(cold_rows).drop(*right_keys)
+    limit = (kept.agg(F.sum("__rows")).first()[0] or 0) * hot_share
+    hot = kept.filter(F.col("__rows") >= limit).select(
+        *[F.col("__s_" + k).alias("__h_" + k) for k in keys], F.col("__v").alias("__hot")
+    )
+    # not a literal, else the planner would take it out of the join key
+    cold = kept.filter(F.col("__rows") < limit).withColumn("__s_deal", F.when(F.col("__rows") < 0, 0).otherwise(-1))
+    dealt = df.join(F.broadcast(hot), _on(keys, "__h_"), "left").withColumn(
+        "__deal", F.when(F.col("__hot").isNull(), -1).otherwise(F.spark_partition_id())
+    )
+    out = dealt.join(cold, _on(keys, "__s_") & (F.col("__deal") == F.col("__s_deal")), "left").withColumn(
+        "__v", F.coalesce("__hot", "__v")
+    )
+    return out.select(*[F.col(c) for c in df.columns], *[F.col("__v")[v].alias(v) for v in values])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import materialize, measured
+from ..session import materialize
 
 ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -17,18 +17,34 @@ ENDS = ["x1", "y1", "x2", "y2"]
 # ---- tables of vertices, segments and cells ------------------------------------------------------------
 
 
+#: Numbers that the pieces of a line's next part are ahead of those of the part before.
+PART = 1 << 32
+
+
+def line_parts(df: DataFrame, line: str, part: str = "line_part") -> DataFrame:
+    """One row per part of lines with many parts, with its number."""
+    others = [c for c in df.columns if c != line]
+    return df.select(*others, F.posexplode(line).alias(part, line))
+
+
 def vertices(df: DataFrame, line: str, keep: Sequence[str]) -> DataFrame:
-    """One row per vertex with its position."""
+    """One row per vertex with its position; parts of a line are PART numbers apart."""
+    if G.depth(df, line) == 2:
+        parts = vertices(line_parts(df.select(*keep, line), line), line, [*keep, "line_part"])
+        return parts.withColumn("vertex", F.col("line_part") * F.lit(PART) + F.col("vertex")).drop("line_part")
     return df.select(*keep, F.posexplode(line).alias("vertex", "p")).select(*keep, "vertex", "p.x", "p.y")
 
 
 def segments(df: DataFrame, line: str, keep: Sequence[str]) -> DataFrame:
-    """One row per straight piece: ``seg``, ``x1``, ``y1``, ``x2``, ``y2``."""
+    """One row per straight piece: ``seg``, ``x1``, ``y1``, ``x2``, ``y2``; parts of a line are PART numbers apart."""
+    if G.depth(df, line) == 2:
+        parts = segments(line_parts(df.select(*keep, line), line), line, [*keep, "line_part"])
+        return parts.withColumn("seg", F.col("line_part") * F.lit(PART) + F.col("seg")).drop("line_part")
     return df.select(*keep, F.posexplode(G.pairs(F.col(line))).alias("seg", "s")).select(*keep, "seg", "s.*")
 
 
 def polygon_edges(df: DataFrame, polygon: str, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, F.explode(G.ring_edges(F.col(polygon))).alias("s")).select(*keep, "s.*")
+    return df.select(*keep, F.explode(G.ring_edges(G.all_rings(df, polygon))).alias("s")).select(*keep, "s.*")
 
 
 def _index(c: Column, cell: float, origin: float = 0.0) -> Column:
@@ -65,7 +81,7 @@ def segment_cells(df: DataFrame, cell: float, pad: float = 0.0, x0: float = 0.0,
 
 def auto_cell(polys: DataFrame, rings: str) -> float:
     """Grid size for a layer of areas: a few edges to a boundary cell, and 4 to 64 cells across an average area."""
-    edges = G.ring_edges(F.col(rings))
+    edges = G.ring_edges(G.all_rings(polys, rings))
     xs, ys = F.transform(edges, lambda e: e["x1"]), F.transform(edges, lambda e: e["y1"])
     span = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
     lengths = F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
@@ -83,6 +99,7 @@ def polygon_cells(df: DataFrame, rings: str, keep: Sequence[str], cell: float) -
     Each row holds a cell's corner, whether an even or odd number of edges lies below that corner, and the
     edges that touch the cell. Cells wholly outside are left out.
     """
+    df = df.withColumn(rings, G.all_rings(df, rings))
     points = F.flatten(F.col(rings))
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     base = df.filter(F.size(points) > 0).select(
@@ -181,7 +198,8 @@ def spatial_join(
 ) -> DataFrame:
     """Every area with the points inside it; an area without points comes out once with NULLs."""
     attributes = [c for c in polys.columns if c != rings]
-    matched = points_in_area(pts, polys, rings, cell, x, y).select(*attributes, *pts.columns)
+    inside = points_in_area(pts, polys, rings, cell, x, y).select(*attributes, *pts.columns)
+    matched = materialize(inside, "points-in-areas")  # used twice, computed once
     found = matched.select(F.col(poly_id).alias("__found")).distinct()
     empty = polys.select(*attributes).join(found, F.col(poly_id) == F.col("__found"), "left_anti")
     return matched.unionByName(empty, allowMissingColumns=True)
@@ -333,8 +351,18 @@ def _regroup(parts: DataFrame, by: Sequence[str], order: Sequence[str], out: str
 
 
 def split_lines(df: DataFrame, line: str, line_id: Sequence[str], max_len: float) -> DataFrame:
-    """Each line in n equal parts no longer than ``max_len``: ``part`` 1..n, ``n_parts`` and the part's line."""
+    """Each line in n equal parts no longer than ``max_len``: ``part`` 1..n, ``n_parts`` and the part's line.
+
+    A line of no length is one part, as it is; a NULL line or one without points has none. Of lines with many parts
+    each part is cut by itself and numbered in ``line_part``.
+    """
     line_id = list(line_id)
+    if G.depth(df, line) == 2:
+        return split_lines(line_parts(df.select(*line_id, line), line), line, [*line_id, "line_part"], max_len)
+    still = (F.size(line) > 0) & (F.coalesce(G.length(line), F.lit(0.0)) == 0)
+    one = F.lit(1)
+    standing = df.filter(still).select(*line_id, one.alias("part"), one.alias("n_parts"), line)
+    df = df.filter(G.length(line) > 0)
     segs = segments(df, line, line_id).withColumn("__len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     before = Window.partitionBy(*line_id).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*line_id)
@@ -356,20 +384,23 @@ def split_lines(df: DataFrame, line: str, line_id: Sequence[str], max_len: float
         (x1 + F.col("__lo") * (x2 - x1)).alias("x1"), (y1 + F.col("__lo") * (y2 - y1)).alias("y1"),
         (x1 + F.col("__hi") * (x2 - x1)).alias("x2"), (y1 + F.col("__hi") * (y2 - y1)).alias("y2"),
     )
-    return _regroup(parts, [*line_id, "part", "n_parts"], ["seg"], line)
+    cut_lines = _regroup(parts, [*line_id, "part", "n_parts"], ["seg"], line)
+    return cut_lines.unionByName(standing.withColumns({c: F.col(c).cast(cut_lines.schema[c].dataType) for c in ("part", "n_parts")}))
 
 
 def lines_within(
     df: DataFrame, line: str, line_id: str, network: DataFrame, d: float, tolerance: float
 ) -> DataFrame:
-    """Lines that stay within ``d`` of the network segments, tested every ``tolerance`` units at most."""
+    """Lines that stay within ``d`` of the network segments, tested every ``tolerance`` units at most.
+
+    A line of no length is tested where it stands; NULL lines and lines without points are not within.
+    """
     parts = split_lines(df.select(line_id, line), line, [line_id], tolerance)
     ends = F.array(F.col(line)[0], F.element_at(F.col(line), -1))
-    pts = parts.select(line_id, "part", F.posexplode(ends).alias("vertex", "p")).select(
-        line_id, "part", "vertex", "p.x", "p.y"
-    )
+    pts = parts.select(line_id, F.explode(ends).alias("p")).select(line_id, "p.x", "p.y")
     outside = beyond_distance(pts, network, d).select(F.col(line_id).alias("__out")).distinct()
-    return df.join(outside, F.col(line_id) == F.col("__out"), "left_anti")
+    points = F.flatten(line) if G.depth(df, line) == 2 else F.col(line)
+    return df.filter(F.size(points) > 0).join(outside, F.col(line_id) == F.col("__out"), "left_anti")
 
 
 def clip_lines(
@@ -385,7 +416,7 @@ def clip_lines(
     side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
     end1, end2 = G.orient(*a, b[0], b[1]), G.orient(*a, b[2], b[3])
     meets = ((side1 > 0) != (side2 > 0)) & (end1 * end2 <= 0)
-    hits = cell_join(measured(segment_cells(segs, cell), "line-cells"), edge_cells, "inner", meets)
+    hits = cell_join(materialize(segment_cells(segs, cell), "line-cells"), edge_cells, "inner", meets)
     cuts = hits.groupBy(F.col(line_id).alias("__k"), F.col("seg").alias("__s")).agg(
         F.array_sort(F.collect_set(side1 / (side1 - side2))).alias("__cuts")
     )
@@ -450,45 +481,65 @@ def _box_cells(df: DataFrame, size: Column) -> DataFrame:
 def validity(df: DataFrame, rings: str, poly_id: str) -> DataFrame:
     """Per polygon: are its rings sound, how often do its own edges cross, and is it valid.
 
+    Not valid are rings that are not sound, edges that cross or run along each other (spikes too), edges of one ring
+    that touch without being neighbours, and holes outside their shell. A hole may touch its shell at a point.
+
     Every edge is filed in the cells of a grid as coarse as the edge is long, and looks up the cells it lies in
     on its own and all coarser grids of its polygon. So a stretch drawn in great detail does not crowd a cell.
     """
-    edge_list = G.ring_edges(F.col(rings))
+    parts = F.col(rings) if G.depth(df, rings) == 3 else F.array(rings)
+    each = F.flatten(parts)
+    finite = "abs(x1 + x2 + y1 + y2) < double('inf')"
+    # repeated points make no edge, so neighbours have consecutive numbers
+    drawn = F.transform(each, lambda r: F.filter(G.pairs(r), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"])))
     edges = materialize(
-        df.select(F.col(poly_id).alias("__pid"), F.posexplode(edge_list).alias("seg", "s"))
-        .select("__pid", "seg", "s.*").withColumn("__lv", _level(*[F.col(c) for c in ENDS]))
-        .filter("(x1 <> x2 OR y1 <> y2) AND abs(x1 + x2 + y1 + y2) < double('inf')"),
+        df.select(F.col(poly_id).alias("__pid"), F.posexplode(drawn).alias("ring", "r"))
+        .select("__pid", "ring", F.size("r").alias("held"), F.posexplode("r").alias("seg", "s"))
+        .select("__pid", "ring", "held", "seg", "s.*").withColumn("__lv", _level(*[F.col(c) for c in ENDS])).filter(finite),
         "polygon-edges",
     )
     levels = edges.groupBy(F.col("__pid").alias("__lp")).agg(F.collect_set("__lv").alias("__levels"))
     filed = _box_cells(edges, F.pow(F.lit(2.0), F.col("__lv"))).select(
-        F.col("__pid").alias("__oid"), F.col("seg").alias("__oseg"), F.col("__lv").alias("__olv"),
-        F.col("cx").alias("__ocx"), F.col("cy").alias("__ocy"), *[F.col(c).alias("__o" + c) for c in ENDS],
+        F.col("__pid").alias("__oid"), F.col("ring").alias("__oring"), F.col("seg").alias("__oseg"),
+        F.col("__lv").alias("__olv"), F.col("cx").alias("__ocx"), F.col("cy").alias("__ocy"),
+        *[F.col(c).alias("__o" + c) for c in ENDS],
     )
     looking = _box_cells(
         edges.join(levels, F.col("__pid") == F.col("__lp"))
         .withColumn("__at", F.explode(F.filter("__levels", lambda v: v >= F.col("__lv")))),
         F.pow(F.lit(2.0), F.col("__at")),
     )
-    crossing = G.segments_cross([F.col(c) for c in ENDS], [F.col("__o" + c) for c in ENDS])
+    a, b = [F.col(c) for c in ENDS], [F.col("__o" + c) for c in ENDS]
+    crossing = G.segments_cross(a, b)
+    apart = F.abs(F.col("seg") - F.col("__oseg"))
+    neighbours = (apart == 1) | (apart == F.col("held") - 1)
+    same_ring = F.col("ring") == F.col("__oring")
+    wrong = crossing | G.segments_overlap(a, b) | (same_ring & ~neighbours & G.segments_touch(a, b))
+    earlier = (F.col("ring") < F.col("__oring")) | (same_ring & (F.col("seg") < F.col("__oseg")))
     met = (
         looking.join(
             filed,
             (F.col("__pid") == F.col("__oid")) & (F.col("__at") == F.col("__olv"))
             & (F.col("cx") == F.col("__ocx")) & (F.col("cy") == F.col("__ocy"))
-            & ((F.col("__lv") < F.col("__olv")) | (F.col("seg") < F.col("__oseg"))) & crossing,
+            & ((F.col("__lv") < F.col("__olv")) | earlier) & wrong,
         )
-        .select(F.col("__pid").alias("__id"), "seg", "__oseg").distinct()
-        .groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
-    )
-    sound = df.select(
-        poly_id, F.coalesce(F.forall(F.col(rings), G.is_ring_valid) & (F.size(rings) > 0), F.lit(False)).alias("rings_sound")
+        .select(F.col("__pid").alias("__id"), "ring", "seg", "__oring", "__oseg", crossing.alias("__crosses")).distinct()
+        .groupBy("__id").agg(F.count_if("__crosses").alias("__n"), F.count(F.lit(1)).alias("__wrong"))
     )
-    out = sound.join(met, F.col(poly_id) == F.col("__id"), "left").drop("__id")
-    crossings = F.coalesce(F.col("__n"), F.lit(0))
-    return out.select(
-        poly_id, "rings_sound", crossings.alias("self_crossings"), (F.col("rings_sound") & (crossings == 0)).alias("valid")
+
+    def holes_inside(part: Column) -> Column:
+        def inside(hole: Column) -> Column:
+            return G.let(G.point_on_surface(F.array(hole)), lambda p: G.contains(F.array(part[0]), p["x"], p["y"]))
+
+        return F.forall(F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))), inside)
+
+    sound = F.coalesce(F.forall(each, G.is_ring_valid) & (F.size(each) > 0), F.lit(False))
+    held = df.select(
+        poly_id, sound.alias("rings_sound"), F.when(sound, F.coalesce(F.forall(parts, holes_inside), F.lit(False))).alias("__inside")
     )
+    out = held.join(met, F.col(poly_id) == F.col("__id"), "left").drop("__id")
+    valid = F.col("rings_sound") & F.coalesce("__inside", F.lit(False)) & (F.coalesce("__wrong", F.lit(0)) == 0)
+    return out.select(poly_id, "rings_sound", F.coalesce("__n", F.lit(0)).alias("self_crossings"), valid.alias("valid"))
 
 
 def expanded_extent(df: DataFrame, points: str, d: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes as C
-from ..functions.geometry import area
+from ..functions.geometry import whole_area
 from ..functions.nulls import in_set, ratio, strict_sum
 from ..functions.scalar import classify, flag_in, normalize_codes, percent_label, prefix, to_sqmi
 from ..operators.aggregates import designated, share_of, sum_cols
@@ -130,7 +130,7 @@ def job_jobs_rollup(
 
 def job_job_density(rollup: DataFrame, areas: DataFrame, rings: str = "rings") -> DataFrame:
     """Every area with its job counts (0 where there are none) and freight jobs per square mile."""
-    sized = areas.withColumn("sqmi", to_sqmi(area(rings))).drop(rings)
+    sized = areas.withColumn("sqmi", to_sqmi(whole_area(areas, rings))).drop(rings)
     joined = left_on(sized, rollup, {"GEOID": "BG"})
     counts = [c for c in rollup.columns if c not in ("BG", "county_geoid")]
     return joined.fillna(0, subset=counts).withColumns(

@@ -98,7 +98,7 @@ def freight_network(
 
 def job_network_lines(lines: DataFrame, network: DataFrame, d: float = 100.0, key: str = "zone_name") -> DataFrame:
     """Lines all of whose vertices lie within ``d`` of the network; rows sharing a key pass together."""
-    pts = P.vertices(lines, "line", [key]).distinct()
+    pts = P.vertices(lines, "line", [key])
     off = P.beyond_distance(pts, network, d).select(F.col(key).alias("__off")).distinct()
     return lines.join(off, F.col(key).eqNullSafe(F.col("__off")), "left_anti")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes as C
-from ..functions.geometry import area, point_on_surface
+from ..functions.geometry import inner_point, whole_area
 from ..functions.nulls import ratio, row_sum, strict_sum
 from ..functions.scalar import change, pct_change, to_sqmi
 from ..operators.relational import apply_overrides, left_on
@@ -66,14 +66,14 @@ def job_demographics(acs: DataFrame, areas: DataFrame, rings: str = "rings") ->
         *[c.alias(k) for k, c in total.items()],
         *[F.round(ratio(c, total[base]), 4).alias(k) for k, (c, base) in share.items()],
     )
-    sized = areas.select(F.col("GEOID"), F.round(to_sqmi(area(rings)), 2).alias("areaSM"))
+    sized = areas.select(F.col("GEOID"), F.round(to_sqmi(whole_area(areas, rings)), 2).alias("areaSM"))
     return left_on(groups, sized, {"GEOID": "GEOID"}).withColumn("popDensity", F.round(ratio("totPop", "areaSM"), 0))
 
 
 def population_density(areas: DataFrame, rings: str = "rings") -> DataFrame:
     """People per square mile of areas that have an area."""
     return (
-        areas.withColumn("areaSM", to_sqmi(area(rings))).drop(rings).filter(F.col("areaSM") > 0)
+        areas.withColumn("areaSM", to_sqmi(whole_area(areas, rings))).drop(rings).filter(F.col("areaSM") > 0)
         .withColumn("popDensity", ratio("estimate", "areaSM"))
     )
 
@@ -85,10 +85,10 @@ def boundary_crosswalk(
 
     ``old`` and ``new`` hold GEOID, estimate and rings; a new area without old points has no old population.
     """
-    sound_old = old.filter(area("rings") > 0)
-    sound_new = new.filter(area("rings") > 0)
+    sound_old = old.filter(whole_area(old, "rings") > 0)
+    sound_new = new.filter(whole_area(new, "rings") > 0)
     inner = sound_old.select(
-        F.col("GEOID").alias("GEOID_old"), F.col("estimate").alias("pop_old"), point_on_surface("rings").alias("p")
+        F.col("GEOID").alias("GEOID_old"), F.col("estimate").alias("pop_old"), inner_point(sound_old, "rings").alias("p")
     ).select("GEOID_old", "pop_old", "p.x", "p.y")
     targets = sound_new.select(F.col("GEOID").alias("GEOID_new"), F.col("estimate").alias("pop_new"), "rings")
     joined = spatial_join(targets, inner, "rings", "GEOID_new", cell)
@@ -105,7 +105,7 @@ def job_population_change(
     walk = boundary_crosswalk(old, new, cell, overrides).withColumns(
         {"percChange": pct_change("pop_new", "pop_old"), "change": change("pop_new", "pop_old")}
     )
-    sound_old = old.filter(area("rings") > 0).drop("rings")
+    sound_old = old.filter(whole_area(old, "rings") > 0).drop("rings")
     return left_on(sound_old, walk, {"GEOID": "GEOID_new"})
 
 

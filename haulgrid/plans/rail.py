@@ -100,8 +100,8 @@ def job_crossing_table(crossings: DataFrame) -> DataFrame:
 
 
 def job_track_table(rail: DataFrame, crossing_table: DataFrame) -> DataFrame:
-    """Track miles per owner and network class beside its crossings, with a grand total row."""
-    measured = rail.filter(F.col("RROWNER1").isNotNull()).select("RROWNER1", "NET", G.length("line").alias("feet"))
+    """Track miles per owner and network class beside its crossings, most miles first and a grand total row last."""
+    measured = rail.filter(F.col("RROWNER1").isNotNull()).select("RROWNER1", "NET", G.whole_length(rail, "line").alias("feet"))
     miles = measured.groupBy("RROWNER1", "NET").agg(F.round(to_miles(strict_sum("feet")), 0).alias("miles"))
     wide = pivot_sums(miles, ["RROWNER1"], "NET", NETS, F.col("miles"))
     named = wide.select(
@@ -110,7 +110,8 @@ def job_track_table(rail: DataFrame, crossing_table: DataFrame) -> DataFrame:
         row_sum(*NETS).cast("double").alias("Total Miles"),
     )
     joined = left_on(named, crossing_table, {"Railroad": "Railroad"})
-    return with_total_row(joined, "Railroad", [c for c in joined.columns if c != "Railroad"])
+    totals = with_total_row(joined, "Railroad", [c for c in joined.columns if c != "Railroad"])
+    return totals.orderBy(F.col("Railroad").isNull(), F.desc("Total Miles"), "Railroad")
 
 
 def job_warning_table(crossings: DataFrame) -> DataFrame:

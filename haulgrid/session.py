@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +70,9 @@ def materialize(df: DataFrame, tag: str = "table", row_key: str | None = None) -
 
     It is computed once, its lineage ends there, lost executors cannot undo it, and the planner knows its size.
     ``row_key`` adds a text column that differs for every written row, also for copies of one row, and stays
-    the same in every later run over the table.
+    the same in every later run over the table. Without a shared folder this raises, as what follows relies on it.
     """
     spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df if row_key is None else df.withColumn(row_key, F.monotonically_increasing_id().cast("string"))
     path = new_path(spark, tag)
     df.write.parquet(path)
     _written.append(path)
@@ -83,21 +83,21 @@ def materialize(df: DataFrame, tag: str = "table", row_key: str | None = None) -
     return table.select("*", F.concat(F.col("_metadata.file_name"), F.lit(":"), number).alias(row_key))
 
 
-def measured(df: DataFrame, tag: str = "table") -> DataFrame:
-    """The table as it is if it is estimated too large to be broadcast, else written.
-
-    The planner's estimate takes no account of explode, so a small estimate proves nothing.
-    """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if estimate > limit else materialize(df, tag)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete the tables ``materialize`` has written; call it when results that rest on them have been saved."""
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables ``materialize`` has written, but for the first ``since`` ones, and return their number."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
+    count = len(_written) - since
+    while len(_written) > since:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(hadoop).delete(path, True)
     return count
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``materialize`` writes inside; tables that were there before stay."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, before)

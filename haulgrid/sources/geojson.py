@@ -1,7 +1,8 @@
 """GeoJSON features to and from tables.
 
 Geometry columns are plain nested data: a point is ``struct<x,y>``, a line an array of points, a polygon an
-array of rings (outer first), and a multi-part geometry an array of those.
+array of rings (outer first), and a multi-part geometry an array of those. The readers give ``point``, ``points``,
+``lines`` and ``polygons``; the last two hold an array of parts for single-part features too.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ def parse_coordinates(text: Column, kind: str) -> Column:
     return _nested(F.from_json(text, schema), depth)
 
 
-def _geometry_columns(df: DataFrame) -> DataFrame:
+def _geometry_columns(df: DataFrame, more: list[str] | None = None) -> DataFrame:
     kind = F.col("geometry.type")
     text = F.col("geometry.coordinates")
     return df.select(
         kind.alias("geometry_type"),
         F.when(kind == "Point", parse_coordinates(text, "Point")).alias("point"),
+        F.when(kind == "MultiPoint", parse_coordinates(text, "MultiPoint")).alias("points"),
         F.when(kind == "LineString", F.array(parse_coordinates(text, "LineString")))
         .when(kind == "MultiLineString", parse_coordinates(text, "MultiLineString"))
         .alias("lines"),
@@ -42,20 +44,39 @@ def _geometry_columns(df: DataFrame) -> DataFrame:
         .when(kind == "MultiPolygon", parse_coordinates(text, "MultiPolygon"))
         .alias("polygons"),
         "properties.*",
+        *(more or []),
     )
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """A FeatureCollection document, or files with one feature per line, as a table.
+# what a collection written over several lines has around its features
+_WRAPPER = r"""^(\{.*"features"\s*:\s*\[|[\[\]{}, ]+|"(type|name|crs|bbox|features)"\s*:.*)$"""
 
-    ``properties`` is the DDL of the attributes. One document is one task however large it is, so write
-    big layers one feature per line (as ``write_features`` does): those files are split like any text.
+
+def read_geojson(spark: SparkSession, path: str, properties: str, broken: str = "raise") -> DataFrame:
+    """Features in text files as a table: one feature or one whole collection per line, or a collection's lines.
+
+    ``properties`` is the DDL of the attributes. Features without geometry are kept. A line that is no feature fails the
+    query; with ``broken="keep"`` it comes back as a row with the line in ``broken``. A collection on one line is one
+    task however large it is, so write big layers one feature per line (as ``write_features`` does).
     """
     feature = _FEATURE.format(props=f"struct<{properties}>")
-    raw = spark.read.text(path, wholetext=False)
-    single = F.from_json("value", feature)
-    features = raw.filter(F.trim("value") != "").select(single.alias("f")).filter(F.col("f.geometry").isNotNull())
-    return _geometry_columns(features.select("f.*"))
+    either = feature[:-1] + f",features:array<{feature}>>"
+    line = F.regexp_replace(F.trim("value"), ",$", "")
+    raw = spark.read.text(path).select(line.alias("line")).filter(
+        (F.col("line") != "") & (F.col("line").contains('"Feature"') | ~F.col("line").rlike(_WRAPPER))
+    )
+    parsed = raw.select("line", F.from_json("line", either).alias("f"))
+    one = F.array(F.struct("f.type", "f.geometry", "f.properties"))
+    wrong = F.raise_error(F.concat(F.lit("not a GeoJSON feature: "), F.substring("line", 1, 200))) if broken == "raise" else None
+    unread = F.array(F.struct(F.lit(None).alias("type"), F.lit(None).alias("geometry"), F.lit(None).alias("properties")).cast(feature))
+    kind = F.col("f.type")
+    features = (
+        F.when(kind == "Feature", one).when(kind == "FeatureCollection", F.coalesce("f.features", F.array().cast(f"array<{feature}>")))
+        .otherwise(F.lit(wrong).cast(f"array<{feature}>") if broken == "raise" else unread)
+    )
+    lost = F.when(F.coalesce(kind, F.lit("")).isin("Feature", "FeatureCollection"), None).otherwise(F.col("line"))
+    rows = parsed.select(lost.alias("broken"), F.explode(features).alias("f")).select("broken", "f.*")
+    return _geometry_columns(rows, [] if broken == "raise" else ["broken"])
 
 
 def read_geojson_document(spark: SparkSession, path: str, properties: str) -> DataFrame:

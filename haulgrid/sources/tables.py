@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,28 +16,29 @@ def read_table(
     schema: T.StructType | str | None = None,
     fmt: str = "csv",
     partitions: int | None = None,
+    infer: bool = False,
 ) -> DataFrame:
     """Scan with a stated schema, so codes keep their leading zeros; without one all CSV columns are text.
 
-    A gzip file is read by one task: give ``partitions`` to spread its rows.
+    ``infer`` reads a CSV once more to find its types. A gzip file is read by one task: give ``partitions`` to
+    spread its rows.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("inferSchema", infer and schema is None)
     df = reader.format(fmt).load(path)
     return df.repartition(partitions) if partitions else df
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
-
-
-def _files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths matching a glob, by name: a listing of the folder, no data is read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(str(s.getPath()) for s in (fs.globStatus(path) or []))
+def _headers(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """The first line of every file matching a glob, by path, in one job."""
+    try:
+        text = spark.read.text(pattern)
+    except AnalysisException as e:
+        raise FileNotFoundError(pattern) from e
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0").groupBy("path").agg(F.first("value").alias("header"))
+    return {r["path"]: r["header"] for r in first.collect()}
 
 
 def read_glob_text(spark: SparkSession, pattern: str) -> DataFrame:
@@ -44,14 +46,13 @@ def read_glob_text(spark: SparkSession, pattern: str) -> DataFrame:
 
     Files with the same header are one scan, so the plan grows with the number of headers, not of files.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in _files(spark, pattern):
-        groups.setdefault(tuple(_header(spark, path)), []).append(path)
-    if not groups:
-        raise FileNotFoundError(pattern)
+    groups: dict[str, list[str]] = {}
+    for path, header in sorted(_headers(spark, pattern).items()):
+        groups.setdefault(header, []).append(path)
     out = None
-    for header, paths in groups.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    for paths in groups.values():
+        names = spark.read.option("header", True).csv(paths[0]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
         part = spark.read.schema(schema).option("header", True).csv(paths)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

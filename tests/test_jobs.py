@@ -21,7 +21,7 @@ def test_gdp_profile_imputes_flags_and_labels(spark):
         ],
         "GeoFIPS string, GeoName string, IndustryClassification string, Description string, `2020` string, `2021` string",
     )
-    labels = spark.createDataFrame(list(C.SECTOR_LABELS.items()), "IndustryClassification string, shortname string")
+    labels = spark.createDataFrame([(c, f"Sector {c}") for c in C.GDP_CODES], "IndustryClassification string, shortname string")
     out = economy.job_gdp_profile(gdp, labels, ["2020", "2021"], {"United States *": "US", "Minnesota": "MN"})
     got = {(r["area"], r["IndustryClassification"], r["Year"]): r for r in out.collect()}
     assert set(got) == {(a, c, y) for a, c in [("US", "All"), ("MN", "All"), ("MN", "31-33")] for y in ("2020", "2021")}
@@ -29,7 +29,7 @@ def test_gdp_profile_imputes_flags_and_labels(spark):
     assert (imputed["Thousands"], imputed["MissingData"]) == (10.0, True)
     assert got["MN", "31-33", "2021"]["Thousands"] is None
     assert got["MN", "31-33", "2020"]["FreightRel"] and not got["US", "All", "2020"]["FreightRel"]
-    assert got["MN", "31-33", "2020"]["shortname"] == "31-33: Manufacturing"
+    assert got["MN", "31-33", "2020"]["shortname"] == "Sector 31-33"
 
 
 def test_gdp_mix_mirrors_the_home_area(spark):

@@ -146,3 +146,12 @@ def test_total_row_is_a_plain_sum(spark):
 def test_unknown_column_is_an_error(spark):
     with pytest.raises((AnalysisException, ValueError)):
         R.keep_in(spark.range(3), spark.range(2), {"id": "nope"}).collect()
+
+
+def test_histogram_of_one_value_and_of_one_bin(spark):
+    df = spark.createDataFrame([(4.0,), (4.0,), (None,)], "v double")
+    assert [tuple(r) for r in A.histogram(df, "v", bins=5).collect()] == [(4.0, 2)]
+    assert [tuple(r) for r in A.histogram(df, "v", bins=1).collect()] == [(4.0, 2)]
+    wide = spark.createDataFrame([(0.0,), (10.0,)], "v double")
+    assert [tuple(r) for r in A.histogram(wide, "v", bins=1).collect()] == [(5.0, 2)]
+    assert sorted(tuple(r) for r in A.histogram(wide, "v", bins=3).collect()) == [(0.0, 1), (10.0, 1)]

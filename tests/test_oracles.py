@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from haulgrid.session import released
 from tools.check_oracles import TABLES, compare
 
 DATA = "/root/testdata/sf0.001"
@@ -22,7 +23,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_matches_sql(spark, con, name):
-    assert compare(spark, con, DATA, name, entry.queries()[name], entry.oracle_sql().get(name)) is None
+    with released(spark):
+        assert compare(spark, con, DATA, name, entry.queries()[name], entry.oracle_sql().get(name)) is None
 
 
 def test_entry_has_rows(spark):

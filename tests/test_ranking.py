@@ -12,13 +12,6 @@ from haulgrid.operators import skew
 from haulgrid.session import materialize
 
 
-@pytest.fixture
-def no_small_paths(monkeypatch):
-    """As if the data were too large for every broadcast and every single aggregate."""
-    monkeypatch.setattr(skew, "BROADCAST_KEYS", 0)
-    monkeypatch.setattr(A, "SMALL_VALUES", 0)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows share one key and one value; some are missing."""
@@ -35,38 +28,33 @@ def plain_percent_rank(df):
     return {r["id"]: r["p"] for r in known.withColumn("p", F.percent_rank().over(Window.orderBy("v"))).collect()}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_percent_rank_matches_plain_window(spark, skewed, small, request):
-    if not small:
-        request.getfixturevalue("no_small_paths")
+def test_percent_rank_matches_plain_window(spark, skewed):
     got = {r["id"]: r["percent_rank"] for r in K.percent_rank_global(skewed, "v").collect()}
     want = plain_percent_rank(skewed)
     assert len(got) == 6000
     assert all(got[i] == pytest.approx(want[i]) if i in want else got[i] is None for i in got)
 
 
-def test_quantile_paths_agree(spark, skewed, no_small_paths):
+@pytest.mark.parametrize("few", [10, 100_000])
+def test_quantiles(spark, skewed, monkeypatch, few):
+    monkeypatch.setattr(A, "BRACKET_VALUES", few)
+    monkeypatch.setattr(A, "BRACKET_ACCURACY", 200)
     pdf = skewed.toPandas()
     for p in (0.0, 0.1, 0.5, 0.9, 1.0):
         assert A.quantile(skewed, "v", p).first()["q"] == pytest.approx(pdf["v"].quantile(p))
-    got = {r["g"]: r["m"] for r in A.quantiles_by(skewed, ["g"], "v", {"m": 0.3}).collect()}
+    got = {r["g"]: r["m"] for r in A.quantiles_by(K.value_counts(skewed, "v", ["g"]), ["g"], "v", {"m": 0.3}).collect()}
     want = pdf.dropna(subset=["v"]).groupby("g")["v"].quantile(0.3)
     assert got == pytest.approx(want.to_dict())
+    assert A.quantile(skewed.filter("v is null"), "v", 0.5).first()["q"] is None
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_row_id_is_dense_and_ordered(spark, skewed, small, request):
-    if not small:
-        request.getfixturevalue("no_small_paths")
+def test_row_id_is_dense_and_ordered(spark, skewed):
     out = K.row_id(skewed, [-F.col("g"), "id"]).select("g", "id", "row_num").toPandas().sort_values("row_num")
     assert out["row_num"].tolist() == list(range(1, 6001))
     assert out[["g", "id"]].values.tolist() == sorted(out[["g", "id"]].values.tolist(), key=lambda r: (-r[0], r[1]))
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_group_statistics_reach_every_row(spark, skewed, small, request):
-    if not small:
-        request.getfixturevalue("no_small_paths")
+def test_group_statistics_reach_every_row(spark, skewed):
     pdf = skewed.toPandas()
     pdf["w"] = pdf["v"].fillna(pdf.groupby("g")["v"].transform("mean"))
     got = K.impute_group_mean(skewed, ["g"], "v").toPandas().set_index("id")
@@ -87,16 +75,45 @@ def test_copies_get_their_own_numbers_and_spread_over_buckets(spark):
     assert placed.filter("name = 'same'").groupBy("b").count().count() >= 4
 
 
-def test_null_keys_get_their_group(spark, no_small_paths):
+def test_null_keys_get_their_group(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, None), (3, "a", 5.0)], "id int, g string, v double")
     got = {r["id"]: r["v"] for r in K.impute_group_mean(df, ["g"], "v").collect()}
     assert got == {1: 2.0, 2: 2.0, 3: 5.0}
 
 
-def test_hot_keys_are_not_shuffled(spark, skewed, no_small_paths):
-    stats = skewed.groupBy("g").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    plan = skew.attach_by_key(skewed, stats, ["g"], "n", hot_share=0.1)._jdf.queryExecution().toString()
-    assert "Union" in plan and "LeftAnti" in plan
+@pytest.fixture
+def plain(spark):
+    """No adaptive execution and no broadcast but the hinted ones."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_no_partition_holds_a_hot_or_null_key(spark, plain):
+    df = spark.range(20000, numPartitions=16).select(
+        "id", F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 5 == 0, 7).otherwise(F.col("id")).cast("int").alias("g"),
+    )
+    stats = df.groupBy("g").agg(F.max("id").alias("m"), F.count(F.lit(1)).alias("n"))
+    out = skew.attach_by_key(df, stats, ["g"], "n", hot_share=0.01)
+    assert "SortMergeJoin" in out._jdf.queryExecution().toString()
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 20000 and max(sizes) <= 2 * 20000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best = {r["g"]: r["m"] for r in stats.collect()}
+    assert all(r["m"] == best[r["g"]] for r in out.collect())
+
+
+def test_percent_rank_spreads_nulls_and_copies(spark, plain):
+    df = spark.range(20000, numPartitions=16).select(
+        "id", F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 3 == 0, 5.5).otherwise(F.col("id") % 4001).cast("double").alias("v")
+    )
+    out = K.percent_rank_global(df, "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+    got = {r["id"]: r["percent_rank"] for r in out.collect()}
+    want = plain_percent_rank(df)
+    assert all(got[i] == pytest.approx(want[i]) if i in want else got[i] is None for i in got)
 
 
 @pytest.mark.parametrize("n,batches", [(999, 1), (1000, 1), (1001, 2), (2000, 2)])

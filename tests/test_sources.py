@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from haulgrid import session
 from haulgrid.session import configure, materialize, new_path, release
 from haulgrid.sources import geojson as G
 from haulgrid.sources import payloads as P
@@ -116,3 +117,49 @@ def test_release_deletes_what_was_written(spark):
 
 def test_configure_is_repeatable(spark):
     assert configure(configure(spark)) is spark
+
+
+def test_no_shared_folder_raises(spark, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        materialize(spark.range(3))
+    with pytest.raises(RuntimeError):
+        materialize(spark.range(3), row_key="k")
+
+
+def test_released_leaves_earlier_tables(spark):
+    kept = materialize(spark.range(3))
+    with session.released(spark):
+        inner = materialize(spark.range(2)).inputFiles()[0]
+    assert not Path(inner.removeprefix("file:")).exists() and kept.count() == 3
+
+
+def test_collections_on_one_line_and_features_without_geometry(spark, tmp_path):
+    lone = {"type": "Feature", "geometry": None, "properties": {"id": 9}}
+    many = {"type": "Feature", "geometry": {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4, 5]]}, "properties": {"id": 8}}
+    one = tmp_path / "one.geojson"
+    one.write_text(json.dumps({"type": "FeatureCollection", "name": "x", "features": [*FEATURES, lone, many]}))
+    rows = G.read_geojson(spark, str(one), "id int").collect()
+    assert len(rows) == 7
+    got = {r["id"]: r for r in rows}
+    assert got[9]["geometry_type"] is None and got[9]["point"] is None
+    assert [tuple(p) for p in got[8]["points"]] == [(1.0, 2.0), (3.0, 4.0)]
+    wrapped = tmp_path / "wrapped.geojson"
+    body = ",\n".join(json.dumps(f) for f in [*FEATURES, lone])
+    wrapped.write_text('{\n"type": "FeatureCollection",\n"name": "x",\n"features": [\n' + body + "\n]\n}\n")
+    assert G.read_geojson(spark, str(wrapped), "id int").count() == 6
+
+
+def test_broken_lines_are_reported(spark, tmp_path):
+    path = tmp_path / "layer.geojson"
+    path.write_text(json.dumps(FEATURES[0]) + '\n{"type": "Feature", "geom\nnonsense\n')
+    with pytest.raises(Exception, match="not a GeoJSON feature"):
+        G.read_geojson(spark, str(path), "id int").collect()
+    rows = G.read_geojson(spark, str(path), "id int", broken="keep").collect()
+    assert sorted(r["broken"] or "" for r in rows) == ["", "nonsense", '{"type": "Feature", "geom']
+
+
+def test_inferred_scan(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    assert dict(S.read_table(spark, str(tmp_path / "t.csv"), infer=True).dtypes) == {"a": "int", "b": "string"}
+    assert dict(S.read_table(spark, str(tmp_path / "t.csv")).dtypes) == {"a": "string", "b": "string"}

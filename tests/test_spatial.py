@@ -209,3 +209,64 @@ def test_quarter_of_the_globe(spark):
     row = df.select(G.length("line", geodesic=True).alias("m"), G.bearing("line").alias("b")).first()
     assert row["m"] == pytest.approx(math.pi / 2 * G.EARTH_RADIUS)
     assert row["b"] == pytest.approx(90)
+
+
+def ring(*points):
+    return [tuple(map(float, p)) for p in points]
+
+
+TWO = [[ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))], [ring((5, 0), (8, 0), (8, 2), (5, 2), (5, 0)), ring((6, 1), (7, 1), (6, 1.5), (6, 1))]]
+MANY = "polygons array<array<array<struct<x:double,y:double>>>>"
+
+
+def test_areas_of_many_parts(spark):
+    areas = spark.createDataFrame([(1, TWO)], f"id int, {MANY}")
+    row = areas.select(G.whole_area(areas, "polygons").alias("a"), G.inner_point(areas, "polygons").alias("p")).first()
+    assert row["a"] == pytest.approx(1 + 6 - 0.25) and 5 < row["p"]["x"] < 8 and 0 < row["p"]["y"] < 2
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 3.0, 0.5), (3, 5.5, 1.0), (4, 6.2, 1.1), (5, 7.5, 1.9)], "pid int, x double, y double")
+    assert {r["pid"] for r in P.points_in_area(pts, areas, "polygons").collect()} == {1, 3, 5}
+    line = spark.createDataFrame([(1, [(-1.0, 0.5), (9.0, 0.5)])], "line_id int, line array<struct<x:double,y:double>>")
+    runs = P.clip_lines(line, "line", "line_id", areas, "polygons", "id").first()["lines"]
+    assert [[p["x"] for p in run] for run in runs] == [[0.0, 1.0], [5.0, 8.0]]
+    assert P.dissolve_edges(areas, "polygons").count() == 4 + 4 + 3
+    assert P.validity(areas, "polygons", "id").first()["valid"]
+
+
+def test_lines_of_many_parts(spark):
+    parts = [[(0.0, 0.0), (0.0, 3.0)], [(10.0, 0.0), (10.0, 4.0), (13.0, 4.0)]]
+    df = spark.createDataFrame([(1, parts)], "id int, line array<array<struct<x:double,y:double>>>")
+    assert df.select(G.whole_length(df, "line")).first()[0] == 10.0
+    assert P.segments(df, "line", ["id"]).count() == 3 and P.vertices(df, "line", ["id"]).select("vertex").distinct().count() == 5
+    cut = P.split_lines(df, "line", ["id"], 2.0).collect()
+    assert sorted((r["line_part"], r["part"], r["n_parts"]) for r in cut) == [(0, 1, 2), (0, 2, 2), (1, 1, 4), (1, 2, 4), (1, 3, 4), (1, 4, 4)]
+    network = spark.createDataFrame([(0.0, 0.0, 0.0, 3.0)], "x1 double, y1 double, x2 double, y2 double")
+    assert P.lines_within(df, "line", "id", network, 1.0, 0.5).count() == 0
+
+
+def test_lines_of_no_length(spark):
+    rows = [(1, [(0.0, 0.0), (1.0, 0.0)]), (2, [(900.0, 0.0), (900.0, 0.0)]), (3, [(0.5, 0.0), (0.5, 0.0)]), (4, [(0.2, 0.1)]), (5, []), (6, None), (7, [(0.0, 0.0), (0.0, 0.0), (1.0, 0.0)])]
+    df = spark.createDataFrame(rows, "id int, line array<struct<x:double,y:double>>")
+    assert sorted((r["id"], r["n_parts"]) for r in P.split_lines(df, "line", ["id"], 5.0).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 1)]
+    network = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0)], "x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r["id"] for r in P.lines_within(df, "line", "id", network, 0.5, 0.1).collect()) == [1, 3, 4, 7]
+
+
+SQUARE = ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))
+CASES = {
+    "plain": ([SQUARE], True),
+    "repeated point": ([ring((0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0))], True),
+    "hole": ([SQUARE, ring((2, 2), (4, 2), (4, 4), (2, 2))], True),
+    "hole at a point of the shell": ([SQUARE, ring((0, 5), (4, 4), (4, 6), (0, 5))], True),
+    "vertex on its own edge": ([ring((0, 0), (10, 0), (10, 10), (5, 0), (0, 10), (0, 0))], False),
+    "spike": ([ring((0, 0), (10, 0), (10, 10), (10, 15), (10, 10), (0, 10), (0, 0))], False),
+    "hole outside": ([SQUARE, ring((20, 20), (24, 20), (24, 24), (20, 20))], False),
+    "hole along the shell": ([SQUARE, ring((0, 2), (4, 2), (0, 8), (0, 2))], False),
+    "bow": ([ring((0, 0), (10, 10), (10, 0), (0, 10), (0, 0))], False),
+    "open": ([ring((0, 0), (10, 0), (10, 10))], False),
+}
+
+
+def test_validity_of_touching_spiked_and_misplaced_rings(spark):
+    df = spark.createDataFrame([(k, rings) for k, (rings, _) in CASES.items()], "id string, rings array<array<struct<x:double,y:double>>>")
+    got = {r["id"]: r["valid"] for r in P.validity(df, "rings", "id").collect()}
+    assert got == {k: v for k, (_, v) in CASES.items()}
