@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import with_row_key, write_table
+from .tables import map_arrow, with_row_key, write_table
 
 NEAREST = 20
 #: Vectors that centres are fitted on, and centres, at most. Every vector is in a list, whatever their number.
@@ -198,7 +198,7 @@ def nearest(
     lists = min(MOST_LISTS, max(1, round(n**0.5)))
     index = Index(np.array([r[0] for r in drawn], float), radius, lists)
     blocks = write_table(
-        distinct.select("v", "ids").mapInArrow(_lists(index), "list int, ids array<array<long>>, plain binary, turned binary"),
+        map_arrow(distinct.select("v", "ids"), _lists(index), "list int, ids array<array<long>>, plain binary, turned binary"),
         "lists",
     )
     sizes = np.zeros(len(index.centres), np.int64)
@@ -208,10 +208,10 @@ def nearest(
     asking = distinct.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
 
     def scan(queries: DataFrame, first: bool) -> DataFrame:
-        wanted = queries.mapInArrow(
-            _probes(index, sizes, probes, 4 * (k + 1), first), "list int, keys array<string>, queries binary, bounds binary"
+        wanted = map_arrow(
+            queries, _probes(index, sizes, probes, 4 * (k + 1), first), "list int, keys array<string>, queries binary, bounds binary"
         )
-        return blocks.join(wanted, "list").mapInArrow(_scan(index, dims, k + 1), "key string, ids array<long>, score double")
+        return map_arrow(blocks.join(wanted, "list"), _scan(index, dims, k + 1), "key string, ids array<long>, score double")
 
     head = write_table(scan(asking.withColumn("bound", F.lit(float("inf"))), True), "head")
     kth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_arrow
+
 #: Pages of the table and composed pages that are learned from.
 PAGES = 400
 MADE = 400
@@ -382,4 +384,4 @@ def extract(pages: DataFrame, chain: Chain, html: str = "html", keep: list[str]
 
     rows = pages.select(*keep, F.col(html).alias("__html"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "text string, n_chars long")
+    return map_arrow(rows, run, (kinds + ", " if kinds else "") + "text string, n_chars long")

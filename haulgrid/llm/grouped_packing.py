@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import write_table
+from .tables import map_arrow, write_table
 
 CAPACITY = 2048
 #: Lengths above capacity / SMALL_PART are large; they are rounded to so many sizes.
@@ -311,7 +311,7 @@ def pack(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     columns = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     pieces = write_table(
-        rows.mapInArrow(_pieces(tokenizer, capacity), columns + ", nth long, part int"), "pieces"
+        map_arrow(rows, _pieces(tokenizer, capacity), columns + ", nth long, part int"), "pieces"
     )
     tally = write_table(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "tally")
     counts = {r[0]: r[1] for r in tally.groupBy("length").agg(F.sum("n")).collect()}
@@ -319,4 +319,4 @@ def pack(
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = tally.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["part", "length"]).select(*_PIECE, (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_place(table), columns + ", sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return map_arrow(ranked, _place(table), columns + ", sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import remainder
+from .tables import map_arrow, remainder
 from .word_arrays import mix
 
 #: About so many documents of a language are learned from, and at most so many of its n-grams are kept.
@@ -156,7 +156,7 @@ def train(
         "text is not null and pmod(xxhash64(id), 1000003) < "
         f"1000003D * {rows_per_language} / rows"
     )
-    counted = taken.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    counted = map_arrow(taken.select("lang", "text"), _count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     kept = summed.withColumn("place", place).filter(F.col("place") <= grams_per_language).drop("place")
@@ -185,4 +185,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
 
     rows = docs.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "lang_pred string, score double")
+    return map_arrow(rows, run, (kinds + ", " if kinds else "") + "lang_pred string, score double")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import remainder
+from .tables import map_arrow, remainder
 from .word_arrays import Words, chunks, window_hashes
 
 #: Labelled rows of either class and preference pairs that are learned from, at most.
@@ -142,7 +142,7 @@ def train(
     )
     # at most 2 * rows_per_class ids: bounded, whatever the tables hold
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).join(F.broadcast(taken), "__id")
-    found = rows.select("good", "text").mapInArrow(_features, "good boolean, x array<double>").toPandas()
+    found = map_arrow(rows.select("good", "text"), _features, "good boolean, x array<double>").toPandas()
     order = sorted(range(len(found)), key=lambda i: (found.good[i], tuple(found.x[i])))
     x = np.array([found.x[i] for i in order]).reshape(-1, FEATURES)
     return learn(x, found.good.to_numpy(bool)[order])
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
 
     rows = docs.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return map_arrow(rows, run, f"{kinds}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
@@ -171,4 +171,4 @@ def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(model.scores(features(batch.column(text))) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

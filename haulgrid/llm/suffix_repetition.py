@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import map_arrow
 from .word_arrays import Words, chunks
 
 MIN_WORDS = 5
@@ -163,6 +164,6 @@ def judge_repetition(
         F.col("longest_repeat") <= max_longest
     )
     return (
-        rows.mapInArrow(_measure(keep, min_words), ", ".join(kinds))
+        map_arrow(rows, _measure(keep, min_words), ", ".join(kinds))
         .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)
     )

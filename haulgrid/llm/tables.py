@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from .. import session
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but space and the five ASCII control characters that separate.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there and lost executors cannot undo it."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    path, conf = session.new_path(df.sparkSession, tag), df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")  # nothing reads this job's shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+    session._written.append(path)  # so that released() deletes it too
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,3 +57,23 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
 def remainder(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, mod ``modulus``: the rule that sets rows aside for tests."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver's process was started; once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_haulgrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = f"{tempfile.mkdtemp(prefix='haulgrid-code-')}/haulgrid_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(target)
+    context._haulgrid_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
