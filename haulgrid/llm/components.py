@@ -26,20 +26,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one edge to a smaller node, and none to a node that has one itself."""
+    up = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    roots = edges.select(F.col("v").alias("root")).distinct()
+    return up.join(roots, F.col("u") == F.col("root"), "left").filter("n > 1 or root is not null").isEmpty()
+
+
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v) but the smallest of each component, which names it.
+    """(node, component) of every node of ``edges`` (u, v) but the smallest of each component, which names it; written.
 
     Both columns have one orderable type. NULL ends, loops and repeated edges do no harm. A node with a third of
     all edges is one sum per task in the groupings and a splittable side in the joins. No edges: no rows.
     """
     ends = edges.filter("u is not null and v is not null and u <> v")
     now = write_table(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     for _ in range(rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if mark == seen or mark[0] == 0:
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen, before = mark, now
-        now = write_table(_small_star(_large_star(before)).distinct(), "edges")
+        before, now = now, write_table(_small_star(_large_star(now)).distinct(), "edges")
         drop_table(before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

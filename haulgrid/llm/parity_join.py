@@ -10,10 +10,11 @@ of its non-empty segments, the first ones in an order that all sets share: two l
 (pigeonhole, as in prefix filtering). The order puts segments last that hold nothing but very frequent shingles, and
 those with few shingles after those with many, so a passage that many documents share makes few candidates.
 
-Verification. Candidates pass a 256-bit parity sketch (XOR, bit_count) and are then compared exactly. Within a group of sets
-with one segment in common, all are first compared with the smallest set id, and the links give components. Only pairs
-of *different* components are then compared one by one, so a group of near copies costs one comparison each, and still
-no link that would join two components is missed.
+Verification. Candidates pass a parity sketch of single bits (XOR, bit_count) and are then compared exactly. Within a group
+of sets with one segment in common, the set that meets most others leads. Each set is first compared with its strongest
+leader, and the links give components; then with its other leaders in *other* components; then pairs of a group that are still in
+different components are compared one by one. A group of near copies costs about one comparison each, and still no link
+that would join two components is missed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import drop_table, with_row_key, write_table
+from .tables import drop_table, map_arrow, with_row_key, write_table
 from .word_arrays import Words, chunks, mix, window_hashes
 
 WORDS = 5
@@ -37,7 +38,8 @@ FREQUENT = 4
 FREQUENT_LEAST = 64
 #: A group held together by frequent shingles is first split into so many parts.
 SALTS = 64
-SKETCH = [f"sketch{i}" for i in range(4)]
+#: Bits of the sketch of a small set; a larger one gets the next power of two of its size.
+LEAST_BITS = 2048
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -57,6 +59,13 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the shingles that hash to each bit, as 64-bit words."""
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 1)
+    at = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def _band(n: int) -> int:
     return (n.bit_length() - 1) // 2
 
@@ -110,21 +119,20 @@ def _signatures(words: int, percent: int):
                 size.append(len(shingles))
                 ids.append(set_id(shingles))
                 lacks.append(len(shingles) > 0 and lacks_segments(shingles, percent))
-                bits = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
-                sketch.append(np.packbits(bits).view(np.int64))
+                sketch.append(bit_sketch(shingles))
                 counts += np.bincount((shingles >> np.uint64(16)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
-            sketch = np.array(sketch, np.int64).reshape(-1, 4)
             nothing = pa.nulls(len(size), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), pa.array(size, pa.int64()), pa.array(ids, pa.int64()),
-                 *[pa.array(sketch[:, i]) for i in range(4)], pa.array(lacks, pa.bool_()), nothing, nothing],
-                ["id", "row", "n_shingles", "set_id", *SKETCH, "lacks", "bucket", "found"],
+                 pa.array(sketch, pa.list_(pa.int64())), pa.array(lacks, pa.bool_()), nothing, nothing],
+                ["id", "row", "n_shingles", "set_id", "sketch", "lacks", "bucket", "found"],
             )
         used = np.flatnonzero(counts)
         no = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [no, pa.nulls(len(used), pa.string()), *[no] * 6, pa.nulls(len(used), pa.bool_()), pa.array(used), pa.array(counts[used])],
-            ["id", "row", "n_shingles", "set_id", *SKETCH, "lacks", "bucket", "found"],
+            [no, pa.nulls(len(used), pa.string()), no, no, pa.nulls(len(used), pa.list_(pa.int64())),
+             pa.nulls(len(used), pa.bool_()), pa.array(used), pa.array(counts[used])],
+            ["id", "row", "n_shingles", "set_id", "sketch", "lacks", "bucket", "found"],
         )
 
     return run
@@ -161,10 +169,22 @@ def _sets(words: int):
     return run
 
 
+def _folded(sketch: Column, length: Column) -> Column:
+    """A sketch as one of fewer words (both are powers of two): what the shorter one's hash rule would have made."""
+    def word(j):
+        layers = F.sequence(F.lit(0), (F.size(sketch) / length).cast("int") - 1)
+        return F.aggregate(layers, F.lit(0).cast("long"), lambda total, i: total.bitwiseXOR(F.get(sketch, (j + i * length).cast("int"))))
+
+    return F.when(F.size(sketch) == length, sketch).otherwise(F.transform(F.sequence(F.lit(0), length - 1), word))
+
+
 def _near(percent: int, a: str = "a_", b: str = "b_") -> Column:
     """Size bound and Hamming bound of two rows with prefixed n_shingles and sketch columns."""
     na, nb = F.col(a + "n_shingles"), F.col(b + "n_shingles")
-    distance = sum(F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SKETCH)
+    x, y = F.col(a + "sketch"), F.col(b + "sketch")
+    length = F.least(F.size(x), F.size(y))
+    differing = F.zip_with(_folded(x, length), _folded(y, length), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    distance = F.aggregate(differing, F.lit(0), lambda total, p: total + p)
     return (
         (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
         & (distance * (100 + percent) <= (na + nb) * (100 - percent))
@@ -179,18 +199,18 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
         rows = write_table(
-            docs.mapInArrow(
-                _signatures(words, percent),
-                "id long, row string, n_shingles long, set_id long, " + ", ".join(f"{s} long" for s in SKETCH)
-                + ", lacks boolean, bucket long, found long",
+            map_arrow(
+                docs, _signatures(words, percent),
+                "id long, row string, n_shingles long, set_id long, sketch array<long>, lacks boolean, bucket long, found long",
             ),
             "signatures",
         )
         self.rows = rows.filter("bucket is null").drop("bucket", "found")
-        self.classes = (
+        self.classes = write_table(
             self.rows.filter("n_shingles > 0").groupBy("set_id")
             .agg(F.min("id").alias("id"), F.max("lacks").alias("lacks"),
-                 *[F.first(c).alias(c) for c in ("n_shingles", *SKETCH)])
+                 *[F.first(c).alias(c) for c in ("n_shingles", "sketch")]),
+            "classes",
         )
         counted = rows.filter("bucket is not null").groupBy("bucket").agg(F.sum("found").alias("found"))
         total = counted.agg(F.sum("found")).first()[0] or 0
@@ -199,37 +219,46 @@ class _Join:
         self.frequent[[r[0] for r in counted.filter(F.col("found") >= least).select("bucket").collect()]] = True
 
     def groups(self) -> DataFrame:
-        """(key, set_id, leader, held): sets that share a segment with another one; leader is the smallest of them.
+        """(key, set_id, held, leader, strength): sets that share a segment with another one, and their group's leader.
 
-        A group of frequent shingles may hold a large part of all sets; it gets a leader for each of SALTS parts.
+        The leader is the member that meets most others in all its groups: of copies of one text that is the text itself or
+        one close to it. A group of frequent shingles may hold a large part of all sets; it is looked at in SALTS parts.
         """
-        keys = self.docs.select("text").mapInArrow(
-            _keys(self.words, self.percent, self.frequent), "key long, set_id long"
+        keys = map_arrow(
+            self.docs.select("text"), _keys(self.words, self.percent, self.frequent), "key long, set_id long"
         )
         salt = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("set_id") % SALTS).otherwise(0)
         group = Window.partitionBy("key", "salt")
         ranked = keys.withColumn("salt", salt.cast("int")).select(
-            "key", "set_id", F.min("set_id").over(group).alias("leader"), F.max("set_id").over(group).alias("last"),
+            "key", "set_id", F.min("set_id").over(group).alias("least"), F.max("set_id").over(group).alias("most"),
             F.count(F.lit(1)).over(group).alias("held"),
         )
-        return write_table(ranked.filter("leader < last or key & 1 = 1").drop("last"), "groups")
+        members = write_table(ranked.filter("least < most or key & 1 = 1").select("key", "set_id", "held"), "members")
+        degree = members.groupBy("set_id").agg(F.sum("held").alias("degree"))
+        first = members.join(degree, "set_id").groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("h"))
+        leaders = first.select("key", F.col("h.set_id").alias("leader"), F.col("h.degree").alias("strength"))
+        out = write_table(members.join(leaders, "key"), "groups")
+        drop_table(members)
+        return out
 
     def close(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sizes and sketches allow."""
+        """The pairs (a, b) that sizes and sketches allow, with the other columns they have."""
         side = self.classes.drop("lacks", "id")
         return (
             pairs.join(_prefixed(side, "a_"), F.col("a") == F.col("a_set_id"))
             .join(_prefixed(side, "b_"), F.col("b") == F.col("b_set_id"))
-            .filter(_near(self.percent)).select("a", "b")
+            .filter(_near(self.percent)).select(pairs.columns)
         )
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of set ids that are similar enough, compared shingle by shingle."""
+    def linked(self, pairs: DataFrame) -> DataFrame | None:
+        """The pairs (u, v) of set ids that are similar enough, compared shingle by shingle; None if there is no pair."""
         pairs = write_table(pairs, "candidates")
+        if pairs.isEmpty():
+            return None
         needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         ids = self.classes.select("set_id", "id").join(needed, "set_id", "left_semi").select(F.col("id").alias("need"))
         texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("need")), "left_semi").select("text")
-        sets = write_table(texts.mapInArrow(_sets(self.words), "set_id long, shingles array<long>"), "sets")
+        sets = write_table(map_arrow(texts, _sets(self.words), "set_id long, shingles array<long>"), "sets")
         both = (
             pairs.join(_prefixed(sets, "a_"), F.col("a") == F.col("a_set_id"))
             .join(_prefixed(sets, "b_"), F.col("b") == F.col("b_set_id"))
@@ -255,12 +284,17 @@ class _Join:
     def components(self) -> DataFrame:
         """(set_id, component) of the sets that are linked with another one, but the smallest of each component."""
         groups = self.groups()
-        stars = groups.filter("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b"))
-        salted = groups.filter("key & 1 = 1").select("key", "leader").distinct()
-        heads = salted.join(salted.groupBy("key").agg(F.min("leader").alias("a")), "key")
-        pairs = stars.unionByName(heads.filter("leader <> a").select("a", F.col("leader").alias("b"))).distinct()
-        links = self.linked(self.close(pairs))
-        named = write_table(connected_components(links), "named").withColumnRenamed("node", "set_id")
+        stars = groups.filter("set_id <> leader").groupBy(F.col("leader").alias("a"), F.col("set_id").alias("b"))
+        closest = write_table(self.close(stars.agg(F.max("strength").alias("strength"))), "close")
+        single = closest.groupBy("b").agg(F.max(F.struct("strength", "a"))["a"].alias("a")).select("a", "b")
+        links = self.linked(single)
+        if links is None:
+            links = closest.select(F.col("a").alias("u"), F.col("b").alias("v"))  # none
+        named = self._named(links)
+        more = self.linked(self._apart(closest.select("a", "b"), named).join(single, ["a", "b"], "left_anti"))
+        if more is not None:
+            links = links.unionByName(more)
+            named = self._named(links)
 
         # what is left: pairs of one group, not in one component yet, of which neither is the other's leader
         wide = groups.filter("held > 2 or key & 1 = 1").join(named, "set_id", "left").withColumn(
@@ -268,7 +302,7 @@ class _Join:
         )
         mixed = wide.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
         left = wide.join(mixed.select("key"), "key", "left_semi").join(self.classes.drop("lacks", "id"), "set_id")
-        left = write_table(left.drop("held"), "mixed")
+        left = write_table(left.drop("held", "strength"), "mixed")
         a, b = _prefixed(left, "a_"), _prefixed(left, "b_")
         apart = (
             (F.col("a_component") < F.col("b_component"))
@@ -283,9 +317,19 @@ class _Join:
         more = self.linked(rest)
         drop_table(groups)
         drop_table(left)
-        if more.isEmpty():
+        if more is None:
             return named
-        return write_table(connected_components(links.unionByName(more)), "named").withColumnRenamed("node", "set_id")
+        return self._named(links.unionByName(more))
+
+    def _named(self, links: DataFrame) -> DataFrame:
+        return connected_components(links).withColumnRenamed("node", "set_id")
+
+    def _apart(self, pairs: DataFrame, named: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose ends are in different components."""
+        x = named.select(F.col("set_id").alias("a"), F.col("component").alias("x"))
+        y = named.select(F.col("set_id").alias("b"), F.col("component").alias("y"))
+        both = pairs.join(x, "a", "left").join(y, "b", "left")
+        return both.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:

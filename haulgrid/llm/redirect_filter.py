@@ -100,7 +100,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def class_verdicts(links: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """(__key, __class_verdict) of every URL in ``links`` whose class holds a rule's decision."""
-    classes = write_table(connected_components(links), "url-classes")
+    classes = connected_components(links)
     members = classes.unionByName(
         classes.select(F.col("component").alias("node"), "component").distinct()
     )
