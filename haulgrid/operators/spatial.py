@@ -93,48 +93,59 @@ def auto_cell(polys: DataFrame, rings: str) -> float:
     return max(min(4.0 * s["len"] / s["n"], s["span"] / 4.0), s["span"] / 64.0) or 1.0
 
 
+#: Cells of the inside get coarser by 2 ** STEP at a time.
+STEP = 3
+
+
 def polygon_cells(df: DataFrame, rings: str, keep: Sequence[str], cell: float) -> DataFrame:
     """Polygons cut into grid cells so that a point test only meets the edges of its own cell.
 
-    Each row holds a cell's corner, whether an even or odd number of edges lies below that corner, and the
-    edges that touch the cell. Cells wholly outside are left out.
+    Each row holds a cell's level and place, its corner, how many edges lie below that corner, and the edges that touch the
+    cell. Cells with edges are of the given size (level 0). The inside is covered by the largest cells of levels 0, 3, 6 …
+    (2 ** level times as wide) that no edge touches, so the number of cells grows with a polygon's outline and not with
+    its area. Edges are listed one by one and counted along columns of cells: no task holds a whole polygon's cells.
     """
-    df = df.withColumn(rings, G.all_rings(df, rings))
-    points = F.flatten(F.col(rings))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    base = df.filter(F.size(points) > 0).select(
-        *keep,
-        G.ring_edges(F.col(rings)).alias("__edges"),
-        F.sequence(_index(F.array_min(xs), cell), _index(F.array_max(xs), cell)).alias("__cols"),
-        F.sequence(_index(F.array_min(ys), cell), _index(F.array_max(ys), cell)).alias("__rows"),
+    base = materialize(df.select(*keep, G.all_rings(df, rings).alias("__rings")), "areas", "__pid")
+    edges = polygon_edges(base, "__rings", ["__pid"])
+    touched = materialize(
+        segment_cells(edges, cell).groupBy("__pid", "cx", "cy").agg(F.collect_list(F.struct(*ENDS)).alias("near")),
+        "outline-cells",
     )
-    slabs = base.select(*keep, "__edges", "__rows", F.explode("__cols").alias("cx")).select(
-        *keep,
-        "__rows",
-        "cx",
-        (F.col("cx") * cell).alias("west"),
-        F.filter(
-            "__edges",
-            lambda e: (F.least(e["x1"], e["x2"]) <= (F.col("cx") + 1) * cell)
-            & (F.greatest(e["x1"], e["x2"]) >= F.col("cx") * cell),
-        ).alias("__slab"),
+    spans = edges.groupBy("__pid").agg(*[
+        (F.max(F.greatest(p, q)) - F.min(F.least(p, q))).alias(n) for n, p, q in (("w", "x1", "x2"), ("h", "y1", "y2"))
+    ])
+    widest = spans.agg(F.max(F.greatest("w", "h"))).first()[0] or 0.0
+    top = STEP * math.ceil(math.log2(max(widest / cell, 1.0)) / STEP + 1e-9)
+    # the cells of all levels that an edge touches; a cell as wide as the polygon cannot lie inside it
+    lv = F.explode(F.array(*[F.lit(k) for k in range(0, top + 1, STEP)]))
+    scale = F.pow(F.lit(2.0), F.col("lv"))
+    outline = touched.select("__pid", "cx", "cy", lv.alias("lv")).select(
+        "__pid", "lv", F.floor(F.col("cx") / scale).alias("cx"), F.floor(F.col("cy") / scale).alias("cy")
+    ).distinct()
+    fan = 2**STEP
+    parts = outline.filter("lv > 0").select(
+        "__pid", (F.col("lv") - STEP).alias("lv"),
+        F.explode(F.sequence(F.col("cx") * fan, F.col("cx") * fan + fan - 1)).alias("cx"), "cy",
+    ).select("__pid", "lv", "cx", F.explode(F.sequence(F.col("cy") * fan, F.col("cy") * fan + fan - 1)).alias("cy"))
+    inner = parts.join(outline, ["__pid", "lv", "cx", "cy"], "left_anti").withColumn("near", F.array().cast(touched.schema["near"].dataType))
+    cells = touched.withColumn("lv", F.lit(0)).unionByName(inner).withColumns({
+        "col": (F.col("cx") * scale).cast("long"), "row": (F.col("cy") * scale).cast("long"), "mark": F.lit(1),
+    }).withColumns({"west": F.col("col") * cell, "south": F.col("row") * cell}).withColumn("at", F.col("south"))
+    # where edges pass the west sides of columns
+    first, last = _index(F.least("x1", "x2"), cell), _index(F.greatest("x1", "x2"), cell) + 1
+    passed = edges.withColumn("col", F.explode(F.sequence(first, last))).withColumn("west", F.col("col") * cell)
+    e = {c: F.col(c) for c in ENDS}
+    passes = passed.filter((F.col("x1") < F.col("west")) != (F.col("x2") < F.col("west"))).select(
+        "__pid", "col", _level_at(e, F.col("west")).alias("at"), F.lit(0).alias("mark")
     )
-    cells = slabs.select(*keep, "cx", "west", "__slab", F.explode("__rows").alias("cy")).withColumn(
-        "south", F.col("cy") * cell
+    column = Window.partitionBy("__pid", "col").orderBy("at", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cells.unionByName(passes, allowMissingColumns=True).withColumn(
+        "below_corner", F.sum(1 - F.col("mark")).over(column).cast("int")
+    )
+    found = counted.filter((F.col("mark") == 1) & ((F.size("near") > 0) | (F.col("below_corner") % 2 == 1)))
+    return found.join(base.select("__pid", *keep), "__pid").select(
+        *keep, "lv", "cx", "cy", "west", "south", "below_corner", "near"
     )
-    west, south = F.col("west"), F.col("south")
-    return cells.select(
-        *keep,
-        "cx",
-        "cy",
-        "west",
-        "south",
-        F.size(F.filter("__slab", lambda e: _passes_below(e, west, south))).alias("below_corner"),
-        F.filter(
-            "__slab",
-            lambda e: (F.least(e["y1"], e["y2"]) <= south + cell) & (F.greatest(e["y1"], e["y2"]) >= south),
-        ).alias("near"),
-    ).filter((F.size("near") > 0) | (F.col("below_corner") % 2 == 1))
 
 
 def _level_at(e: Column, x: Column) -> Column:
@@ -183,8 +194,16 @@ def points_in_area(
     keep = [c for c in polys.columns if c != rings]
     placed = point_cell(pts.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, cell)
     index = materialize(polygon_cells(polys, rings, keep, cell), "area-cells")
-    hit = cell_join(placed, index, "inner", _in_cell_polygon(F.col(x), F.col(y)))
-    return hit.drop("west", "south", "below_corner", "near")
+    levels = sorted(r["lv"] for r in index.select("lv").distinct().collect())
+    inside = _in_cell_polygon(F.col(x), F.col(y))
+    if any(levels):
+        scale = F.pow(F.lit(2.0), F.col("__lv"))
+        placed = placed.withColumn("__lv", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumns(
+            {"cx": F.floor(F.col("cx") / scale), "cy": F.floor(F.col("cy") / scale)}
+        )
+        inside = (F.col("__lv") == F.col("lv")) & inside
+    hit = cell_join(placed, index, "inner", inside)
+    return hit.drop("__lv", "lv", "west", "south", "below_corner", "near")
 
 
 def spatial_join(

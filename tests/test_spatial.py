@@ -270,3 +270,26 @@ def test_validity_of_touching_spiked_and_misplaced_rings(spark):
     df = spark.createDataFrame([(k, rings) for k, (rings, _) in CASES.items()], "id string, rings array<array<struct<x:double,y:double>>>")
     got = {r["id"]: r["valid"] for r in P.validity(df, "rings", "id").collect()}
     assert got == {k: v for k, (_, v) in CASES.items()}
+
+
+def test_one_large_area_beside_many_small_ones(spark):
+    """The index grows with the outline of the large area, and points are found at every level of its inside."""
+    def square(i, x, y, side):
+        return (i, [ring((x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y))])
+
+    small = [square(i, i % 100 + 0.25, i // 100 + 0.25, 0.5) for i in range(2000)]
+    df = spark.createDataFrame([*small, square(-1, 0.3, 0.3, 400.0)], "id int, rings array<array<struct<x:double,y:double>>>")
+    alone = df.filter("id >= 0")
+    cell = P.auto_cell(alone, "rings")
+    added = P.polygon_cells(df, "rings", ["id"], cell).count() - P.polygon_cells(alone, "rings", ["id"], cell).count()
+    assert added < 20 * 4 * 400 / cell
+    pts = spark.range(4000).select("id", (F.col("id") * 7919 % 9973 / 20.0 + 0.013).alias("x"), (F.col("id") * 104729 % 9967 / 20.0 + 0.013).alias("y"))
+    got = sorted((r["pid"], r["id"]) for r in P.points_in_area(pts.withColumnRenamed("id", "pid"), df, "rings", cell).collect())
+    want = []
+    for r in pts.collect():
+        if 0.3 < r["x"] < 400.3 and 0.3 < r["y"] < 400.3:
+            want.append((r["id"], -1))
+        i = int(r["y"]) * 100 + int(r["x"])
+        if r["x"] < 100 and i < 2000 and 0.25 < r["x"] % 1 < 0.75 and 0.25 < r["y"] % 1 < 0.75:
+            want.append((r["id"], i))
+    assert got == sorted(want)
