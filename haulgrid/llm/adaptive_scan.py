@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import map_arrow, with_row_key, write_table
+from .tables import chosen_by_hash, map_arrow, with_row_key, write_table
 
 NEAREST = 20
 #: Vectors that centres are fitted on, and centres, at most. Every vector is in a list, whatever their number.
@@ -194,7 +194,7 @@ def nearest(
     )
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n, radius = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
-    drawn = distinct.select("v", "key").orderBy(F.xxhash64("v"), "key").limit(sample).select("v").collect()
+    drawn = sorted(distinct.filter(chosen_by_hash(F.xxhash64("v"), sample, n)).select("v").collect())
     lists = min(MOST_LISTS, max(1, round(n**0.5)))
     index = Index(np.array([r[0] for r in drawn], float), radius, lists)
     blocks = write_table(

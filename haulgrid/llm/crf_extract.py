@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import map_arrow
+from .tables import chosen_by_hash, map_arrow
 
 #: Pages of the table and composed pages that are learned from.
 PAGES = 400
@@ -344,9 +344,10 @@ def made_pages(number: int, seed: int = 11) -> list[tuple[str, list[int]]]:
 
 
 def train(pages: DataFrame, html: str = "html", number: int = PAGES, made: int = MADE) -> Chain:
-    """Learn from ``number`` pages of the table, the first by the hash of their markup, and ``made`` composed ones."""
-    rows = pages.filter(F.col(html).rlike("(?i)<(article|main)[ >]")).select(F.col(html).alias("h"))
-    taken = rows.orderBy(F.xxhash64("h")).limit(number).collect()
+    """Learn from about ``number`` different pages of the table, by the hash of their markup, and ``made`` composed ones."""
+    rows = pages.filter(F.col(html).rlike("(?i)<(article|main)[ >]")).select(F.col(html).alias("h"), F.xxhash64(html).alias("k"))
+    found = rows.filter(chosen_by_hash(F.col("k"), number, rows.count()))
+    taken = sorted(found.groupBy("k").agg(F.first("h").alias("h")).collect())
     known = [(leaf_blocks(r.h), own_labels(leaf_blocks(r.h), r.h)) for r in taken]
     for page, labels in made_pages(made):
         blocks = leaf_blocks(page)

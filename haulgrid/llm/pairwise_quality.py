@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import map_arrow, remainder
+from .tables import chosen_by_hash, map_arrow, remainder
 from .word_arrays import Words, chunks, window_hashes
 
 #: Labelled rows of either class and preference pairs that are learned from, at most.
@@ -128,19 +128,21 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
     rows_per_class: int = ROWS_PER_CLASS, folds: int = FOLDS,
 ) -> QualityModel:
-    """Learn from labelled rows whose id's crc32 mod ``folds`` is not 0, the first ``rows_per_class`` of each label by hash.
+    """Learn from labelled rows whose id's crc32 mod ``folds`` is not 0, about ``rows_per_class`` of each label, by hash.
 
     Rows with a NULL id or label teach nothing; of an id with several labels each counts. No labelled row: a model that
     gives 0.5 to all.
     """
     known = labels.filter(F.col(label).isin(0, 1) & (remainder(F.col(id_col), folds) != 0)).select(
         F.col(id_col).alias("__id"), (F.col(label) == 1).alias("good")
+    ).distinct()
+    sizes = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
+    key = F.xxhash64("__id")
+    taken = known.filter(
+        F.when(F.col("good"), chosen_by_hash(key, rows_per_class, sizes.get(True, 0)))
+        .otherwise(chosen_by_hash(key, rows_per_class, sizes.get(False, 0)))
     )
-    order = [F.xxhash64("__id"), F.col("__id")]
-    taken = known.filter("good").orderBy(*order).limit(rows_per_class).unionByName(
-        known.filter("not good").orderBy(*order).limit(rows_per_class)
-    )
-    # at most 2 * rows_per_class ids: bounded, whatever the tables hold
+    # about 2 * rows_per_class ids at most: bounded, whatever the tables hold
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).join(F.broadcast(taken), "__id")
     found = map_arrow(rows.select("good", "text"), _features, "good boolean, x array<double>").toPandas()
     order = sorted(range(len(found)), key=lambda i: (found.good[i], tuple(found.x[i])))

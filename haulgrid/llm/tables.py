@@ -59,6 +59,14 @@ def remainder(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def chosen_by_hash(key: Column, wanted: int, total: int) -> Column:
+    """True for about ``wanted`` of ``total`` different keys, the same in every run; for all if there are fewer.
+
+    Unlike the first rows in the order of a hash, which every task would send to one place, this is a filter.
+    """
+    return F.pmod(key, F.lit(1 << 40)) < F.lit(min(1.0, wanted / max(total, 1)) * float(1 << 40))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver's process was started; once for a Spark context."""
     context = spark.sparkContext
