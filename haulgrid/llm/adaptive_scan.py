@@ -113,19 +113,29 @@ def _probes(index: Index, sizes: np.ndarray, probes: int, enough: int, first: bo
     return run
 
 
-def survivors(query: np.ndarray, turned: np.ndarray, bound: float, trust: float = TRUST) -> np.ndarray:
-    """Numbers of the candidates that no test abandons; ``bound`` is a squared distance."""
-    alive, total = np.arange(len(turned)), np.zeros(len(turned))
+def survivors(
+    queries: np.ndarray, turned: np.ndarray, bounds: np.ndarray, trust: float = TRUST
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) numbers of the pairs that no test abandons; ``bounds`` are squared distances, one a query.
+
+    The first block of columns is one matrix product over all pairs, later ones meet only the pairs still alive.
+    """
     width = turned.shape[1]
-    if not np.isfinite(bound):
-        return alive
+    rows = cols = total = None
     for d in range(0, width, COLUMNS):
         seen = min(d + COLUMNS, width)
-        total = total + ((turned[alive, d:seen] - query[d:seen]) ** 2).sum(axis=1)
+        x, q = turned[:, d:seen], queries[:, d:seen]
         slack = (1 + trust / np.sqrt(seen)) ** 2 if seen < width else 1 + 1e-5
-        keep = total * (width / seen) <= bound * slack + 1e-6
-        alive, total = alive[keep], total[keep]
-    return alive
+        if total is None:
+            every = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * q @ x.T
+            rows, cols = np.nonzero(every * (width / seen) <= (bounds * slack + 1e-6)[:, None])
+            total = every[rows, cols]
+            continue
+        gap = x[cols] - q[rows]
+        total = total + np.einsum("ij,ij->i", gap, gap)
+        keep = total * (width / seen) <= bounds[rows] * slack + 1e-6
+        rows, cols, total = rows[keep], cols[keep], total[keep]
+    return rows, cols
 
 
 def _scan(index: Index, dims: int, k: int):
@@ -139,17 +149,15 @@ def _scan(index: Index, dims: int, k: int):
                 turned = np.frombuffer(turned, "<f4").reshape(-1, dims + 1).astype(float)
                 queries = np.frombuffer(queries, "<f4").reshape(-1, dims).astype(float)
                 least = np.array([i[0] for i in ids])
-                for key, q, r, bound in zip(keys, queries, index.rotate(queries, True), np.frombuffer(bounds, "<f8")):
-                    found = survivors(r, turned, bound)
-                    scores = plain[found] @ q
-                    if len(found) > k:  # all that tie with the k-th are ordered by id
-                        edge = np.partition(scores, -k)[-k]
-                        near = scores >= edge - 1e-9 * abs(edge)
-                        found, scores = found[near], scores[near]
-                    best = np.lexsort((least[found], -scores))[:k]
-                    out_key += [key] * len(best)
-                    out_ids += [ids[i] for i in found[best]]
-                    out_score += scores[best].tolist()
+                rows, cols = survivors(index.rotate(queries, True), turned, np.frombuffer(bounds, "<f8"))
+                scores = np.einsum("ij,ij->i", plain[cols], queries[rows])
+                order = np.lexsort((least[cols], -scores, rows))
+                rows, cols, scores = rows[order], cols[order], scores[order]
+                nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                best = nth < k
+                out_key += [keys[i] for i in rows[best]]
+                out_ids += [ids[i] for i in cols[best]]
+                out_score += scores[best].tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_key, pa.string()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_score, pa.float64())],
                 ["key", "ids", "score"],

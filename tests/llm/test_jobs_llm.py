@@ -177,7 +177,7 @@ def test_tests_abandon_most_and_keep_the_best():
     for q in x[:40]:
         scores = x @ q
         best = np.argsort(-scores)[:20]
-        found = adaptive_scan.survivors(index.rotate(q[None], True)[0], turned, 2 - 2 * scores[best[-1]])
+        _, found = adaptive_scan.survivors(index.rotate(q[None], True), turned, np.array([2 - 2 * scores[best[-1]]]))
         lost += len(set(best) - set(found))
         kept += len(found)
     assert lost <= 8 and kept < 0.1 * 40 * 3000
