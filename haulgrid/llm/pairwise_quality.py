@@ -1,21 +1,23 @@
 """Quality classifier by pairwise preferences (Bradley-Terry).
 
 A text's strength is a linear function of bounded features. From pairs of a good and a bad text the weights are
-learned by logistic loss on the difference of features. The share of bad texts among those it learned from fixes the
-quantile of strengths below which texts are rejected; a logistic curve through that point gives the score.
+learned by logistic loss on the difference of features, from a bounded sample. The share of bad texts among all labelled
+ones that are not held out fixes the quantile of their strengths below which texts are rejected; a logistic curve through
+that point gives the score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import chosen_by_hash, map_arrow, remainder
+from ..operators.aggregates import quantile
+from .tables import chosen_by_hash, drop_table, map_arrow, remainder, write_table
 from .word_arrays import Words, chunks, window_hashes
 
 #: Labelled rows of either class and preference pairs that are learned from, at most.
@@ -130,7 +132,7 @@ def train(
 ) -> QualityModel:
     """Learn from labelled rows whose id's crc32 mod ``folds`` is not 0, about ``rows_per_class`` of each label, by hash.
 
-    Rows with a NULL id or label teach nothing; of an id with several labels each counts. No labelled row: a model that
+    The sample gives the weights only; cut and prior are those of all such rows. Rows with a NULL id or label teach nothing; of an id with several labels each counts. No labelled row: a model that
     gives 0.5 to all.
     """
     known = labels.filter(F.col(label).isin(0, 1) & (remainder(F.col(id_col), folds) != 0)).select(
@@ -147,7 +149,26 @@ def train(
     found = map_arrow(rows.select("good", "text"), _features, "good boolean, x array<double>").toPandas()
     order = sorted(range(len(found)), key=lambda i: (found.good[i], tuple(found.x[i])))
     x = np.array([found.x[i] for i in order]).reshape(-1, FEATURES)
-    return learn(x, found.good.to_numpy(bool)[order])
+    model = learn(x, found.good.to_numpy(bool)[order])
+    if not 0 < model.prior < 1 or max(sizes.values(), default=0) <= rows_per_class:
+        return model
+    return _at_true_share(docs.filter(remainder(F.col(id_col), folds) != 0), known, model, id_col, text)
+
+
+def _at_true_share(docs: DataFrame, known: DataFrame, model: QualityModel, id_col: str, text: str) -> QualityModel:
+    """``model`` with the cut and prior of all ``docs`` in ``known`` (__id, good): only ids and strengths are joined."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = model.strength(features(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(z)], ["__id", "z"])
+
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
+    strengths = map_arrow(rows, run, f"__id {rows.schema['__id'].dataType.simpleString()}, z double")
+    held = write_table(strengths.join(known, "__id").select("good", "z"), "strengths")
+    n, bad = held.agg(F.count("z"), F.count_if(~F.col("good"))).first()
+    cut = quantile(held, "z", (bad - 0.5) / (n - 1)).first()[0]  # halfway between the last rejected and the first kept
+    drop_table(held)
+    return replace(model, cut=cut, prior=1 - bad / n)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

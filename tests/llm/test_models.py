@@ -51,6 +51,23 @@ def test_pairs_order_texts():
     assert abs((s < pairwise_quality.CUT).mean() - (~good).mean()) < 0.01
 
 
+def test_quality_cut_is_at_the_true_share(spark):
+    """However few rows of either class the weights come from, as many labelled rows are rejected as are bad."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1500):
+        good = i % 7 > 0
+        words = ["w" * rnd.randint(1, 9) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(20, 60))]
+        words += ["#"] * rnd.randint(0, 20 if good else 30)
+        rows.append((i, " ".join(words), int(good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for size in (30, 300, 10_000):
+        model = pairwise_quality.train(df.drop("quality"), df.drop("text"), rows_per_class=size)
+        got = pairwise_quality.score(df, model).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).collect()
+        bad = sum(r.quality == 0 for r in got)
+        assert sum(r.predicted == 0 for r in got) == bad and model.prior == pytest.approx(1 - bad / len(got))
+
+
 @here
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
