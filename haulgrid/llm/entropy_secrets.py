@@ -26,11 +26,13 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 UNIT = 1 << 20
-#: Least bits per character in a window, by the smallest character class that holds the whole candidate.
+#: Least bits per character in a window, by the smallest character class that holds the whole candidate, or the whole PART
+#: if the window lies within one: a value is judged behind a name or path as it would be alone.
 CLASS_BITS = (("^[0-9A-Fa-f]+$", 3.0), ("^[0-9A-Za-z]+$", 3.7), ("", 3.9))
 _RUN = "[A-Za-z0-9+/_=-]"
 #: A candidate is a whole run of at least WINDOW characters with a letter and a digit.
 CANDIDATE = rf"(?<!{_RUN})(?={_RUN}*[0-9])(?={_RUN}*[A-Za-z]){_RUN}{{{WINDOW},}}+"
+PART = "^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z]+$"
 #: Candidates that are no secrets: UUIDs, dates and times, words joined by separators, placeholders, data-free runs.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -92,6 +94,10 @@ def entropy_runs(candidate: Column, window: int = WINDOW) -> Column:
     """Unions of the windows of ``candidate`` with enough entropy, as array<struct<s,e>> within it."""
     terms = F.array(*[F.lit(t) for t in _terms(window)])
     limit = _class_limit(candidate, window)
+    pieces = F.regexp_extract_all(candidate, F.lit("[0-9A-Za-z]+|[^0-9A-Za-z]+"), F.lit(0))
+    own = F.flatten(F.transform(
+        pieces, lambda p: F.array_repeat(F.when(p.rlike(PART), _class_limit(p, window)).otherwise(limit), F.length(p))
+    ))
 
     def times(held, char):
         return F.length(held) - F.length(F.replace(held, char, F.lit("")))
@@ -99,7 +105,8 @@ def entropy_runs(candidate: Column, window: int = WINDOW) -> Column:
     def term(n):
         return F.element_at(terms, n + 1)
 
-    def step(acc, char):
+    def step(acc, x):
+        char = x["char"]
         full = F.length(acc["held"]) == window
         leaving = F.substring(acc["held"], 1, 1)
         out = F.when(full, term(times(acc["held"], leaving)) - term(times(acc["held"], leaving) - 1)).otherwise(0)
@@ -108,23 +115,25 @@ def entropy_runs(candidate: Column, window: int = WINDOW) -> Column:
             F.concat(rest, char).alias("held"),
             (acc["sum"] - out + term(times(rest, char) + 1) - term(times(rest, char))).alias("sum"),
             (acc["pos"] + 1).alias("pos"),
-            acc["limit"].alias("limit"),
-            acc["s"].alias("s"), acc["e"].alias("e"), acc["runs"].alias("runs"),
+            F.when(char.rlike("[0-9A-Za-z]"), acc["tail"] + 1).otherwise(0).alias("tail"), x["own"].alias("own"),
+            acc["limit"].alias("limit"), acc["s"].alias("s"), acc["e"].alias("e"), acc["runs"].alias("runs"),
         )
 
     def flag(acc):
-        hit = (F.length(acc["held"]) == window) & (acc["sum"] <= acc["limit"])
+        hit = (F.length(acc["held"]) == window) & (acc["sum"] <= F.when(acc["tail"] >= window, acc["own"]).otherwise(acc["limit"]))
         begins = hit & (acc["e"] < acc["pos"] - window)
         closed = F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))
         return F.struct(
-            acc["held"].alias("held"), acc["sum"].alias("sum"), acc["pos"].alias("pos"), acc["limit"].alias("limit"),
+            acc["held"].alias("held"), acc["sum"].alias("sum"), acc["pos"].alias("pos"), acc["tail"].alias("tail"),
+            acc["own"].alias("own"), acc["limit"].alias("limit"),
             F.when(begins, acc["pos"] - window).otherwise(acc["s"]).alias("s"),
             F.when(hit, acc["pos"]).otherwise(acc["e"]).alias("e"),
             F.when(begins & (acc["e"] > 0), F.concat(acc["runs"], closed)).otherwise(acc["runs"]).alias("runs"),
         )
 
     start = F.struct(
-        F.lit("").alias("held"), F.lit(0).alias("sum"), F.lit(0).alias("pos"), limit.alias("limit"),
+        F.lit("").alias("held"), F.lit(0).alias("sum"), F.lit(0).alias("pos"), F.lit(0).alias("tail"),
+        F.lit(0).alias("own"), limit.alias("limit"),
         F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(_SPANS).alias("runs"),
     )
 
@@ -133,7 +142,8 @@ def entropy_runs(candidate: Column, window: int = WINDOW) -> Column:
         return F.when(acc["e"] > 0, F.concat(acc["runs"], closed)).otherwise(acc["runs"])
 
     chars = F.filter(F.split(candidate, ""), lambda c: c != "")
-    return F.aggregate(chars, start, lambda acc, c: flag(step(acc, c)), last)
+    marked = F.zip_with(chars, own, lambda c, n: F.struct(c.alias("char"), n.alias("own")))
+    return F.aggregate(marked, start, lambda acc, x: flag(step(acc, x)), last)
 
 
 def _entropy_places(text: Column, allowed: Sequence[str], window: int) -> Column:

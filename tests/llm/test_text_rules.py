@@ -72,6 +72,25 @@ def test_spans(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_values_behind_names_and_paths(spark):
+    """What is found alone is found behind a name or path; numbers, words and ids there stay."""
+    rnd = random.Random(11)
+    values = ["".join(rnd.choices("0123456789ABCDEF", k=k)) for k in (32, 40, 64) for _ in range(40)]
+    values += ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)) for _ in range(40)]
+    fronts = ["pwd=", "auth=", "signature=", "/v1/files/", "a_b-c=", ""]
+    rows = [(i, f + v + end) for i, v in enumerate(values) for f in fronts for end in ("", "/x")]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    alone = {r.doc_id: [(s.s, s.e) for s in r.secret_spans] for r in got if r.text == values[r.doc_id]}
+    assert sum(map(bool, alone.values())) > 0.95 * len(values)
+    for r in got:
+        at = r.text.index(values[r.doc_id])
+        held = {p for s in r.secret_spans for p in range(s.s - at, s.e - at)}
+        assert all(p in held for a, b in alone[r.doc_id] for p in range(a, b)), r.text
+    clean = ["id=12345678901234567890123", "x1=" + "internationalizationsupport", "id=550e8400-e29b-41d4-a716-446655440000"]
+    df = spark.createDataFrame(enumerate(clean), "doc_id int, text string")
+    assert not [s for r in secrets.scan_secrets(df).collect() for s in r.secret_spans if s.k == 3]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     for r in secrets.redact(df).collect():
