@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import HOT_SHARE
 from .tables import drop_table, write_table
 
+#: Edges that a node has at least if it is treated as hot.
+HOT_LEAST = 64
+
 
 def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Tie every larger neighbour of a node to the smallest node around it."""
+    """Tie every larger neighbour of a node to the smallest node around it.
+
+    Nodes with at least ``HOT_SHARE`` of all edges number at most 2 / ``HOT_SHARE``, so what is around them is broadcast
+    and their edges stay where they are.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _smallest(both).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(edges.count() * HOT_SHARE, HOT_LEAST)
+    hot, larger = F.broadcast(least.filter(F.col("n") >= limit).drop("n")), both.filter("v > u")
+    tied = larger.join(hot, "u").unionByName(
+        larger.join(hot, "u", "left_anti").join(least.filter(F.col("n") < limit).drop("n"), "u")
+    )
+    return tied.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

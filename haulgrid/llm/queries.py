@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_scan, crf_extract, grouped_packing, language_bits, pairwise_quality, parity_join, raking, suffix_repetition
+from . import adaptive_scan, crf_extract, golay_simhash, grouped_packing, language_bits, pairwise_quality, parity_join, raking
+from . import rtree_negatives, suffix_repetition, variant_groups
 from . import entropy_secrets as secrets
 from . import redirect_filter as urls
 from .tables import remainder
@@ -192,3 +193,64 @@ def op3_raking(spark, d):
         F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"),
         F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"),
     )
+
+
+def _negatives_sql() -> str:
+    """Every anchor against every row."""
+    order = "ORDER BY score DESC, id"
+    return f"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND len(a.e) = len(b.e) AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id {order}) <= {rtree_negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same
+  AND {rtree_negatives.FROM} * positive_score <= 100 * score AND 100 * score <= {rtree_negatives.TO} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id {order}) QUALIFY row_number() OVER w <= {rtree_negatives.NEGATIVES}"""
+
+
+@query(_negatives_sql())
+def op11_rtree_negatives(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree_negatives.hard_negatives(_table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query()
+def op12_golay_simhash(spark, d):
+    return golay_simhash.near_duplicates(_table(spark, d, "documents"))
+
+
+def _variants_sql() -> str:
+    """CRC by table, then near words by one deleted code point: equal strings, or two strings equal without the same place."""
+    least = variant_groups.LEAST_LENGTH
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{{least},}}')) AS r FROM documents) GROUP BY ALL),
+bytes AS (SELECT r, n, flatten(list_transform(string_split(concat(doc_id, ':', r), ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM runs),
+hashed AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM bytes, crc),
+said AS (SELECT CASE WHEN h % {variant_groups.SLIP} = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= {least} GROUP BY word
+  HAVING sum(n) >= {variant_groups.LEAST_COUNT}),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b USING (i, d) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY word),
+first AS (SELECT word, n_near, m, min(other) AS other FROM best JOIN pairs USING (word, m) GROUP BY ALL),
+forms AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {variant_groups.TIMES} * n THEN other END AS form,
+  CASE WHEN m >= {variant_groups.TIMES} * n THEN m END AS form_n FROM words w LEFT JOIN first USING (word)),
+paths AS (SELECT word, word AS last FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.last WHERE f.form IS NOT NULL)
+SELECT word, form, last AS root, n, n_near, form_n FROM paths JOIN forms USING (word)
+WHERE last IN (SELECT word FROM forms WHERE form IS NULL)"""
+
+
+@query(_variants_sql())
+def op13_variant_groups(spark, d):
+    return variant_groups.variants(_table(spark, d, "documents"))

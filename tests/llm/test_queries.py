@@ -24,6 +24,9 @@ COLUMNS = {
     "op8": "page_id bigint, host string, path string, rule string, verdict string",
     "op9": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op10": "page_id bigint, url string, text string, n_chars bigint",
+    "op11": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
 }
 
 
