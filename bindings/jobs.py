@@ -317,8 +317,7 @@ def job_establishments_share(spark, d):
 
 
 def quotients(spark, d, depth):
-    region = establishments(spark, d).filter(F.col("state") == "00")
-    return economy.job_lq_depth(region, establishments(spark, d, by=()), titles(spark, d), depth)
+    return economy.job_lq_rollup(establishments(spark, d), F.col("state") == "00", titles(spark, d), depth)
 
 
 def lq_sql(depth):

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import as_col, ratio, strict_sum
+from ..session import materialize
 from .ranking import group_value_ranks, value_counts
 from .skew import beside
 
 
-# a quantile is bracketed ever closer until no more than so many values lie between the ends of the bracket
-BRACKET_VALUES = 100_000
-BRACKET_ACCURACY = 10_000
+# a quantile is bracketed ever closer, by samples of so many values, until no more than so many lie between the ends
+BRACKET_SAMPLE = 20_000
+BRACKET_VALUES = 10_000
 
 
 def sum_cols(cols: Sequence[str]) -> Column:
@@ -87,12 +88,24 @@ def _interpolated(below: str, n: str, total: int | None, col: str, p: float) ->
     return at(lo) + (at(hi) - at(lo)) * F.max(h - lo)
 
 
+def _narrower(drawn: list[float], all_drawn: bool, lo: float, hi: float, place: float, after: float) -> tuple[float, float]:
+    """Sampled values four standard errors before the share ``place`` and after the share ``after`` of an ordered sample."""
+    n = len(drawn)
+
+    def error(share):
+        return 2 + (0 if all_drawn else 4 * math.sqrt(n * max(share * (1 - share), 0.0)))
+
+    left, right = math.floor(place * n - error(place)), math.ceil(after * n + error(after))
+    return (drawn[left] if left >= 0 else lo), (drawn[right] if right < n else hi)
+
+
 def quantile(df: DataFrame, col: str, p: float, name: str = "q") -> DataFrame:
     """One-row table with the exact quantile (linear interpolation) of the known values.
 
-    An approximate percentile brackets the two order statistics around (n - 1) p, counts say how many values lie below
-    the bracket, and the values inside are bracketed again until they are few: each round leaves about one value in 2,500.
-    Nothing is shuffled but counts and sketches, and nothing is written.
+    The two order statistics around (n - 1) p are bracketed by a sample of ``BRACKET_SAMPLE`` values; exact counts say how
+    many lie below and inside the bracket, which is kept only where they prove it right, and the values inside are bracketed
+    again until at most ``BRACKET_VALUES`` are left. Each round leaves one value in 50 or so. Tasks pass on a few counts each; no
+    sketch is merged and no more than those two numbers of values ever meet in one place. The ends may have any number of copies.
     """
     v = F.col(col).cast("double")
     values = df.select(v.alias("v")).filter("v is not null")
@@ -102,24 +115,30 @@ def quantile(df: DataFrame, col: str, p: float, name: str = "q") -> DataFrame:
     if n == 0:
         return spark.createDataFrame([(None,)], f"`{name}` double")
     h = (n - 1) * float(p)
-    below, inside = 0, n
-    while inside > BRACKET_VALUES and lo < hi:
-        held = values.filter(F.col("v").between(lo, hi))
-        size = held.count() if below or inside < n else n
-        ends = [
-            min(1.0, max(0.0, (edge - below) / size + side * 2 / BRACKET_ACCURACY))
-            for edge, side in ((math.floor(h), -1), (math.ceil(h), 1))
-        ]
-        new_lo, new_hi = held.agg(F.percentile_approx("v", F.lit(ends), F.lit(BRACKET_ACCURACY)).alias("e")).first()["e"]
-        counts = values.agg(
-            F.count_if(F.col("v") < new_lo).alias("below"),
-            F.count_if((F.col("v") > new_lo) & (F.col("v") < new_hi)).alias("inside"),
-            F.count_if(F.col("v") <= new_hi).alias("up_to"),
+    i, j = math.floor(h), math.ceil(h)
+    # values below lo, up to lo, and below hi; what is strictly between the ends is looked at in ``pool``, after ``base`` values
+    below, up_to, under, pool, base, seed = 0, 0, n, values, 0, 0
+    x = F.col("v")
+    if n > BRACKET_VALUES:
+        ends = values.agg(F.count_if(x <= lo).alias("up_to"), F.count_if(x < hi).alias("under")).first()
+        up_to, under = ends["up_to"], ends["under"]
+    while under - up_to > BRACKET_VALUES:
+        inside = under - up_to
+        between = pool.filter((x > lo) & (x < hi))
+        drawn = sorted(r[0] for r in between.sample(min(1.0, BRACKET_SAMPLE / inside), seed=seed).collect())
+        seed += 1
+        place, after = (min(max((k - up_to) / inside, 0.0), 1.0) for k in (i, j))
+        new_lo, new_hi = _narrower(drawn, inside <= BRACKET_SAMPLE, lo, hi, place, after)
+        c = pool.agg(
+            F.count_if(x < new_lo).alias("lt_lo"), F.count_if(x <= new_lo).alias("le_lo"),
+            F.count_if(x < new_hi).alias("lt_hi"), F.count_if(x <= new_hi).alias("le_hi"),
         ).first()
-        if (new_lo, new_hi) == (lo, hi) or counts["below"] > h or counts["up_to"] <= math.ceil(h):
-            break
-        lo, hi, below, inside = new_lo, new_hi, counts["below"], counts["inside"]
-    # the ends may stand for many equal values each, so values are counted
+        if new_lo > lo and base + c["lt_lo"] <= i:
+            lo, below, up_to = new_lo, base + c["lt_lo"], base + c["le_lo"]
+        if new_hi < hi and j < base + c["le_hi"]:
+            hi, under = new_hi, base + c["lt_hi"]
+        if pool is values and BRACKET_VALUES < under - up_to <= n // 4:
+            pool, base = materialize(values.filter((x > lo) & (x < hi)), "bracket"), up_to
     near = values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + below
     return near.withColumn("below", before).agg(_interpolated("below", "n", n, "v", p).alias(name))
@@ -188,50 +207,83 @@ def hist2d(df: DataFrame, x: str, y: str, wx: float, wy: float) -> DataFrame:
     )
 
 
+#: Cells that a bin of the density is cut into, to find the few that hold a quartile.
+CELLS = 1024
+
+
 def density(df: DataFrame, x: str, by: str, lo: float, hi: float, n: int = 512, bins: int = 1024) -> DataFrame:
     """Gaussian kernel density per category on ``n`` grid points over [lo, hi]; values outside are left out.
 
-    Values are counted first, and quartiles, spread and nodes all come from the counts. Each value is shared between its two neighbouring bin nodes, so what meets the grid is at most
-    ``bins + 1`` nodes per category, however many rows there are. Bandwidth:
-    0.9 * min(sd, IQR / 1.34) * count^-0.2.
+    Rows are read twice. First they are counted in ``CELLS`` cells per bin, with the sums that spread and nodes need: a value is
+    shared between its two neighbouring bin nodes. The cells also tell in which of them the quartiles lie, and the second
+    pass counts the values of those few cells. A category's ``bins + 1`` nodes are one array that its grid points are summed
+    from, so no row per node and grid point is made. Bandwidth: 0.9 * min(sd, IQR / 1.34) * count^-0.2.
     """
-    step = (hi - lo) / bins
-    gap = (hi - lo) / (n - 1)
-    kept = df.filter(F.col(x).between(lo, hi)).select(by, F.col(x).cast("double").alias(x))
-    counted = value_counts(kept, x, [by])
-    quart = quantiles_by(counted, [by], x, {"__q1": 0.25, "__q3": 0.75}).withColumnRenamed(by, "__qb")
+    step, gap, middle = (hi - lo) / bins, (hi - lo) / (n - 1), (lo + hi) / 2
+    v = F.col("__x")
+    kept = df.filter(F.col(x).between(lo, hi)).select(F.col(by).alias("__by"), F.col(x).cast("double").alias("__x"))
+    pos = (v - lo) / step
+    left = F.least(F.floor(pos), F.lit(bins - 1))
+    cell = left * CELLS + F.least(F.floor((pos - left) * CELLS), F.lit(CELLS - 1))
+    placed = kept.withColumn("__cell", cell)
     # deviations from the middle of the range keep the digits that squares of large values would lose
-    d = F.col(x) - (lo + hi) / 2
-    rows, total = F.sum("n"), F.sum(d * F.col("n"))
-    variance = (F.sum(d * d * F.col("n")) - total * total / rows) / (rows - 1)
-    spread = counted.groupBy(by).agg(
-        F.when(rows > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("__sd"), rows.alias("__n"),
-        F.max(F.abs(F.col(x))).alias("__abs"),
+    d = v - middle
+    cells = materialize(
+        placed.groupBy("__by", "__cell").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(pos - left).alias("right"), F.sum(d).alias("d"), F.sum(d * d).alias("dd"),
+            F.max(F.abs(v)).alias("top"),
+        ), "density-cells",
+    )
+    # at most bins * CELLS cells a category
+    before = Window.partitionBy("__by").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cells.select(
+        "__by", "__cell", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.sum("n").over(Window.partitionBy("__by")).alias("total"),
+    )
+    wanted = F.lit(False)
+    for p in (0.25, 0.75):
+        h = (F.col("total") - 1) * p
+        for i in (F.floor(h), F.ceil(h)):
+            wanted = wanted | ((F.col("start") <= i) & (i < F.col("start") + F.col("n")))
+    held = ranked.filter(wanted).select(
+        F.col("__by").alias("__qb"), F.col("__cell").alias("__qc"), "start", "total"
+    )
+    counted = (
+        placed.join(held, F.col("__by").eqNullSafe(F.col("__qb")) & (F.col("__cell") == F.col("__qc")))
+        .groupBy("__by", "__cell", "start", "total", "__x").agg(F.count(F.lit(1)).alias("n"))
+    )
+    inside = Window.partitionBy("__by", "__cell").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    quart = counted.withColumn("below", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).groupBy("__by").agg(
+        *[_interpolated("below", "n", None, "__x", p).alias(k) for k, p in (("__q1", 0.25), ("__q3", 0.75))]
+    ).withColumnRenamed("__by", "__qb")
+    rows, total = F.sum("n"), F.sum("d")
+    variance = (F.sum("dd") - total * total / rows) / (rows - 1)
+    spread = cells.groupBy("__by").agg(
+        F.when(rows > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("__sd"), rows.alias("__n"), F.max("top").alias("__abs"),
     )
     iqr = (F.col("__q3") - F.col("__q1")) / 1.34
     low = F.when(F.least("__sd", iqr) > 0, F.least("__sd", iqr)).when(F.col("__sd") > 0, F.col("__sd"))
     low = low.when(F.col("__abs") > 0, F.col("__abs")).otherwise(F.lit(1.0))
-    bw = (
-        spread.join(quart, F.col(by).eqNullSafe(F.col("__qb")))
-        .select(F.col(by).alias("__bb"), "__n", (0.9 * low * F.pow("__n", F.lit(-0.2))).alias("__h"))
+    width = (
+        spread.join(quart, F.col("__by").eqNullSafe(F.col("__qb")))
+        .select(F.col("__by").alias("__bb"), "__n", (0.9 * low * F.pow("__n", F.lit(-0.2))).alias("__h"))
     )
-    pos = (F.col(x) - lo) / step
-    left = F.least(F.floor(pos), F.lit(bins - 1))
+    node = F.floor(F.col("__cell") / CELLS)
     nodes = (
-        counted.select(by, F.explode(F.array(
-            F.struct(left.alias("i"), ((1 - (pos - left)) * F.col("n")).alias("w")),
-            F.struct((left + 1).alias("i"), ((pos - left) * F.col("n")).alias("w")),
-        )).alias("s"))
-        .groupBy(by, F.col("s.i").alias("__i")).agg(F.sum("s.w").alias("__w"))
-    )
-    z = (F.col("x") - (lo + F.col("__i") * step)) / F.col("__h")
-    points = nodes.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "x", lo + F.col("__g") * gap
+        cells.groupBy("__by", node.alias("i")).agg((F.sum("n") - F.sum("right")).alias("l"), F.sum("right").alias("r"))
+        .groupBy("__by").agg(F.collect_list(F.struct("i", "l", "r")).alias("__nodes"))
     )
-    return (
-        points.join(bw, F.col(by).eqNullSafe(F.col("__bb")))
-        .groupBy(by, "__g", "x")
-        .agg((F.sum(F.col("__w") * F.exp(-0.5 * z * z)) / F.max(F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi)))
-             .alias("density"))
-        .drop("__g")
+
+    def kernel(at: Column, i: Column) -> Column:
+        z = (at - (lo + i * step)) / F.col("__h")
+        return F.exp(-0.5 * z * z)
+
+    def height(g: Column) -> Column:
+        at = lo + g * gap
+        total = F.aggregate("__nodes", F.lit(0.0), lambda t, w: t + w["l"] * kernel(at, w["i"]) + w["r"] * kernel(at, w["i"] + 1))
+        return total / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))
+
+    heights = nodes.join(width, F.col("__by").eqNullSafe(F.col("__bb"))).select(
+        F.col("__by").alias(by), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), height)).alias("__g", "density")
     )
+    return heights.select(by, (lo + F.col("__g") * gap).alias("x"), "density")

@@ -11,45 +11,29 @@ from ..functions.nulls import as_col, ratio
 from ..session import materialize, shuffle_partitions
 from .skew import attach_by_key, beside
 
-SAMPLE_PER_BUCKET = 20
+#: Rows a sample for hot values has, and from which share of them a value counts as hot.
+SAMPLE, HOT_VALUE = 100_000, 0.005
+#: Bits of ``monotonically_increasing_id`` that number the rows of a task.
+_PLACE_BITS = 33
 
 
-def _bounds(df: DataFrame, key: Column, buckets: int) -> list:
-    """Split points for ``buckets`` ranges of a column of distinct keys.
+def _in_order(df: DataFrame, order: Sequence[str], first_of: str | None = None) -> DataFrame:
+    """The rows, written once in global order: ``__bucket`` is the task that wrote a row, ``__place`` its number there from 0.
 
-    The sample is the keys whose hash lies below a threshold that follows from their number: the same for every
-    run, whatever order tasks finish in, and about ``SAMPLE_PER_BUCKET * buckets`` keys on the driver.
+    Spark's own range partitioning cuts the order by a sample of bounded size, so no split point enters a plan, and the place
+    of a row is its position in the sorted task. As the rows are written, both stay what they are in every later read.
+    ``first_of``, the only order column, adds ``__first``, the place of the first row with the same value.
     """
-    keyed = df.select(key.alias("k"))
-    wanted = SAMPLE_PER_BUCKET * buckets
-    total = keyed.count()
-    share = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < F.lit(wanted / max(total, 1) * float(1 << 40))
-    ordered = [r["k"] for r in keyed.filter(share).sort("k").collect()]
-    if len(ordered) < SAMPLE_PER_BUCKET:
-        return []
-    buckets = min(buckets, len(ordered) // SAMPLE_PER_BUCKET)
-    return [ordered[i * len(ordered) // buckets] for i in range(1, buckets)]
-
-
-def _literal(value) -> Column:
-    if isinstance(value, tuple):
-        return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(value)])
-    return F.lit(value)
-
-
-def _bucket(key: Column, bounds: list) -> Column:
-    """Number of split points up to and including the key, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    points = F.array(*[_literal(b) for b in bounds])
-    steps = F.lit([2**i for i in range(len(bounds).bit_length() - 1, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(bounds)) & (F.get(points, at + step - 1) <= key), at + step
-        ).otherwise(at),
-    )
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    at, places = F.col("__at"), {"__place": "__at"}
+    ranged = ranged.withColumn("__at", F.monotonically_increasing_id())
+    if first_of is not None:
+        # equal values are in one task already, one after the other
+        so_far = Window.partitionBy(first_of).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranged, places = ranged.withColumn("__f", F.min("__at").over(so_far)), places | {"__first": "__f"}
+    placed = materialize(ranged, "in-order").withColumn("__bucket", F.shiftright(at, _PLACE_BITS))
+    numbers = {k: F.col(c).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) for k, c in places.items()}
+    return placed.withColumns(numbers).drop("__at", "__f")
 
 
 def _with_offset(df: DataFrame, weight: Column) -> DataFrame:
@@ -62,15 +46,13 @@ def _with_offset(df: DataFrame, weight: Column) -> DataFrame:
     return df.join(F.broadcast(offsets), "__bucket")
 
 
-def _ranks(counted: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
+def _ranks(counted: DataFrame, order: Sequence[str]) -> DataFrame:
     """Distinct keys with count ``n``: adds how many rows come before each."""
-    buckets = shuffle_partitions(counted.sparkSession)
-    placed = counted.withColumn("__bucket", _bucket(key, _bounds(counted, key, buckets)))
-    inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__bucket").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        _with_offset(placed, F.col("n"))
+        _with_offset(_in_order(counted, order), F.col("n"))
         .withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("__offset"))
-        .drop("__bucket", "__offset")
+        .drop("__bucket", "__place", "__offset")
     )
 
 
@@ -82,8 +64,7 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 def group_value_ranks(counted: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Value counts with ``below`` (rows of the group with a smaller value) and ``total`` (its known rows)."""
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*by, col])])
-    ranked = _ranks(counted, key, [*by, col]).withColumnRenamed("below", "__before")
+    ranked = _ranks(counted, [*by, col]).withColumnRenamed("below", "__before")
     groups = ranked.groupBy(*by).agg(
         F.min("__before").alias("__start"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("__values")
     )
@@ -94,51 +75,81 @@ def group_value_ranks(counted: DataFrame, by: Sequence[str], col: str) -> DataFr
     )
 
 
+def _hot_values(values: DataFrame, total: int) -> list:
+    """The values (one column) that a sample of bounded size shows to hold a large share of the rows, in order.
+
+    At most 1 / ``HOT_VALUE`` of them; ranks are right whichever are listed, one that is missed only shares a task.
+    """
+    name = values.columns[0]
+    drawn = values.sample(min(1.0, SAMPLE / max(total, 1)), seed=7) if total > SAMPLE else values
+    counted = drawn.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_VALUE * min(total, SAMPLE), 2)
+    return sorted(r[0] for r in counted.filter(F.col("n") >= least).collect())
+
+
+def _up_to(value: Column, points: list) -> Column:
+    """How many of the ascending ``points`` are at most the value, by binary search."""
+    if not points:
+        return F.lit(0)
+    listed = F.array(*[F.lit(p) for p in points])
+    steps = F.lit([2**i for i in range(len(points).bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= len(points)) & (F.get(listed, at + step - 1) <= value), at + step
+        ).otherwise(at),
+    )
+
+
 def percent_rank_global(df: DataFrame, col: str, out: str = "percent_rank") -> DataFrame:
     """Share of the other known values that are smaller; NULL for missing values and for a lone value.
 
-    Rows are ranked where they are: put into ranges of values, counted, and ranked in their range, so they are shuffled once.
-    A value that fills a range of its own is ranked by the counts alone and its rows do not move, nor do NULLs.
+    Rows are shuffled once, by ranges of values, and ranked where they land: the rank of a value is the position of its first
+    row. Values with a large share of the rows (at most 200) are ranked by counts alone and their rows do not move, nor do NULLs.
     """
     rows = materialize(df, "to-rank")
-    buckets = shuffle_partitions(df.sparkSession)
     v = F.col(col)
-    points = F.percentile_approx(v, F.lit([i / buckets for i in range(1, buckets)]), F.lit(100 * buckets))
-    found = rows.agg((points if buckets > 1 else F.lit(None)).alias("p"), F.count(v).alias("n")).first()
-    bounds = sorted(set(found["p"] or []))
-    wide = sorted({p for p in bounds if found["p"].count(p) > 1})
-    alone = v.isin(wide) if wide else F.lit(False)
-    # ranges have even numbers; a wide value is the odd number before the range that begins with it
-    placed = rows.withColumn("__bucket", 2 * _bucket(v, bounds) - F.when(alone, 1).otherwise(0))
-    known = placed.filter(v.isNotNull())
-    sizes = known.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(  # at most two rows for each bucket
-        sizes.select("__bucket", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
-    )
-    near = F.rank().over(Window.partitionBy("__bucket").orderBy(v)) - 1
-    ranked = known.filter(~alone).withColumn("__near", near).unionByName(known.filter(alone).withColumn("__near", F.lit(0)))
-    share = ratio(F.col("__near") + F.col("__offset"), F.lit(found["n"] - 1))
-    scored = ranked.join(offsets, "__bucket").withColumn(out, share).select(*df.columns, out)
+    known = rows.filter(v.isNotNull())
+    hot = _hot_values(known.select(col), known.count())
+    number, is_hot = _up_to(v, hot), v.isin(hot) if hot else F.lit(False)
+    # rows of each hot value, and of the others between two of them: what lies below a hot value, and what hot rows lie below others
+    counts = {
+        (r[0], r[1]): r[2] for r in known.groupBy(number.alias("i"), is_hot.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    total = sum(counts.values())
+    hot_below, cold_below = [0], [counts.get((0, False), 0)]
+    for i in range(1, len(hot) + 1):
+        hot_below.append(hot_below[-1] + counts.get((i, True), 0))
+        cold_below.append(cold_below[-1] + counts.get((i, False), 0))
+
+    def share(below: Column) -> Column:
+        return ratio(below, F.lit(total - 1)).alias(out)
+
+    def pick(values: list[int]) -> Column:
+        return F.get(F.array(*[F.lit(x).cast("long") for x in values]), number)
+
+    placed = _in_order(known.filter(~is_hot), [col], first_of=col)
+    cold = _with_offset(placed, F.lit(1)).withColumn("__below", F.col("__first") + F.col("__offset") + pick(hot_below))
+    parts = [cold.select(*df.columns, share(F.col("__below")))]
+    if hot:
+        below = [0] + [h + c for h, c in zip(hot_below, cold_below)]
+        parts.append(known.filter(is_hot).select(*df.columns, share(pick(below))))
+    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return scored.unionByName(rows.filter(v.isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def row_id(df: DataFrame, order: Sequence[Column | str], out: str = "row_num") -> DataFrame:
     """Numbers 1..n in the stated ascending order (negate a number to descend).
 
-    The order must identify rows, else equal rows all meet in one bucket and may swap numbers between runs.
+    A distributed prefix sum: the rows are written in order, tasks are counted, and a row's number is its place plus
+    the rows of earlier tasks. The order must identify rows, else equal rows all meet in one task.
     Where no column does, end it with the ``row_key`` of ``materialize``, which also tells copies apart.
     """
     names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.withColumns({n: as_col(c) for n, c in zip(names, order)})
-    key = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
-    buckets = shuffle_partitions(df.sparkSession)
-    placed = keyed.withColumn("__bucket", _bucket(key, _bounds(keyed, key, buckets)))
-    inside = Window.partitionBy("__bucket").orderBy(*names)
-    return (
-        _with_offset(placed, F.lit(1))
-        .withColumn(out, (F.row_number().over(inside) + F.col("__offset")).cast("long"))
-        .drop("__bucket", "__offset", *names)
+    placed = _in_order(df.withColumns({n: as_col(c) for n, c in zip(names, order)}), names)
+    return _with_offset(placed, F.lit(1)).select(
+        *df.columns, (F.col("__place") + F.col("__offset") + 1).alias(out)
     )
 
 

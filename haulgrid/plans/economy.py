@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes as C
@@ -202,6 +202,32 @@ def job_lq_depth(
     )
 
 
+def job_lq_rollup(
+    est: DataFrame, in_region: Column, titles: DataFrame, depth: int, freight: Sequence[str] = C.FREIGHT_CODES
+) -> DataFrame:
+    """``job_lq_depth`` of a region within the table it is part of, in one pass.
+
+    Region and whole are conditional sums of one aggregation by code; the totals ("00") are two of its rows.
+    """
+    here, known = F.coalesce(in_region, F.lit(False)), F.col("EMP").isNotNull()
+    kept = _coded(est).filter((F.col("NAICS") == "00") | (F.col("len") == depth))
+    summed = materialize(
+        kept.groupBy("NAICS").agg(
+            F.when(F.count_if(here & ~known) == 0, F.sum(F.when(here, F.col("EMP")))).alias("EMP_x"),
+            strict_sum("EMP").alias("EMP_y"), F.count_if(here).alias("__here"),
+        ), "code-totals",
+    )
+    total = F.col("NAICS") == "00"
+    both = attach_scalar(summed, summed.agg(designated(total, "EMP_x").alias("denom_x"), designated(total, "EMP_y").alias("denom_y")))
+    mine = both.filter((F.col("__here") > 0) & ~in_set("NAICS", "00", "99")).drop("__here")
+    return left_on(mine, titles, {"NAICS": "Code"}).withColumns(
+        {
+            "LQ": ratio(ratio("EMP_x", "denom_x"), ratio("EMP_y", "denom_y")),
+            "FreightRel": flag_in("NAICS", freight, "Freight", "Non-Freight", prefix_len=2),
+        }
+    )
+
+
 def top_quotients(lq: DataFrame, k: int = 10) -> DataFrame:
     return lq.filter(F.col("FreightRel") == "Freight").orderBy(F.desc("LQ"), "NAICS").limit(k)
 

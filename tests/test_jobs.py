@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulgrid import codes as C
+from haulgrid.operators import aggregates
 from haulgrid.plans import carriers, economy, highway, population, rail
 
 
@@ -117,6 +118,44 @@ def test_nation_against_itself_has_quotient_one(spark):
     assert [r["NAICS"] for r in economy.top_quotients(lq).collect()] == ["31"]
 
 
+def test_rollup_equals_two_tables(spark):
+    est = spark.createDataFrame(EST_ROWS, EST)
+    titles = spark.createDataFrame([("31", "Manufacturing")], "Code string, Title string")
+    here = F.col("state") == "27"
+    for depth in (2, 4):
+        apart = economy.job_lq_depth(est.filter(here), est, titles, depth)
+        rolled = economy.job_lq_rollup(est, here, titles, depth)
+        columns = ["NAICS", "EMP_x", "denom_x", "EMP_y", "denom_y", "LQ", "Title", "FreightRel"]
+        assert sorted(map(tuple, rolled.select(columns).collect()), key=str) == sorted(map(tuple, apart.select(columns).collect()), key=str)
+        assert rolled.count() > 0
+
+
+def test_density_of_few_copies_and_edges(spark):
+    """Against numpy, node by node: copies, both edges, a category of one value, a missing category."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in [*rnd.uniform(0, 10, 300), *[2.5] * 200, 0.0, 10.0, 10.0, 11.0, -1.0]]
+    rows += [("b", 4.0)] * 3 + [(None, v) for v in (1.0, 2.0, 7.0)] + [("a", None)]
+    df = spark.createDataFrame(rows, "c string, v double").repartition(3)
+    got = {}
+    for r in aggregates.density(df, "v", "c", 0.0, 10.0, n=32, bins=64).collect():
+        got.setdefault(r["c"], []).append((r["x"], r["density"]))
+    assert set(got) == {"a", "b", None}
+    for c, points in got.items():
+        x = np.array([v for k, v in rows if k == c and v is not None and 0 <= v <= 10])
+        q1, q3 = np.quantile(x, [0.25, 0.75])
+        sd = x.std(ddof=1)
+        low = min(sd, (q3 - q1) / 1.34) or sd or abs(x).max()
+        h = 0.9 * low * len(x) ** -0.2
+        step = 10 / 64
+        left = np.minimum(np.floor(x / step), 63)
+        part = x / step - left
+        for at, d in points:
+            near = (1 - part) * np.exp(-0.5 * ((at - left * step) / h) ** 2) + part * np.exp(-0.5 * ((at - (left + 1) * step) / h) ** 2)
+            assert d == pytest.approx(near.sum() / (len(x) * h * np.sqrt(2 * np.pi)), rel=1e-9, abs=1e-300)
+
+
 def test_demographics_groups_and_zero_denominators(spark):
     rows = [("a", v, 10.0) for v in population.variables()] + [("b", v, 0.0) for v in population.variables()]
     rows += [("c", v, 5.0) for v in population.variables() if v != "B01001_020"]

@@ -1,5 +1,7 @@
 """Global ranks and numbers against the plain window, on skewed data and with every size check exceeded."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -38,7 +40,7 @@ def test_percent_rank_matches_plain_window(spark, skewed):
 @pytest.mark.parametrize("few", [10, 100_000])
 def test_quantiles(spark, skewed, monkeypatch, few):
     monkeypatch.setattr(A, "BRACKET_VALUES", few)
-    monkeypatch.setattr(A, "BRACKET_ACCURACY", 200)
+    monkeypatch.setattr(A, "BRACKET_SAMPLE", 200)
     pdf = skewed.toPandas()
     for p in (0.0, 0.1, 0.5, 0.9, 1.0):
         assert A.quantile(skewed, "v", p).first()["q"] == pytest.approx(pdf["v"].quantile(p))
@@ -70,9 +72,38 @@ def test_copies_get_their_own_numbers_and_spread_over_buckets(spark):
     out = K.row_id(stored, ["name", "row"]).toPandas().sort_values("row_num")
     assert out["row_num"].tolist() == list(range(1, 3001))
     assert out["name"].tolist() == sorted(out["name"])
-    key = F.struct(F.col("name").alias("k0"), F.col("row").alias("k1"))
-    placed = stored.withColumn("b", K._bucket(key, K._bounds(stored, key, 16)))
-    assert placed.filter("name = 'same'").groupBy("b").count().count() >= 4
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    placed = K._in_order(stored, ["name", "row"])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert placed.filter("name = 'same'").groupBy("__bucket").count().count() >= 4
+
+
+@pytest.mark.parametrize("run", [
+    lambda df: K.row_id(df, ["id"]), lambda df: K.percent_rank_global(df, "v"), lambda df: A.quantile(df, "v", 0.4),
+    lambda df: A.quantiles_by(K.value_counts(df, "v", ["g"]), ["g"], "v", {"m": 0.3}),
+])
+def test_plans_do_not_grow_with_the_partitions(spark, skewed, run):
+    """No split point is a literal: the plan for 8 partitions is as long as that for 200."""
+    sizes = []
+    for n in ("8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            plan = run(skewed.filter("id < 600"))._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        sizes.append(len(re.sub(r"[0-9a-f]{32}|#\d+|\d+", "", plan)))
+    assert abs(sizes[0] - sizes[1]) <= 0.05 * sizes[0]
+
+
+def test_quantile_merges_no_sketches(spark, skewed, monkeypatch):
+    monkeypatch.setattr(A, "BRACKET_VALUES", 10)
+    monkeypatch.setattr(A, "BRACKET_SAMPLE", 100)
+    monkeypatch.setattr(F, "percentile_approx", None)
+    values = spark.range(20000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") % 7919 / 7).alias("v"))
+    pdf = values.toPandas()
+    for p in (0.0, 1e-4, 0.05, 0.2, 0.37, 0.5, 0.77, 0.9999, 1.0):
+        assert A.quantile(values, "v", p).first()["q"] == pytest.approx(pdf["v"].quantile(p))
+    assert A.quantile(values.select(F.lit(3.0).alias("v")), "v", 0.3).first()["q"] == 3.0
 
 
 def test_null_keys_get_their_group(spark):
