@@ -158,28 +158,33 @@ def op10_crf_extract(spark, d):
 
 
 def _raking_sql() -> str:
-    """The same sweeps, written out one after the other."""
+    """The same share and sweeps, written out one after the other."""
     keys = raking.DIMENSIONS
     steps, now = [], "c0"
     for i in range(raking.SWEEPS):
         for k in keys:
             new = f"c{i}_{k}"
             steps.append(f"""{new} AS (SELECT source, lang, topic, n, least(weight * coalesce(t_{k}.target
-  * (SELECT sum(n) FROM c0) / nullif(sum(weight * n) OVER (PARTITION BY {k}), 0), 1.0), {1 / raking.SHARE!r}) AS weight
+  * (SELECT sum(n) FROM c0) / nullif(sum(weight * n) OVER (PARTITION BY {k}), 0), 1.0), 1.0 / (SELECT share FROM s)) AS weight
   FROM {now} JOIN t_{k} USING ({k}))""")
             now = new
     targets = ", ".join(
         f"t_{k} AS (SELECT {k}, r / sum(r) OVER () AS target FROM (SELECT {k}, sqrt(CAST(sum(n) AS DOUBLE)) AS r FROM c0 GROUP BY {k}))"
         for k in keys
     )
+    scarce = " UNION ALL ".join(
+        f"SELECT sum(n) / (SELECT CAST(sum(n) AS DOUBLE) FROM c0) / target AS r FROM c0 JOIN t_{k} USING ({k}) WHERE target > 0 GROUP BY {k}, target"
+        for k in keys
+    )
     return f"""
 WITH d AS (SELECT doc_id, text, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
   coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS n_tokens FROM documents),
 f AS (SELECT *, CASE WHEN contains(text, ' | ') THEN 'table' WHEN n_tokens >= {raking.LONG} THEN 'long'
   WHEN n_tokens < {raking.SHORT} THEN 'short' ELSE 'prose' END AS topic FROM d),
 c0 AS (SELECT source, lang, topic, sum(n_tokens) AS n, 1.0::DOUBLE AS weight FROM f GROUP BY ALL),
-{targets}, {", ".join(steps)},
-p AS (SELECT f.*, weight, least(weight * {raking.SHARE}, 1.0) AS probability FROM f JOIN {now} USING (source, lang, topic))
+{targets}, s AS (SELECT least({raking.SHARE}, {raking.HEADROOM} * min(r)) AS share FROM ({scarce}) WHERE r > 0),
+{", ".join(steps)},
+p AS (SELECT f.*, weight, least(weight * (SELECT share FROM s), 1.0) AS probability FROM f JOIN {now} USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight,
   round(probability, 6) AS probability,
   CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / CAST(16 AS DOUBLE) ** 13 < probability AS sampled FROM p"""

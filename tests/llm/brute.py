@@ -64,6 +64,12 @@ def draw_share(rows):
             sums[cell[d]] += n
         roots = sum(v**0.5 for v in sums.values())
         targets.append({k: v**0.5 / roots for k, v in sums.items()})
+    own = [Counter() for _ in range(3)]
+    for cell, n in cells.items():
+        for d in range(3):
+            own[d][cell[d]] += n
+    scarce = [own[d][k] / total / t for d in range(3) for k, t in targets[d].items() if t > 0]
+    share = min([raking.SHARE, *[raking.HEADROOM * r for r in scarce if r > 0]])
     for _ in range(raking.SWEEPS):
         for d in range(3):
             mass = Counter()
@@ -71,6 +77,6 @@ def draw_share(rows):
                 mass[cell[d]] += n * weight[cell]
             for cell in cells:
                 factor = targets[d][cell[d]] * total / mass[cell[d]] if mass[cell[d]] else 1.0
-                weight[cell] = min(weight[cell] * factor, 1 / raking.SHARE)
+                weight[cell] = min(weight[cell] * factor, 1 / share)
     draw = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:13], 16) / 16**13
-    return {k for k, _, cell in info if draw(k) < min(weight[cell] * raking.SHARE, 1)}
+    return {k for k, _, cell in info if draw(k) < min(weight[cell] * share, 1)}

@@ -111,6 +111,35 @@ def test_raking_meets_targets(spark):
     assert raking.sample(df).columns == df.columns and raking.sample(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("targets", [None, {"lang": {"en": 1, "de": 1}, "topic": {"short": 3, "prose": 5, "absent": 9}}])
+def test_margins_hold_as_registered(spark, targets):
+    """At the registered share and sweeps every margin is near its target and the sample near the share that is feasible."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = raking.mix_sources(docs, targets=targets).select(
+        "__source", "__lang", "__topic", "__tokens", "__weight", "__probability", "__sampled"
+    ).toPandas()
+    n, total = got["__tokens"], got["__tokens"].sum()
+    share = (got["__probability"] / got["__weight"]).min()
+    assert got["__probability"].max() <= 1 and 0.05 < share <= raking.SHARE
+    for name in raking.DIMENSIONS:
+        own = n.groupby(got["__" + name]).sum() / total
+        want = own**0.5 / (own**0.5).sum()
+        if targets and name in targets:
+            listed = {k: v for k, v in targets[name].items() if k in own}
+            rest = 1 - own.drop(list(listed)).sum()
+            want = own.copy()
+            for k, v in listed.items():
+                want[k] = v / sum(listed.values()) * rest
+        reached = (n * got["__weight"]).groupby(got["__" + name]).sum() / total
+        assert (reached - want).abs().max() < 0.005, name
+        for _, part in got.groupby("__" + name):  # drawn once: within five standard deviations of what is expected
+            m, p = part["__tokens"], part["__probability"]
+            assert abs(m[part["__sampled"]].sum() - (m * p).sum()) <= 5 * (m**2 * p * (1 - p)).sum() ** 0.5 + m.max()
+    assert abs((n * got["__probability"]).sum() / total - share) < 0.01 * share + 0.005
+    with pytest.raises(ValueError):
+        raking.mix_sources(docs, targets={"colour": {"red": 1}})
+
+
 def raking_draw(key):
     import hashlib
 
