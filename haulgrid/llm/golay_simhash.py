@@ -14,8 +14,10 @@ pairs of segments; the second in (segment i itself, near of i + 1) on both sides
 side of a fingerprint, and every linked pair shares at least one.
 
 Joining. Only distinct fingerprints are joined. In each group of a key all are first compared with the group's leader, the
-fingerprint with most documents, and the links give components. Then only members in *different* components of a group meet,
-and a link is kept once for two components, so a group of near copies gives no all-pairs output and no link is lost.
+fingerprint with most documents, and the links give components. Then the other members of a group meet, if they are in *different*
+components, and a link is kept once for two components, so a group of near copies gives no all-pairs output and no link
+is lost. Distinct fingerprints that share a key by chance are bounded by nothing but the key's 24 bits: n of them make about
+n * n * 5e-6 comparisons of two numbers, which never leave the join.
 """
 
 from __future__ import annotations
@@ -174,7 +176,9 @@ def _roots(distinct: DataFrame) -> DataFrame:
     )
     stars = members.filter(_close("fp", "leader") & (F.col("fp") != F.col("leader")))
     first = connected_components(stars.select(F.col("fp").alias("u"), F.col("leader").alias("v")))
-    named = members.drop("leader", "held").join(first, F.col("fp") == F.col("node"), "left").withColumn(
+    # the leader has met them all, so only groups of three and more have pairs left, none of them with the leader
+    others = members.filter((F.col("held") > 2) & (F.col("fp") != F.col("leader"))).drop("leader", "held")
+    named = others.join(first, F.col("fp") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
     mixed = write_table(

@@ -16,15 +16,24 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], within: Column, mem
     ``block`` rows is dealt into blocks by the hash of ``member``; every block of one side meets every block of the other
     under a key of its own, so no task holds a whole large group. Keys must not be NULL.
     """
-    def side(df: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
+    def prefixed(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select([F.col(c).alias(prefix + c) for c in df.columns])
+
+    def equal(names: list[str]) -> Column:
+        same = within
+        for k in names:
+            same = (F.col("a_" + k) == F.col("b_" + k)) & same
+        return same
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         blocks = F.ceil(F.col("held") / block).cast("int")
-        dealt = df.withColumn("__" + own, F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn(
-            "__" + other, F.explode(F.sequence(F.lit(0), blocks - 1))
+        return df.filter(F.col("held") > block).withColumn(own, F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), blocks - 1))
         )
-        return dealt.select([F.col(c).alias(prefix + c) for c in dealt.columns])
 
-    a, b = side(left, "a_", "x", "y"), side(right, "b_", "y", "x")
-    same = within
-    for k in [*keys, "__x", "__y"]:
-        same = (F.col("a_" + k) == F.col("b_" + k)) & same
-    return a.join(b, same)
+    small = F.col("held") <= block
+    plain = prefixed(left.filter(small), "a_").join(prefixed(right.filter(small), "b_"), equal(keys))
+    blocks = prefixed(dealt(left, "__x", "__y"), "a_").join(
+        prefixed(dealt(right, "__y", "__x"), "b_"), equal([*keys, "__x", "__y"])
+    )
+    return plain.unionByName(blocks.select(plain.columns))
