@@ -28,15 +28,18 @@ from .tables import chosen_by_hash, map_arrow
 PAGES = 400
 MADE = 400
 
+#: A comment, a declaration, a tag, or what looks like the start of one. Quotes count right after an equals sign only, and
+#: a tag has no other ``<`` outside them: such a start is text.
 _TAG = re.compile(
-    r"""<!--|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?=/?[A-Za-z!?])"""
+    r"""<!--|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?>[^<>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<(?=/?[A-Za-z!?])"""
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "math", "object", "select", "button"}
+_RAW = {"script", "style", "template", "svg", "iframe", "textarea", "title", "annotation", "select", "button"}
 _VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr input".split()
+    "strong sub sup time tt u var wbr input math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder "
+    "munderover mstyle semantics".split()
 )
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 TELLING = ("article", "main")
@@ -115,13 +118,16 @@ def leaf_blocks(page: str) -> list[Block]:
             end = page.find("-->", at)
             at = len(page) if end < 0 else end + 3
             continue
-        if found.group() == "<":  # a tag that the page's end cuts off
-            break
+        if found.group() == "<":
+            if page.find(">", at) < 0:  # a tag that the page's end cuts off
+                break
+            add("<")
+            continue
         if found.group(2) is None:
             continue
         ends, tag, attributes = found.group(1) == "/", found.group(2).lower(), found.group(3)
         if tag in _RAW and not ends:
-            if tag not in ("button", "textarea", "select"):
+            if tag not in ("button", "textarea", "select", "annotation"):
                 close()
             if not attributes.endswith("/"):
                 shut = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)

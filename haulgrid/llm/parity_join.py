@@ -206,6 +206,8 @@ class _Join:
             "signatures",
         )
         self.rows = rows.filter("bucket is null").drop("bucket", "found")
+        # a NULL or repeated id fetches more texts than the one that is asked for
+        self.ids_repeat = not self.rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
         self.classes = write_table(
             self.rows.filter("n_shingles > 0").groupBy("set_id")
             .agg(F.min("id").alias("id"), F.max("lacks").alias("lacks"),
@@ -258,7 +260,10 @@ class _Join:
         needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         ids = self.classes.select("set_id", "id").join(needed, "set_id", "left_semi").select(F.col("id").alias("need"))
         texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("need")), "left_semi").select("text")
-        sets = write_table(map_arrow(texts, _sets(self.words), "set_id long, shingles array<long>"), "sets")
+        sets = map_arrow(texts, _sets(self.words), "set_id long, shingles array<long>")
+        if self.ids_repeat:
+            sets = sets.join(needed, "set_id", "left_semi").dropDuplicates(["set_id"])
+        sets = write_table(sets, "sets")
         both = (
             pairs.join(_prefixed(sets, "a_"), F.col("a") == F.col("a_set_id"))
             .join(_prefixed(sets, "b_"), F.col("b") == F.col("b_set_id"))

@@ -92,6 +92,18 @@ def test_near_duplicates(spark):
     assert parity_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_copies_without_ids_make_one_link(spark):
+    """A thousand copies of two near texts: as sets they are one pair, whatever their ids."""
+    words = [f"w{i}" for i in range(80)]
+    a, b = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, a)] * 500 + [(None, b)] * 500 + [(None, "five words of another text")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("row", F.lit(None).cast("string")).repartition(4)
+    joined = parity_join._Join(df, 5, 75)
+    x, y = (r[0] for r in joined.classes.filter("n_shingles > 1").select("set_id").collect())
+    assert joined.linked(spark.createDataFrame([(x, y)], "a long, b long")).count() == 1
+    assert joined.components().count() == 1
+
+
 def test_keep_one(spark):
     rows = corpus()
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, component string")

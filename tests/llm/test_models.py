@@ -143,6 +143,21 @@ def test_blocks():
     assert len(crf_extract.leaf_blocks("<div>" * 3000 + "x")) == 1
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p>one</p><a title=it's href=x>two</a><p>three</p>", ["one", "two", "three"]),
+    ("<p>if x <y and it's so</p><p>three</p>", ["if x <y and it's so", "three"]),
+    ("<p>If a<b then</p><p>it's</p>", ["If a<b then", "it's"]),
+    ("<p>a < b and c > d</p>", ["a < b and c > d"]),
+    ("<p title='a > b' lang=\"x'y\">one</p>", ["one"]),
+    ("<p>one</p><a href=\"x>two", ["one", "two"]),
+    ("<p>one</p><a href=\"x", ["one"]),
+    ("<p>one <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> two</p>", ["one x=2 two"]),
+    ("<object data=a><p>shown instead</p></object><noscript><p>no script</p></noscript>", ["shown instead", "no script"]),
+])
+def test_broken_tags_lose_nothing(page, texts):
+    assert [b.text for b in crf_extract.leaf_blocks(page)] == texts
+
+
 @here
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
