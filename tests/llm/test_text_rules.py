@@ -154,6 +154,47 @@ def test_judgement(spark):
     assert repetition.judge_repetition(spark.createDataFrame([(1, long)], "doc_id long, text string"), max_longest=10).first().kept is False
 
 
+def brute_characters(text, min_chars):
+    """Characters of words in repeats, the longest repeat in characters and the text's, all by comparing pairs of places."""
+    words = list(WORD.finditer(text or ""))
+    if not words:
+        return 0, 0, 0
+    covered, longest = set(), 0
+    for i in range(len(words)):
+        for j in range(len(words)):
+            k = 0
+            while i != j and max(i, j) + k < len(words) and words[i + k].group() == words[j + k].group():
+                k += 1
+                size = words[i + k - 1].end() - words[i].start()
+                longest = max(longest, size)
+                if k >= 5 or size >= min_chars:
+                    covered |= set(range(i, i + k))
+    return sum(len(words[i].group()) for i in covered), longest, words[-1].end() - words[0].start()
+
+
+def test_repetition_in_characters():
+    rnd = random.Random(6)
+    texts = [None, "", " ", "a", "éé éé éé", " the" * 30 + "\n", "abcdefgh ijklmnop\tabcdefgh ijklmnop", "abcdefgh  ijklmnop abcdefgh ijklmnop"]
+    texts += [rnd.choice([" ", "\n", "  "]).join(rnd.choice(["a", "bé", "c" * 9, "ü" * 17]) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    for floor in (3, 16):
+        found = repetition.measure(pa.array(texts, pa.string()), min_chars=floor)
+        for i, text in enumerate(texts):
+            got = tuple(int(found[k][i]) for k in ("covered_chars", "longest_chars", "text_chars"))
+            assert got == brute_characters(text, floor), repr(text)
+
+
+def test_verdict_differs_from_the_base_rule(spark):
+    words = [f"word{i}" for i in range(60)]
+    stutter = " ".join(" ".join([w] * 4) for w in words)
+    link = "https://example.org/" + "a" * 80
+    rows = [(1, " ".join(words)), (2, stutter), (3, " ".join([link, *words[:10], link])), (4, " ".join([*words, *[w + "x" for w in words], *[w + "y" for w in words], link, link]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in repetition.judge_repetition(df).collect()}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, True)}
+    loose = repetition.judge_repetition(df, max_covered_percent=100, max_longest_percent=100)
+    assert all(r.kept for r in loose.collect())
+
+
 @pytest.mark.parametrize("text", ["", "a", " Ab  cD\n", "é" * 5 + " \x0b z", "\x85x\xa0y"])
 def test_words(text):
     for _, data, offsets in chunks(pa.array([text, None, text])):
