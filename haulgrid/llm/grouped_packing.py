@@ -6,8 +6,10 @@ whatever the size of the table, decides how pieces are packed:
 1. Large lengths are put into groups of equal cardinality and rounded up to the largest of their group.
 2. For these few sizes the best configurations are found by column generation: a simplex over configurations, priced by a
    knapsack; whole multiples of the solution are used.
-3. Actual lengths take the places of the rounded ones, largest first, so every place has room.
-4. What is left over and all small lengths go, longest first, to the fullest sequences with room (best fit).
+3. Actual lengths take the places of the rounded ones, largest first, so every place has room. What rounding up wastes is
+   bounded: a configuration is filled only as long as its actual lengths leave at most so many tokens free.
+4. What is left over and all small lengths go, longest first, to the fullest sequences with room (best fit). Of the plans for
+   the bounds in ``WASTES`` the one with fewest sequences is taken.
 
 The result is a table of runs: sequences filled alike, with a range of ranks for each length. A piece finds its sequence by
 its rank among the pieces of its length; ranks come from counts per task, so no length is gathered in one place.
@@ -33,6 +35,8 @@ CAPACITY = 2048
 #: Lengths above capacity / SMALL_PART are large; they are rounded to so many sizes.
 SMALL_PART = 8
 GROUPS = 40
+#: Tokens that a filled configuration may leave free, as parts of the capacity.
+WASTES = (1.0, 1 / 32, 1 / 512, 0.0)
 #: A cache of words is emptied when it holds so many.
 CACHED_WORDS = 400_000
 
@@ -183,17 +187,27 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[list[tuple[int, i
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
     """(number of sequences, the lengths in each) for so many pieces of each length; every piece is placed."""
     left = {length: n for length, n in counts.items() if n > 0}
-    runs: list[tuple[int, list[int]]] = []
-    if capacity in left:
-        runs.append((left.pop(capacity), [capacity]))
+    whole = [(left.pop(capacity), [capacity])] if capacity in left else []
     large = {length: n for length, n in left.items() if length * SMALL_PART > capacity}
-    grouped = linear_groups(large, groups)
     merged: dict[int, list[tuple[int, int]]] = {}
-    for g in grouped:  # groups of one size, as of a length that fills several of them, are one
+    for g in linear_groups(large, groups):  # groups of one size, as of a length that fills several of them, are one
         merged.setdefault(g[0][0], []).extend(g)
     sizes = sorted(merged, reverse=True)
-    queues = [list(merged[s]) for s in sizes]
-    for times, column in configurations(sizes, [sum(n for _, n in q) for q in queues], capacity):
+    members = [merged[s] for s in sizes]
+    found = configurations(sizes, [sum(n for _, n in q) for q in members], capacity)
+    plans = []
+    for waste in WASTES:
+        runs, rest = _substitute(found, members, left, capacity, int(waste * capacity))
+        plans.append(_best_fit(whole + runs, rest, capacity))
+    return min(plans, key=lambda runs: sum(n for n, _ in runs))
+
+
+def _substitute(
+    found: list[tuple[int, np.ndarray]], members: list[list[tuple[int, int]]], left: dict[int, int], capacity: int, waste: int
+) -> tuple[list[tuple[int, list[int]]], dict[int, int]]:
+    """Runs of actual lengths in the places of configurations with at most ``waste`` free, and what is left of each length."""
+    queues, left, runs = [list(q) for q in members], dict(left), []
+    for times, column in found:
         places = [g for g, n in enumerate(column) for _ in range(n)]
         while times and all(sum(n for _, n in queues[g]) for g in set(places)):
             # as many sequences as the foremost actual lengths of the groups allow to be filled alike
@@ -207,7 +221,7 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GR
                     break
                 used[j] = used.get(j, 0) + 1
                 lengths.append(queues[g][j][0])
-            if not lengths:
+            if not lengths or capacity - sum(lengths) > waste:
                 break
             n = min([times, *[queues[g][j][1] // m for g, (_, used) in taken.items() for j, m in used.items()]])
             for g, (_, used) in taken.items():
@@ -218,7 +232,7 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GR
                 left[length] -= n
             times -= n
             runs.append((n, lengths))
-    return _best_fit(runs, left, capacity)
+    return runs, left
 
 
 def _best_fit(runs, left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

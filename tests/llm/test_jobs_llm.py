@@ -1,5 +1,6 @@
 """Packing, raking, nearest neighbours and the pipeline against brute force."""
 
+import bisect
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -59,6 +60,24 @@ def test_plan_is_near_the_bound():
     assert sum(n for n, _ in grouped_packing.plan_runs(counts)) <= 1.02 * needed
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_no_worse_than_best_fit_decreasing(seed):
+    rnd = random.Random(seed)
+    lengths = Counter(min(2048, 1 + int(rnd.lognormvariate(5.8, 1.0 + seed / 10))) for _ in range(6000))
+    rooms = []  # plain best fit, piece by piece
+    for length in sorted(lengths.elements(), reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else 2048
+        bisect.insort(rooms, room - length)
+    runs = grouped_packing.plan_runs(lengths)
+    placed = Counter()
+    for n, own in runs:
+        assert sum(own) <= 2048
+        for length in own:
+            placed[length] += n
+    assert placed == lengths and sum(n for n, _ in runs) <= len(rooms)
+
+
 def check_packing(rows, pieces, capacity=2048):
     real = Tokenizer.from_file(TOKENIZER)
     want = Counter()
