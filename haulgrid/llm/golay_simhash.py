@@ -15,7 +15,7 @@ side of a fingerprint, and every linked pair shares at least one.
 
 Joining. Only distinct fingerprints are joined. In each group of a key all are first compared with the group's leader, the
 fingerprint with most documents, and the links give components. Then the other members of a group meet, if they are in *different*
-components, and a link is kept once for two components, so a group of near copies gives no all-pairs output and no link
+components and their distances to the leader allow a link (the triangle inequality), and a link is kept once for two components, so a group of near copies gives no all-pairs output and no link
 is lost. Distinct fingerprints that share a key by chance are bounded by nothing but the key's 24 bits: n of them make about
 n * n * 5e-6 comparisons of two numbers, which never leave the join.
 """
@@ -177,15 +177,27 @@ def _roots(distinct: DataFrame) -> DataFrame:
     stars = members.filter(_close("fp", "leader") & (F.col("fp") != F.col("leader")))
     first = connected_components(stars.select(F.col("fp").alias("u"), F.col("leader").alias("v")))
     # the leader has met them all, so only groups of three and more have pairs left, none of them with the leader
-    others = members.filter((F.col("held") > 2) & (F.col("fp") != F.col("leader"))).drop("leader", "held")
+    others = members.filter((F.col("held") > 2) & (F.col("fp") != F.col("leader"))).withColumn(
+        "away", F.bit_count(F.col("fp").bitwiseXOR(F.col("leader")))
+    ).drop("leader", "held")
     named = others.join(first, F.col("fp") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
+    # distances to the leader differ by at most BITS in a linked pair: who is linked with the leader meets only those up to
+    # 2 * BITS away, who is further away only those not linked with it
+    within, beyond = F.col("away") <= 2 * BITS, F.col("away") > BITS
+    may_meet = {"all": F.lit(True), "within": within, "beyond": beyond}
+    ends = [
+        end(F.when(rows, F.col("component"))).over(group).alias(f"{name}_{kind}")
+        for kind, rows in may_meet.items() for name, end in (("least", F.min), ("most", F.max))
+    ]
+    needed = F.when(~beyond, F.col("least_within") < F.col("most_within")).when(
+        ~within, F.col("least_beyond") < F.col("most_beyond")
+    ).otherwise(F.col("least_all") < F.col("most_all"))
     mixed = write_table(
-        named.select(
+        named.select("key", "sides", "fp", "component", "away", *ends).filter(needed).select(
             "key", "sides", "fp", "component", F.count(F.lit(1)).over(group).alias("held"),
-            F.min("component").over(group).alias("least"), F.max("component").over(group).alias("most"),
-        ).filter("least < most").drop("least", "most"), "mixed",
+        ), "mixed",
     )
     drop_table(members)
     apart = (F.col("a_component") < F.col("b_component")) & _close("a_fp", "b_fp")
