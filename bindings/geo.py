@@ -8,7 +8,7 @@ from haulgrid.operators import spatial as P
 
 from .registry import query, table
 from .shapes import (
-    EDGES, PTS, SEGS, TILE_EDGES, areas, dist_sql, hit_sql, lines, points, seg_dist_sql, tiles,
+    EDGES, PTS, SEGS, TILE_EDGES, areas, dist_sql, hit_sql, lines, points, seg_dist_sql, tiles, within_sql,
 )
 
 CELL = 100.0
@@ -149,15 +149,12 @@ def geo_split_lines(spark, d):
 
 
 @query("geo_lines_within", f"""
-WITH {SEGS}, {parts_sql(40)},
-ok AS (SELECT pos.line_id, pos.i, min({dist_sql('pos.x', 'pos.y', 'net.')}) <= 60 AS near
-  FROM pos, (SELECT x1, y1, x2, y2 FROM segs WHERE s_acctbal >= 5000) net GROUP BY 1, 2)
-SELECT line_id FROM ok GROUP BY 1 HAVING bool_and(near)
+WITH {SEGS}, net AS (SELECT x1, y1, x2, y2 FROM segs WHERE s_acctbal >= 5000), {within_sql('ok', 60)} SELECT line_id FROM ok
 """)
 def geo_lines_within(spark, d):
     all_lines = lines(spark, d, "s_acctbal")
     network = P.segments(all_lines.filter("s_acctbal >= 5000"), "line", [])
-    return P.lines_within(all_lines, "line", "line_id", network, 60.0, 40.0).select("line_id")
+    return P.lines_within(all_lines, "line", "line_id", network, 60.0).select("line_id")
 
 
 CLIP = f"""

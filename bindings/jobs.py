@@ -8,10 +8,10 @@ from haulgrid.functions.scalar import strip_suffix
 from haulgrid.operators.spatial import segments
 from haulgrid.plans import carriers, economy, highway, population, rail
 
-from .geo import CELL, CLIP, parts_sql
+from .geo import CELL, CLIP
 from .registry import query, table
 from .shapes import (
-    EDGES, PTS, SEGS, TILE_EDGES, areas, dist_sql, hit_sql, lines, points, seg_dist_sql, tiles,
+    EDGES, PTS, SEGS, TILE_EDGES, areas, dist_sql, hit_sql, lines, points, seg_dist_sql, tiles, within_sql,
 )
 
 
@@ -640,10 +640,8 @@ def job_zone_requests(spark, d):
 
 
 @query("job_split_zones", f"""
-WITH {SEGS}, {parts_sql(40)},
-ok AS (SELECT pos.line_id, pos.i, min({dist_sql('pos.x', 'pos.y', 'net.')}) <= 60 AS near
-  FROM pos, (SELECT x1, y1, x2, y2 FROM segs WHERE s_acctbal >= 5000) net GROUP BY 1, 2),
-kept AS (SELECT line_id FROM ok GROUP BY 1 HAVING bool_and(near)),
+WITH {SEGS}, net AS (SELECT x1, y1, x2, y2 FROM segs WHERE s_acctbal >= 5000), {within_sql('kept', 60)},
+tot AS (SELECT line_id, sum(len) AS total FROM segs GROUP BY 1),
 z AS (SELECT line_id, unnest(range(1, 1 + CAST(ceil(total / 66) AS INT))) AS part, total / ceil(total / 66) AS len
   FROM tot JOIN kept USING (line_id) WHERE total > 100)
 SELECT row_number() OVER (ORDER BY line_id, part) AS row_num, CAST(line_id AS VARCHAR) || '_' || (row_number() OVER (ORDER BY line_id, part)) AS name,
@@ -652,7 +650,7 @@ SELECT row_number() OVER (ORDER BY line_id, part) AS row_num, CAST(line_id AS VA
 def job_split_zones(spark, d):
     roads = lines(spark, d, "s_acctbal").withColumnRenamed("line_id", "segment_id")
     net = segments(roads.filter("s_acctbal >= 5000"), "line", [])
-    zones = highway.job_split_zones(roads.drop("s_acctbal"), net, "Study", d=60.0, tolerance=40.0, min_len=100.0, max_len=66.0, size=50)
+    zones = highway.job_split_zones(roads.drop("s_acctbal"), net, "Study", d=60.0, min_len=100.0, max_len=66.0, size=50)
     return zones.select("row_num", "name", "segment_id", "part", F.round(length("line"), 4).alias("len"), "batch")
 
 

@@ -98,6 +98,26 @@ def dist_sql(px, py, s=""):
     return f"sqrt({dx} * {dx} + {dy} * {dy})"
 
 
+def within_sql(name, d):
+    """CTEs: line_id of lines within ``d`` of the pieces ``net``; a line that leaves them does so just behind a root."""
+    return f"""
+pairs AS (SELECT s.line_id, s.seg, s.x1, s.y1, s.x2, s.y2, n.x1 AS nx1, n.y1 AS ny1, n.x2 AS nx2, n.y2 AS ny2,
+  (s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1) AS a FROM segs s, net n),
+discs AS (SELECT *, (x1 - nx1) * (x2 - x1) + (y1 - ny1) * (y2 - y1) AS b1, (x1 - nx1) * (x1 - nx1) + (y1 - ny1) * (y1 - ny1) - {d} * {d} AS c1,
+  (x1 - nx2) * (x2 - x1) + (y1 - ny2) * (y2 - y1) AS b2, (x1 - nx2) * (x1 - nx2) + (y1 - ny2) * (y1 - ny2) - {d} * {d} AS c2,
+  sqrt((nx2 - nx1) * (nx2 - nx1) + (ny2 - ny1) * (ny2 - ny1)) * {d} AS side,
+  (x1 - nx1) * (ny2 - ny1) - (y1 - ny1) * (nx2 - nx1) AS h0, (x2 - x1) * (ny2 - ny1) - (y2 - y1) * (nx2 - nx1) AS h1 FROM pairs),
+roots AS (SELECT *, unnest([CASE WHEN b1 * b1 >= a * c1 THEN (-b1 + sqrt(b1 * b1 - a * c1)) / a END,
+  CASE WHEN b2 * b2 >= a * c2 THEN (-b2 + sqrt(b2 * b2 - a * c2)) / a END,
+  (side - h0) / nullif(h1, 0), (-side - h0) / nullif(h1, 0)]) AS t FROM discs),
+stops AS (SELECT line_id, seg, 0.0 AS t FROM segs UNION SELECT line_id, seg, t + 1e-7 FROM (
+    SELECT *, x1 + t * (x2 - x1) AS rx, y1 + t * (y2 - y1) AS ry FROM roots WHERE t >= 0 AND t < 1 - 1e-7)
+  WHERE {dist_sql('rx', 'ry', 'n')} <= {d} + 1e-6),
+seen AS (SELECT line_id, seg, t, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y FROM stops JOIN segs USING (line_id, seg)),
+tested AS (SELECT line_id, seg, t, min({dist_sql('seen.x', 'seen.y', 'net.')}) <= {d} + 1e-9 AS near FROM seen, net GROUP BY 1, 2, 3),
+{name} AS (SELECT line_id FROM tested GROUP BY 1 HAVING bool_and(near))"""
+
+
 def seg_dist_sql(a, b):
     """Distance between segments ``a`` and ``b``."""
 

@@ -407,19 +407,110 @@ def split_lines(df: DataFrame, line: str, line_id: Sequence[str], max_len: float
     return cut_lines.unionByName(standing.withColumns({c: F.col(c).cast(cut_lines.schema[c].dataType) for c in ("part", "n_parts")}))
 
 
+#: A piece of a line counts as covered if at most this part of its length is not.
+SLACK = 1e-9
+
+
+def _disc(px: Column, py: Column, d: float) -> tuple[Column, Column]:
+    """Where a piece ``x1`` … ``y2`` is within ``d`` of a point: the least and largest t in [0, 1]; least > largest if nowhere."""
+    ax, ay = F.col("x1") - px, F.col("y1") - py
+    bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    square, half, rest = bx * bx + by * by, ax * bx + ay * by, ax * ax + ay * ay - d * d
+    # from the cross product, not from half ** 2 - square * rest, which cancels far from the point
+    cross = ax * by - ay * bx
+    root = square * d * d - cross * cross
+    reach = F.sqrt(F.greatest(root, F.lit(0.0)))
+    never = F.when(square == 0, rest > 0).otherwise(root < 0)
+    low = F.when(square == 0, 0.0).otherwise((-half - reach) / F.nullif(square, F.lit(0.0)))
+    high = F.when(square == 0, 1.0).otherwise((-half + reach) / F.nullif(square, F.lit(0.0)))
+    return F.when(never, 2.0).otherwise(F.greatest(low, F.lit(0.0))), F.when(never, -1.0).otherwise(F.least(high, F.lit(1.0)))
+
+
+def _slab(bounds: Sequence[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """The t in [0, 1] at which every ``at + t * step`` is 0 or more."""
+    lows, highs = [F.lit(0.0)], [F.lit(1.0)]
+    for at, step in bounds:
+        turn = -at / F.nullif(step, F.lit(0.0))
+        lows.append(F.when(step > 0, turn).when((step == 0) & (at < 0), 2.0).otherwise(0.0))
+        highs.append(F.when(step < 0, turn).when((step == 0) & (at < 0), -1.0).otherwise(1.0))
+    return F.greatest(*lows), F.least(*highs)
+
+
+def _corridor(d: float) -> tuple[Column, Column]:
+    """Where a piece ``x1`` … ``y2`` is within ``d`` of the network piece ``nx1`` … ``ny2``.
+
+    Distance to a straight piece is a convex function along a line, so this is one interval: that of the discs around both ends
+    and the strip between them.
+    """
+    nx, ny = F.col("nx2") - F.col("nx1"), F.col("ny2") - F.col("ny1")
+    length = F.hypot(nx, ny)
+    ax, ay = F.col("x1") - F.col("nx1"), F.col("y1") - F.col("ny1")
+    bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along, along_step = ax * nx + ay * ny, bx * nx + by * ny
+    beside, beside_step = ax * ny - ay * nx, bx * ny - by * nx
+    strip = _slab([
+        (along, along_step), (length * length - along, -along_step),
+        (length * d - beside, -beside_step), (length * d + beside, beside_step),
+    ])
+    parts = [_disc(F.col("nx1"), F.col("ny1"), d), _disc(F.col("nx2"), F.col("ny2"), d), strip]
+    met = [low <= high for low, high in parts]
+    return (
+        F.least(*[F.when(m, low) for m, (low, _) in zip(met, parts)]),
+        F.greatest(*[F.when(m, high) for m, (_, high) in zip(met, parts)]),
+    )
+
+
+def _pieces(df: DataFrame, line: str, line_id: str) -> DataFrame:
+    """The straight pieces of lines; a line (or part) of one point is a piece of no length."""
+    parts = line_parts(df.select(line_id, line), line) if G.depth(df, line) == 2 else df.select(line_id, line)
+    point = F.col(line)[0]
+    dots = parts.filter(F.size(line) == 1).select(
+        line_id, F.lit(-1).alias("seg"), *[point[c].alias(c + k) for k in "12" for c in "xy"]
+    )
+    return segments(df, line, [line_id]).select(line_id, "seg", *ENDS).unionByName(dots.select(line_id, "seg", *ENDS))
+
+
 def lines_within(
-    df: DataFrame, line: str, line_id: str, network: DataFrame, d: float, tolerance: float
+    df: DataFrame, line: str, line_id: str, network: DataFrame, d: float, cell: float | None = None
 ) -> DataFrame:
-    """Lines that stay within ``d`` of the network segments, tested every ``tolerance`` units at most.
+    """Lines all of whose points are within ``d`` of the network segments.
 
-    A line of no length is tested where it stands; NULL lines and lines without points are not within.
+    Each straight piece is cut at grid cells, so no group holds more than a cell's network. In a cell the network pieces give
+    intervals of the piece that are within ``d`` of them, and one pass in the order of their starts finds what none covers. The
+    test is exact but for rounding (``SLACK`` of a piece's length and of ``d``). A line of no length is tested where it stands;
+    NULL lines and lines without points are not within. Without a network no line is.
     """
-    parts = split_lines(df.select(line_id, line), line, [line_id], tolerance)
-    ends = F.array(F.col(line)[0], F.element_at(F.col(line), -1))
-    pts = parts.select(line_id, F.explode(ends).alias("p")).select(line_id, "p.x", "p.y")
-    outside = beyond_distance(pts, network, d).select(F.col(line_id).alias("__out")).distinct()
+    cell = cell or 4.0 * d or 1.0
+    reach = d * (1 + SLACK)
+    placed = segment_cells(_pieces(df, line, line_id), cell)
+    # the part of the piece that lies in the cell, which is a little larger than it is so that rounding loses no part
+    more = cell * SLACK
+    bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    west, south = F.col("cx") * cell, F.col("cy") * cell
+    enter, leave = _slab([
+        (F.col("x1") - west + more, bx), (west + cell + more - F.col("x1"), -bx),
+        (F.col("y1") - south + more, by), (south + cell + more - F.col("y1"), -by),
+    ])
+    still = (bx == 0) & (by == 0)
+    placed = placed.withColumns({"enter": enter, "leave": leave}).filter(still | (F.col("enter") < F.col("leave")))
+    placed = placed.withColumn("part", F.struct("seg", *ENDS, "cx", "cy"))
+    nodes = network.select(*ENDS).distinct()
+    index = segment_cells(nodes, cell, pad=reach + 2 * more).withColumnsRenamed({c: "n" + c for c in ENDS})
+    met = cell_join(placed, materialize(index, "corridor-cells"), "left")
+    # a part whose cell has no network is met by nothing
+    low, high = (F.when(F.col("nx1").isNotNull(), c) for c in _corridor(reach))
+    spans = met.select(line_id, "part", "enter", "leave", low.alias("low"), high.alias("high"))
+    before = Window.partitionBy(line_id, "part").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.col("enter"), F.coalesce(F.max("high").over(before), F.col("enter")))
+    gap = F.when(F.col("low").isNotNull(), F.least("low", "leave") - F.col("reached") > SLACK)
+    outside = (
+        spans.withColumn("reached", reached).groupBy(line_id, "part")
+        .agg(F.coalesce(F.max(gap), F.lit(False)).alias("gap"), (F.first("leave") - F.max("high")).alias("open"))
+        .filter(F.col("gap") | F.col("open").isNull() | (F.col("open") > SLACK))
+        .select(F.col(line_id).alias("__out")).distinct()
+    )
     points = F.flatten(line) if G.depth(df, line) == 2 else F.col(line)
-    return df.filter(F.size(points) > 0).join(outside, F.col(line_id) == F.col("__out"), "left_anti")
+    return df.filter(F.size(points) > 0).join(outside, F.col(line_id).eqNullSafe(F.col("__out")), "left_anti")
 
 
 def clip_lines(

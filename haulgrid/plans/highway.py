@@ -133,11 +133,11 @@ def zone_requests(zones: DataFrame) -> DataFrame:
 
 
 def job_split_zones(
-    lines: DataFrame, network: DataFrame, name: str, d: float = 200.0, tolerance: float = 100.0,
+    lines: DataFrame, network: DataFrame, name: str, d: float = 200.0,
     min_len: float = 400.0, max_len: float = 1320.0, size: int = 1000,
 ) -> DataFrame:
     """Lines (``segment_id``, ``line``) on the network cut into zones of at most ``max_len``, numbered in batches."""
-    on_network = P.lines_within(lines, "line", "segment_id", network, d, tolerance)
+    on_network = P.lines_within(lines, "line", "segment_id", network, d)
     long_enough = on_network.filter(G.length("line") > min_len)
     parts = materialize(P.split_lines(long_enough, "line", ["segment_id"], max_len), "zone-parts", "__row")
     numbered = number_batches(parts, size, ["segment_id", "part", "__row"], name)

@@ -240,7 +240,7 @@ def test_lines_of_many_parts(spark):
     cut = P.split_lines(df, "line", ["id"], 2.0).collect()
     assert sorted((r["line_part"], r["part"], r["n_parts"]) for r in cut) == [(0, 1, 2), (0, 2, 2), (1, 1, 4), (1, 2, 4), (1, 3, 4), (1, 4, 4)]
     network = spark.createDataFrame([(0.0, 0.0, 0.0, 3.0)], "x1 double, y1 double, x2 double, y2 double")
-    assert P.lines_within(df, "line", "id", network, 1.0, 0.5).count() == 0
+    assert P.lines_within(df, "line", "id", network, 1.0).count() == 0
 
 
 def test_lines_of_no_length(spark):
@@ -248,7 +248,50 @@ def test_lines_of_no_length(spark):
     df = spark.createDataFrame(rows, "id int, line array<struct<x:double,y:double>>")
     assert sorted((r["id"], r["n_parts"]) for r in P.split_lines(df, "line", ["id"], 5.0).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 1)]
     network = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0)], "x1 double, y1 double, x2 double, y2 double")
-    assert sorted(r["id"] for r in P.lines_within(df, "line", "id", network, 0.5, 0.1).collect()) == [1, 3, 4, 7]
+    assert sorted(r["id"] for r in P.lines_within(df, "line", "id", network, 0.5).collect()) == [1, 3, 4, 7]
+
+
+def test_corridor_is_left_between_close_points(spark):
+    """A gap of the network that no sampling at steps of d would see, and one that the ends of its pieces just close."""
+    at = "x1 double, y1 double, x2 double, y2 double"
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0)]), (2, [(0.0, 0.0), (49.0, 0.0)]), (3, [(30.0, 1.0), (70.0, 1.0)])], "id int, line array<struct<x:double,y:double>>")
+    open_ = spark.createDataFrame([(0.0, 0.0, 48.99, 0.0), (51.0, 0.0, 100.0, 0.0)], at)
+    closed = spark.createDataFrame([(0.0, 0.0, 49.0, 0.0), (51.0, 0.0, 100.0, 0.0), (51.0, 0.0, 100.0, 0.0)], at)
+    assert {r["id"] for r in P.lines_within(df, "line", "id", open_, 1.0).collect()} == {2}
+    assert {r["id"] for r in P.lines_within(df, "line", "id", closed, 1.0).collect()} == {1, 2}
+    assert P.lines_within(df, "line", "id", closed.limit(0), 1.0).count() == 0
+    # along the edge of the corridor, at its very distance; the last one leaves it by a thousandth
+    edge = spark.createDataFrame([(i, [(0.0, y), (100.0, y)]) for i, y in enumerate((1.0, -1.0, 1.001))], "id int, line array<struct<x:double,y:double>>")
+    whole = spark.createDataFrame([(0.1 * i, 0.0, 0.1 * i + 0.1, 0.0) for i in range(1000)], at)
+    assert {r["id"] for r in P.lines_within(edge, "line", "id", whole, 1.0).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("cell", [None, 0.7, 50.0])
+def test_corridor_matches_dense_points(spark, cell):
+    rnd = random.Random(11)
+    net = [(x, y, x + rnd.uniform(-3, 3), y + rnd.uniform(-3, 3)) for x, y in ((rnd.uniform(0, 12), rnd.uniform(0, 12)) for _ in range(60))]
+    rows = []
+    for i in range(120):
+        x, y, r = rnd.uniform(0, 12), rnd.uniform(0, 12), rnd.choice([0.0, 2.0, 6.0])
+        rows.append((i, [(x + rnd.uniform(-r, r), y + rnd.uniform(-r, r)) for _ in range(3)]))
+
+    def far(px, py):
+        best = 9e9
+        for a, b, c, e in net:
+            square = (c - a) ** 2 + (e - b) ** 2
+            t = max(0.0, min(1.0, ((px - a) * (c - a) + (py - b) * (e - b)) / square))
+            best = min(best, math.hypot(px - a - t * (c - a), py - b - t * (e - b)))
+        return best
+
+    most = {
+        i: max(far(p[0] + k / 400 * (q[0] - p[0]), p[1] + k / 400 * (q[1] - p[1])) for p, q in zip(line, line[1:]) for k in range(401))
+        for i, line in rows
+    }
+    df = spark.createDataFrame(rows, "id int, line array<struct<x:double,y:double>>")
+    network = spark.createDataFrame(net, "x1 double, y1 double, x2 double, y2 double")
+    got = {r["id"] for r in P.lines_within(df, "line", "id", network, 1.0, cell).collect()}
+    clear = {i for i, m in most.items() if abs(m - 1.0) > 0.01}
+    assert 20 < len(got) < 100 and got & clear == {i for i in clear if most[i] < 1.0}
 
 
 SQUARE = ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))
