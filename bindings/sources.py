@@ -161,27 +161,27 @@ def layer_two_part_areas(spark, d):
 
 
 @query("geojson_document", """
-SELECT CAST(n_nationkey AS BIGINT) AS id, kind, CAST(n_nationkey AS DOUBLE) AS x, CAST(CASE WHEN kind = 'Point' THEN 1 ELSE 2 END AS INTEGER) AS n
-FROM nation, (VALUES ('Point'), ('MultiPoint'), ('LineString'), ('MultiLineString'), ('Polygon'), ('MultiPolygon')) k(kind)
+SELECT CAST(s_suppkey AS BIGINT) AS id, kind, CAST(s_suppkey % 90 AS DOUBLE) AS x, CAST(CASE WHEN kind = 'Point' THEN 1 ELSE 2 END AS INTEGER) AS n
+FROM supplier, (VALUES ('Point'), ('MultiPoint'), ('LineString'), ('MultiLineString'), ('Polygon'), ('MultiPolygon')) k(kind)
 """)
 def geojson_document(spark, d):
-    """Every geometry type in one document: type, first coordinate and number of its points, parts or rings."""
+    """A document with every geometry type for each supplier: type, first coordinate and number of its points, parts or rings."""
     shapes = {
         "Point": "[%1$d,1]", "MultiPoint": "[[%1$d,1],[2,3]]", "LineString": "[[%1$d,1],[2,3]]",
         "MultiLineString": "[[[%1$d,1],[2,3]],[[4,5],[6,7]]]", "Polygon": "[[[%1$d,0],[90,0],[90,90],[%1$d,0]],[[80,10],[85,10],[85,20],[80,10]]]",
         "MultiPolygon": "[[[[%1$d,0],[90,0],[90,90],[%1$d,0]]],[[[100,0],[101,0],[101,1],[100,0]]]]",
     }
-    key = F.col("n_nationkey").cast("long")
+    key = F.col("s_suppkey").cast("long")
     parts = [
         F.format_string(
-            f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":{text}}},"properties":{{"id":%1$d}}}}', key
+            f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":{text}}},"properties":{{"id":%2$d}}}}', key % 90, key
         )
         for kind, text in shapes.items()
     ]
     out = new_path(spark, "document")
-    whole = table(spark, d, "nation").select(F.concat_ws(",", *parts).alias("f")).agg(F.array_join(F.collect_list("f"), ",").alias("f"))
-    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).coalesce(1).write.text(out)
-    read = G.read_geojson_document(spark, out, "id long")
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", *parts), F.lit("]}"))
+    table(spark, d, "supplier").select(whole).write.text(out)
+    read = G.read_geojson(spark, out, "id long")
     kind = F.col("geometry_type")
     first = F.when(kind == "Point", F.col("point")).when(kind == "MultiPoint", F.col("points")[0]).when(
         kind.contains("Line"), F.col("lines")[0][0]
