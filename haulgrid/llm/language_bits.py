@@ -163,14 +163,17 @@ def train(
     counts: dict[str, dict[int, int]] = {}
     for r in kept.collect():
         counts.setdefault(r[0], {})[r[1]] = r[2]
-    return build(counts)
+    model = build(counts)
+    trained = {r[0]: r[1] for r in sizes.collect()}
+    model.common = max(range(len(model.languages)), key=lambda i: trained[model.languages[i]], default=0)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all if None) with lang_pred and score, from the whole text of every row.
 
     NULL, empty and letterless texts are ``und`` with score 0. Texts none of whose n-grams is known get the language with
-    most training text and score 0. Ties go to the first language in alphabetical order. Repeated rows get equal results.
+    most training rows and score 0. Ties go to the first language in alphabetical order. Repeated rows get equal results.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
