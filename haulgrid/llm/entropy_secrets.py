@@ -27,13 +27,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 UNIT = 1 << 20
 #: Least bits per character in a window, by the smallest character class that holds the whole candidate, or the whole PART
-#: if the window lies within one: a value is judged behind a name or path as it would be alone.
+#: if the window lies within one: a value is judged behind a name or path as it would be alone, by the allow-list too.
 CLASS_BITS = (("^[0-9A-Fa-f]+$", 3.0), ("^[0-9A-Za-z]+$", 3.7), ("", 3.9))
 _RUN = "[A-Za-z0-9+/_=-]"
 #: A candidate is a whole run of at least WINDOW characters with a letter and a digit.
 CANDIDATE = rf"(?<!{_RUN})(?={_RUN}*[0-9])(?={_RUN}*[A-Za-z]){_RUN}{{{WINDOW},}}+"
 PART = "^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z]+$"
-#: Candidates that are no secrets: UUIDs, dates and times, words joined by separators, placeholders, data-free runs.
+#: A part that may hold a whole window.
+LONG_PART = r"(?<![0-9A-Za-z])(?=[0-9A-Za-z]*[0-9])(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{%d}"
+#: Candidates and parts that are no secrets: UUIDs, dates and times, words joined by separators, placeholders, data-free runs.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"^\d{4}-\d\d-\d\d([T_-]\d\d-?\d\d-?\d\d)?Z?$",
@@ -90,13 +92,28 @@ def _class_limit(candidate: Column, window: int) -> Column:
     return limit
 
 
-def entropy_runs(candidate: Column, window: int = WINDOW) -> Column:
-    """Unions of the windows of ``candidate`` with enough entropy, as array<struct<s,e>> within it."""
+def _is_allowed(value: Column, allowed: Sequence[str]) -> Column:
+    clean = F.lit(False)
+    for pattern in allowed:
+        clean = clean | value.rlike(pattern)
+    return clean
+
+
+def entropy_runs(candidate: Column, window: int = WINDOW, allowed: Sequence[str] = ()) -> Column:
+    """Unions of the windows of ``candidate`` with enough entropy, as array<struct<s,e>> within it.
+
+    A window inside a part with letters and digits goes by the part's class and whether the part is allowed, any other by the
+    candidate's.
+    """
     terms = F.array(*[F.lit(t) for t in _terms(window)])
-    limit = _class_limit(candidate, window)
+
+    def judged(value):  # no window has a negative sum
+        return F.when(_is_allowed(value, allowed), -1).otherwise(_class_limit(value, window))
+
+    limit = judged(candidate)
     pieces = F.regexp_extract_all(candidate, F.lit("[0-9A-Za-z]+|[^0-9A-Za-z]+"), F.lit(0))
     own = F.flatten(F.transform(
-        pieces, lambda p: F.array_repeat(F.when(p.rlike(PART), _class_limit(p, window)).otherwise(limit), F.length(p))
+        pieces, lambda p: F.array_repeat(F.when(p.rlike(PART), judged(p)).otherwise(limit), F.length(p))
     ))
 
     def times(held, char):
@@ -149,11 +166,9 @@ def entropy_runs(candidate: Column, window: int = WINDOW) -> Column:
 def _entropy_places(text: Column, allowed: Sequence[str], window: int) -> Column:
     def runs(span):
         candidate = F.substring(text, span["s"] + 1, span["e"] - span["s"])
-        clean = F.lit(False)
-        for pattern in allowed:
-            clean = clean | candidate.rlike(pattern)
+        clean = _is_allowed(candidate, allowed) & ~candidate.rlike(LONG_PART % window)
         inside = F.transform(
-            entropy_runs(candidate, window),
+            entropy_runs(candidate, window, allowed),
             lambda r: F.struct((span["s"] + r["s"]).alias("s"), (span["s"] + r["e"]).alias("e")),
         )
         return F.when(clean, F.array().cast(_SPANS)).otherwise(inside)
@@ -188,7 +203,8 @@ def scan_secrets(
     """``docs`` with ``secret_spans``: array<struct<s,k,e>>.
 
     NULL and empty texts have no span. Repeated rows get the same spans. A column of that name is replaced. A text of
-    any length is scanned whole; an allow-listed candidate gives no entropy span but never takes a base span away.
+    any length is scanned whole; an allow-listed candidate gives entropy spans only inside parts that are not allow-listed
+    themselves, and never takes a base span away.
     """
     return docs.withColumn("secret_spans", secret_spans(F.col(text), allowed, window))
 

@@ -46,21 +46,25 @@ SELECT doc_id, {kind} AS k, s, s + length(m) AS e, m FROM (
     assign = q(secrets.ASSIGN).replace(r"\x20", " ")
     run = "[A-Za-z0-9+/_=-]"
     limit = "CASE " + " ".join(
-        f"WHEN regexp_matches(m, '{p}') THEN {secrets.entropy_limit(b)}" for p, b in secrets.CLASS_BITS
+        f"WHEN regexp_matches(judged, '{p}') THEN {secrets.entropy_limit(b)}" for p, b in secrets.CLASS_BITS
     ) + " END"
     terms = "[" + ", ".join(map(str, secrets._terms(secrets.WINDOW))) + "]"
-    clean = " OR ".join(f"regexp_matches(m, '{q(p)}')" for p in secrets.ALLOWED)
+    clean = " OR ".join(f"regexp_matches(judged, '{q(p)}')" for p in secrets.ALLOWED)
     names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({places(0, assign, f"length(regexp_extract(m, '{assign}', 2)) >= {secrets.ASSIGN_VALUE}")}
   UNION ALL {places(1, "AKIA[A-Z0-9]+", "length(m) >= 18")} UNION ALL {places(2, "[0-9a-f]+", "length(m) >= 16")}),
 candidates AS (SELECT * FROM ({places(3, run + "+", f"length(m) >= {secrets.WINDOW}")})
-  WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({clean})),
-windows AS (SELECT doc_id, s, m, n, m[n + 1:n + {secrets.WINDOW}] AS w
+  WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+slid AS (SELECT doc_id, s, m, n, m[n + 1:n + {secrets.WINDOW}] AS w
   FROM (SELECT *, unnest(range(length(m) - {secrets.WINDOW - 1})) AS n FROM candidates)),
+parts AS (SELECT *, CASE WHEN regexp_matches(w, '^[0-9A-Za-z]+$')
+  THEN regexp_extract(m[:n], '[0-9A-Za-z]*$') || w || regexp_extract(m[n + {secrets.WINDOW} + 1:], '^[0-9A-Za-z]*') END AS part FROM slid),
+windows AS (SELECT *, CASE WHEN regexp_matches(part, '[0-9]') AND regexp_matches(part, '[A-Za-z]') THEN part ELSE m END AS judged FROM parts),
 hits AS (SELECT doc_id, s AS c, s + n AS s, s + n + {secrets.WINDOW} AS e FROM windows
-  WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda x: {terms}[CAST(x + 1 AS BIGINT)])) <= {limit}),
+  WHERE list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda x: {terms}[CAST(x + 1 AS BIGINT)])) <= {limit}
+    AND NOT ({clean})),
 runs AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id, c ORDER BY s) AS g FROM (
     SELECT *, CASE WHEN s > lag(e) OVER (PARTITION BY doc_id, c ORDER BY s) THEN 1 ELSE 0 END AS fresh FROM hits))

@@ -27,12 +27,21 @@ def entropy_spans(text):
         c = m[0]
         if len(c) < 20 or not re.search("[0-9]", c) or not re.search("[A-Za-z]", c):
             continue
-        if any(re.search(p, c) for p in secrets.ALLOWED):
-            continue
-        bits = next(b for p, b in secrets.CLASS_BITS if re.search(p, c))
         runs = []
         for i in range(len(c) - 19):
-            w = c[i : i + 20]
+            w = judged = c[i : i + 20]
+            if w.isalnum():
+                a, b = i, i + 20
+                while a and c[a - 1].isalnum():
+                    a -= 1
+                while b < len(c) and c[b].isalnum():
+                    b += 1
+                judged = c[a:b]
+            if judged == w and not w.isalnum() or not (re.search("[0-9]", judged) and re.search("[A-Za-z]", judged)):
+                judged = c
+            if any(re.search(p, judged) for p in secrets.ALLOWED):
+                continue
+            bits = next(b for p, b in secrets.CLASS_BITS if re.search(p, judged))
             if sum(round(n * math.log2(n) * secrets.UNIT) for n in map(w.count, set(w))) <= secrets.entropy_limit(bits):
                 if runs and i <= runs[-1][1]:
                     runs[-1][1] = i + 20
@@ -55,7 +64,8 @@ TEXTS = [
     "token: api_key: 0123456789abc", "AKIA" + "Q" * 14 + " AKIAXX AKIA" + "A1" * 20, "0123456789abcdef" * 3 + "g0123456789abcde",
     "ſecret=abcdefghijklmnop toKen=abcdefghijklmnop", "id 550e8400-e29b-41d4-a716-446655440000 at 2024-05-06T10-11-12",
     "key kJ8s9Qw2Zx7Lm4Np1Rt6Vb3YcD5 end", "sk-" + "aB3dE5fG7hI9" * 4, "mixed-words-and-2024-numbers-in-a-row", "\U0001f600 secret=\"abcd.efgh/ijkl=\"",
-    "aaaaaaaaaaaaaaaaaaaa1" + "kJ8s9Qw2Zx7Lm4Np1Rt6", "word " * 30000 + "api-key apikey=0011223344556677",
+    "aaaaaaaaaaaaaaaaaaaa1" + "kJ8s9Qw2Zx7Lm4Np1Rt6", "pwd=5F3A9C07E1B2D4865F3A9C07E1B2D486 sample=kJ8s9Qw2Zx7Lm4Np1Rt6Vb3Y",
+    "example/kJ8s9Qw2Zx7Lm4Np1Rt6/dummy_A7C4E9B2D1F60835A7C4 examplekJ8s9Qw2Zx7Lm4Np1Rt6 x=550e8400-e29b-41d4-a716-446655440000", "word " * 30000 + "api-key apikey=0011223344556677",
 ]
 
 
@@ -91,6 +101,19 @@ def test_values_behind_names_and_paths(spark):
     assert not [s for r in secrets.scan_secrets(df).collect() for s in r.secret_spans if s.k == 3]
 
 
+def test_allow_list_goes_by_parts(spark):
+    """Random keys behind an allowed word are found as they are alone; the word inside the key's own part still allows it."""
+    rnd = random.Random(8)
+    keys = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(60)]
+    fronts = ["", "sample=", "example/", "dummy_", "path/to/example/"]
+    rows = [(i, j, front + key) for i, key in enumerate(keys) for j, front in enumerate(fronts)] + [(-1, 0, "example" + keys[0])]
+    df = spark.createDataFrame(rows, "doc_id int, f int, text string")
+    got = {(r.doc_id, r.f): {(s.s, s.e) for s in r.secret_spans if s.k == 3} for r in secrets.scan_secrets(df).collect()}
+    assert not got.pop((-1, 0))
+    for (i, j), own in got.items():
+        assert own and own == {(s + len(fronts[j]), e + len(fronts[j])) for s, e in got[i, 0]}
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     for r in secrets.redact(df).collect():
