@@ -92,6 +92,23 @@ def test_nearest_ties_and_empty_right(spark):
     assert tuple(P.nearest_join(left, right.filter("rid > 9"), ["id"], "rid").first()) == (1, None, None)
 
 
+def test_nearest_with_one_full_leaf_and_far_points(spark):
+    """Most of the right side lies in one spot that no cell divides; left points lie in it, beside it and far outside."""
+    rnd = random.Random(4)
+    net = [(i, 5e5 + rnd.random() * 1e-4, 5e5 + rnd.random() * 1e-4) for i in range(1500)]
+    net += [(1500 + i, rnd.uniform(0, 1e6), rnd.uniform(0, 1e6)) for i in range(40)]
+    asked = [(0, 5e5, 5e5), (1, 4.9e5, 5.2e5), (2, -3e7, 4e5), (3, 9e6, 8e6), (4, 5e5 + 1e-4, 0.0), (5, None, 1.0)]
+    asked += [(6 + i, rnd.uniform(-1e5, 1.2e6), rnd.uniform(-1e5, 1.2e6)) for i in range(20)]
+    left = P.point_segments(spark.createDataFrame(asked, "id int, x double, y double"), ["id"])
+    right = P.point_segments(spark.createDataFrame(net, "rid int, x double, y double"), ["rid"])
+    got = {r["id"]: (r["rid"], r["distance"]) for r in P.nearest_join(left, right, ["id"], "rid").collect()}
+    assert got.pop(5) == (None, None)
+    for i, x, y in asked:
+        if i != 5:
+            d = min(math.hypot(x - u, y - v) for _, u, v in net)
+            assert got[i][1] == pytest.approx(d, rel=1e-9, abs=1e-9)
+
+
 def test_within_and_beyond_split_the_points(spark):
     rng = random.Random(9)
     pts = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(300)]
