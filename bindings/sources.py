@@ -9,7 +9,7 @@ from haulgrid.sources import geojson as G
 from haulgrid.sources import payloads as P
 from haulgrid.sources import tables as S
 
-from .registry import query, table
+from .registry import ORACLES, query, table
 from .shapes import PTS, TWO_PART_EDGES, points, two_part_areas
 
 
@@ -166,6 +166,16 @@ FROM supplier, (VALUES ('Point'), ('MultiPoint'), ('LineString'), ('MultiLineStr
 """)
 def geojson_document(spark, d):
     """A document with every geometry type for each supplier: type, first coordinate and number of its points, parts or rings."""
+    return _first_coordinates(G.read_geojson(spark, _supplier_documents(spark, d), "id long"))
+
+
+@query("geojson_document_split", ORACLES["geojson_document"])
+def geojson_document_split(spark, d):
+    """The same documents, split at braces instead of lines."""
+    return _first_coordinates(G.read_geojson_document(spark, _supplier_documents(spark, d), "id long"))
+
+
+def _supplier_documents(spark, d):
     shapes = {
         "Point": "[%1$d,1]", "MultiPoint": "[[%1$d,1],[2,3]]", "LineString": "[[%1$d,1],[2,3]]",
         "MultiLineString": "[[[%1$d,1],[2,3]],[[4,5],[6,7]]]", "Polygon": "[[[%1$d,0],[90,0],[90,90],[%1$d,0]],[[80,10],[85,10],[85,20],[80,10]]]",
@@ -181,7 +191,10 @@ def geojson_document(spark, d):
     out = new_path(spark, "document")
     whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", *parts), F.lit("]}"))
     table(spark, d, "supplier").select(whole).write.text(out)
-    read = G.read_geojson(spark, out, "id long")
+    return out
+
+
+def _first_coordinates(read):
     kind = F.col("geometry_type")
     first = F.when(kind == "Point", F.col("point")).when(kind == "MultiPoint", F.col("points")[0]).when(
         kind.contains("Line"), F.col("lines")[0][0]

@@ -163,3 +163,48 @@ def test_inferred_scan(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
     assert dict(S.read_table(spark, str(tmp_path / "t.csv"), infer=True).dtypes) == {"a": "int", "b": "string"}
     assert dict(S.read_table(spark, str(tmp_path / "t.csv")).dtypes) == {"a": "string", "b": "string"}
+
+
+@pytest.fixture
+def small_splits(spark):
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+NAMES = ["plain", 'a "quoted" }{ brace', "back\\slash\\", "}}}}", '{"type": "Feature"}', "\\\"", "", "long " * 300, "äöü }\n{"]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_document_is_read_in_many_tasks(spark, tmp_path, small_splits, indent):
+    features = [
+        {"type": "Feature", "properties": {"id": i, "name": NAMES[i % len(NAMES)], "more": {"deep": {"er": "}"}}},
+         "geometry": {"type": "Point", "coordinates": [i, -i]} if i % 4 else None}
+        for i in range(60)
+    ]
+    crs = {"type": "name", "properties": {"name": "urn:{odd}"}}
+    path = tmp_path / "layers"
+    path.mkdir()
+    document = {"type": "FeatureCollection", "name": "one { brace", "crs": crs, "features": features[:40], "bbox": [0, 0, 1, 1]}
+    (path / "a.geojson").write_text(json.dumps(document, indent=indent, ensure_ascii=False))
+    two = [{"features": features[40:50], "type": "FeatureCollection", "crs": crs}, {"type": "FeatureCollection", "features": features[50:]}]
+    (path / "b.geojson").write_text("\n".join(json.dumps(t, indent=indent) for t in two) + "\n")
+    (path / "none.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    (path / "empty.geojson").write_text("")
+    df = G.read_geojson_document(spark, str(path), "id int, name string")
+    got = {r["id"]: (r["name"], r["point"] and (r["point"]["x"], r["point"]["y"])) for r in df.collect()}
+    assert df.count() == 60
+    assert got == {i: (NAMES[i % len(NAMES)], (i, -i) if i % 4 else None) for i in range(60)}
+    assert G._chunks(spark, str(path)).select("file", "block").distinct().count() > 8
+
+
+@pytest.mark.parametrize("cut", [95, 130, 165])
+def test_document_that_ends_inside_a_feature_fails(spark, tmp_path, cut):
+    text = json.dumps({"type": "FeatureCollection", "features": FEATURES})
+    path = tmp_path / "cut.geojson"
+    path.write_text(text[:cut])
+    with pytest.raises(Exception, match="not a whole GeoJSON feature"):
+        G.read_geojson_document(spark, str(path), "id int").collect()
