@@ -157,29 +157,54 @@ def geo_lines_within(spark, d):
     return P.lines_within(all_lines, "line", "line_id", network, 60.0).select("line_id")
 
 
+def _place_sql(x, y):
+    return f"CASE WHEN abs(x2 - x1) >= abs(y2 - y1) THEN ({x} - x1) / nullif(x2 - x1, 0) ELSE ({y} - y1) / nullif(y2 - y1, 0) END"
+
+
 CLIP = f"""
-hits AS (SELECT line_id, seg, s1 / (s1 - s2) AS t FROM (
-  SELECT line_id, seg, (e.x2 - e.x1) * (s.y1 - e.y1) - (e.y2 - e.y1) * (s.x1 - e.x1) AS s1,
-    (e.x2 - e.x1) * (s.y2 - e.y1) - (e.y2 - e.y1) * (s.x2 - e.x1) AS s2,
-    (s.x2 - s.x1) * (e.y1 - s.y1) - (s.y2 - s.y1) * (e.x1 - s.x1) AS d1,
-    (s.x2 - s.x1) * (e.y2 - s.y1) - (s.y2 - s.y1) * (e.x2 - s.x1) AS d2
-  FROM segs s, edges e) WHERE (s1 > 0) <> (s2 > 0) AND d1 * d2 <= 0),
+cutters AS (SELECT DISTINCT CASE WHEN back THEN x2 ELSE x1 END AS ex1, CASE WHEN back THEN y2 ELSE y1 END AS ey1,
+  CASE WHEN back THEN x1 ELSE x2 END AS ex2, CASE WHEN back THEN y1 ELSE y2 END AS ey2
+  FROM (SELECT *, x1 > x2 OR (x1 = x2 AND y1 > y2) AS back FROM edges)),
+hits AS (SELECT line_id, seg, CASE WHEN d1 = 0 THEN {_place_sql('ex1', 'ey1')} WHEN d2 = 0 THEN {_place_sql('ex2', 'ey2')} ELSE s1 / (s1 - s2) END AS t FROM (
+  SELECT *, (ex2 - ex1) * (y1 - ey1) - (ey2 - ey1) * (x1 - ex1) AS s1, (ex2 - ex1) * (y2 - ey1) - (ey2 - ey1) * (x2 - ex1) AS s2,
+    (x2 - x1) * (ey1 - y1) - (y2 - y1) * (ex1 - x1) AS d1, (x2 - x1) * (ey2 - y1) - (y2 - y1) * (ex2 - x1) AS d2
+  FROM segs, cutters) WHERE (s1 > 0) <> (s2 > 0) AND d1 * d2 <= 0),
 stops AS (SELECT line_id, seg, t FROM hits UNION SELECT line_id, seg, 0.0 FROM segs UNION SELECT line_id, seg, 1.0 FROM segs),
 spans AS (SELECT *, lead(t) OVER (PARTITION BY line_id, seg ORDER BY t) AS t1 FROM stops),
-parts AS (SELECT line_id, seg, t, len * (t1 - t) AS part_len, sx1 + (t + t1) / 2 * (sx2 - sx1) AS x, sy1 + (t + t1) / 2 * (sy2 - sy1) AS y
+parts AS (SELECT line_id, seg, t, t1, len * (t1 - t) AS part_len, sx1 + (t + t1) / 2 * (sx2 - sx1) AS x, sy1 + (t + t1) / 2 * (sy2 - sy1) AS y
   FROM spans JOIN (SELECT line_id, seg, len, x1 AS sx1, y1 AS sy1, x2 AS sx2, y2 AS sy2 FROM segs) USING (line_id, seg)
   WHERE t1 > t)"""
 
 
 @query("geo_clip_lines", f"""
 WITH {SEGS}, {EDGES}, {CLIP}, {hit_sql('hit', 'parts', 'line_id, seg, t, part_len')}
-SELECT line_id, area, round(sum(part_len), 4) AS inside_len FROM hit GROUP BY 1, 2 HAVING sum(part_len) > 1e-6
+SELECT line_id, area, round(sum(part_len), 4) AS inside_len FROM hit GROUP BY 1, 2
 """)
 def geo_clip_lines(spark, d):
     clipped = P.clip_lines(lines(spark, d), "line", "line_id", areas(spark, d).drop("n_name"), "rings", "area", CELL)
     total = F.aggregate(F.transform("lines", lambda part: G.length(part)), F.lit(0.0), lambda a, b: a + b)
-    return clipped.select("line_id", "area", total.alias("t")).filter("t > 1e-6").select(
-        "line_id", "area", F.round("t", 4).alias("inside_len")
+    return clipped.select("line_id", "area", F.round(total, 4).alias("inside_len"))
+
+
+@query("geo_clip_runs", f"""
+WITH {SEGS}, {EDGES}, {CLIP}, {hit_sql('hit', 'parts', 'line_id, seg, t, t1')},
+steps AS (SELECT *, lag(seg) OVER w AS s0, lag(t1) OVER w AS t0 FROM hit WINDOW w AS (PARTITION BY line_id, area ORDER BY seg, t)),
+runs AS (SELECT *, sum(CASE WHEN (seg = s0 AND t = t0) OR (seg = s0 + 1 AND t = 0 AND t0 = 1) THEN 0 ELSE 1 END)
+  OVER (PARTITION BY line_id, area ORDER BY seg, t) AS run FROM steps),
+ends AS (SELECT line_id, area, CAST(run AS INTEGER) AS run, min(seg + t) AS a, max(seg + t1) AS b, min(seg) AS s, max(seg) AS e,
+  arg_min(t, seg + t) AS ta, arg_max(t1, seg + t1) AS tb FROM runs GROUP BY 1, 2, 3)
+SELECT ends.line_id, area, run, round(f.x1 + ta * (f.x2 - f.x1), 4) AS x0, round(f.y1 + ta * (f.y2 - f.y1), 4) AS y0,
+  round(g.x1 + tb * (g.x2 - g.x1), 4) AS x1, round(g.y1 + tb * (g.y2 - g.y1), 4) AS y1
+FROM ends JOIN segs f ON f.line_id = ends.line_id AND f.seg = s JOIN segs g ON g.line_id = ends.line_id AND g.seg = e
+""")
+def geo_clip_runs(spark, d):
+    """Every stretch of a line inside an area with its two ends."""
+    clipped = P.clip_lines(lines(spark, d), "line", "line_id", areas(spark, d).drop("n_name"), "rings", "area", CELL)
+    runs = clipped.select("line_id", "area", F.posexplode("lines").alias("run", "part"))
+    a, b = F.col("part")[0], F.element_at("part", -1)
+    return runs.select(
+        "line_id", "area", (F.col("run") + 1).alias("run"), F.round(a["x"], 4).alias("x0"), F.round(a["y"], 4).alias("y0"),
+        F.round(b["x"], 4).alias("x1"), F.round(b["y"], 4).alias("y1"),
     )
 
 

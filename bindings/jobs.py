@@ -576,7 +576,7 @@ def network(spark, d):
 
 
 NETWORK = f"""{PTS}, {SEGS}, {EDGES}, {CLIP},
-mid AS (SELECT line_id, seg, t, t1, x, y FROM spans JOIN parts USING (line_id, seg, t)),
+mid AS (SELECT line_id, seg, t, t1, x, y FROM parts),
 {hit_sql('hit', 'mid', 'line_id, seg, t, t1')},
 net AS (SELECT 'NHFN' AS source, x1 + t * (x2 - x1) AS x1, y1 + t * (y2 - y1) AS y1, x1 + t1 * (x2 - x1) AS x2, y1 + t1 * (y2 - y1) AS y2
     FROM hit JOIN segs USING (line_id, seg) WHERE s_acctbal >= 5000

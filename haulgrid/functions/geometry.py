@@ -272,6 +272,49 @@ def orient(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Colum
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
+#: What one half of a double has at most, and how far the rounded determinant may be off per unit of its two products.
+_SPLITTER, _ORIENT_BOUND = 2.0**27 + 1, (3 + 16 * 2.0**-53) * 2.0**-53
+
+
+def _exact_product(a: Column, b: Column) -> Column:
+    """``a * b`` as two doubles that add up to it exactly, the smaller one first."""
+
+    def halves(c: Column) -> tuple[Column, Column]:
+        high = c * _SPLITTER - (c * _SPLITTER - c)
+        return high, c - high
+
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    return F.array(a2 * b2 - (((a * b - a1 * b1) - a2 * b1) - a1 * b2), a * b)
+
+
+def _exact_sign(terms: Column) -> Column:
+    """Sign of the sum of an array of doubles: they are added to an expansion whose last number that is not 0 has the sum's sign."""
+    none = F.array().cast("array<double>")
+
+    def add(carry: Column, part: Column) -> Column:
+        total = carry["q"] + part
+        there = total - carry["q"]
+        lost = (carry["q"] - (total - there)) + (part - there)
+        return F.struct(total.alias("q"), F.concat(carry["out"], F.array(lost)).alias("out"))
+
+    grown = F.aggregate(
+        terms, none,
+        lambda parts, term: F.aggregate(
+            parts, F.struct(term.alias("q"), none.alias("out")), add, lambda c: F.concat(c["out"], F.array(c["q"]))
+        ),
+    )
+    return F.aggregate(grown, F.lit(0.0), lambda sign, part: F.when(part != 0, F.signum(part)).otherwise(sign))
+
+
+def orient_sign(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Exact sign of ``orient`` (1, -1 or 0): rounded where an error bound proves it, by exact sums of products elsewhere."""
+    left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+    sure = F.abs(left - right) >= (F.abs(left) + F.abs(right)) * _ORIENT_BOUND
+    factors = [(bx, cy), (-bx, ay), (-ax, cy), (-by, cx), (by, ax), (ay, cx)]
+    products = F.transform(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in factors]), lambda f: _exact_product(f["a"], f["b"]))
+    return F.when(sure, F.signum(left - right)).otherwise(_exact_sign(F.flatten(products)))
+
+
 def segments_cross(a: list[Column], b: list[Column]) -> Column:
     """Both segments pass each other's line strictly."""
     d1 = orient(*b, a[0], a[1])

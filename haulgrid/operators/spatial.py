@@ -93,6 +93,9 @@ def auto_cell(polys: DataFrame, rings: str) -> float:
     return max(min(4.0 * s["len"] / s["n"], s["span"] / 4.0), s["span"] / 64.0) or 1.0
 
 
+#: Part of a cell by which rounding may put an edge on a cell's side into the next cell; edges that close are listed in both.
+EDGE = 1e-9
+
 #: Cells of the inside get coarser by 2 ** STEP at a time.
 STEP = 3
 
@@ -108,7 +111,7 @@ def polygon_cells(df: DataFrame, rings: str, keep: Sequence[str], cell: float) -
     base = materialize(df.select(*keep, G.all_rings(df, rings).alias("__rings")), "areas", "__pid")
     edges = polygon_edges(base, "__rings", ["__pid"])
     touched = materialize(
-        segment_cells(edges, cell).groupBy("__pid", "cx", "cy").agg(F.collect_list(F.struct(*ENDS)).alias("near")),
+        segment_cells(edges, cell, pad=cell * EDGE).groupBy("__pid", "cx", "cy").agg(F.collect_list(F.struct(*ENDS)).alias("near")),
         "outline-cells",
     )
     spans = edges.groupBy("__pid").agg(*[
@@ -152,20 +155,27 @@ def _level_at(e: Column, x: Column) -> Column:
     return e["y1"] + (x - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
 
 
-def _passes_below(e: Column, x: Column, y: Column) -> Column:
-    """Edge meets the vertical line at x (an end on the line counts as east of it) at or below y."""
-    return F.when((e["x1"] < x) != (e["x2"] < x), _level_at(e, x) <= y).otherwise(False)
-
-
 def _in_cell_polygon(x: Column, y: Column) -> Column:
-    """Even-odd test along the cell's west side up to the point's height and then east to the point."""
+    """Even-odd test along the cell's west side up to the point's height and then east to the point.
+
+    An end on the west side counts as east of it, an end at the point's height as below. An edge that passes the side and the
+    height is on one side of the bend, and that one answer settles where it meets both, so rounding cannot count it twice.
+    """
     west, south = F.col("west"), F.col("south")
-    up = F.filter("near", lambda e: _passes_below(e, west, y) & (_level_at(e, west) > south))
+
+    def passes(e: Column) -> Column:
+        return (e["x1"] < west) != (e["x2"] < west)
+
+    def under_bend(e: Column) -> Column:
+        return F.when(G.crosses_level(e, y), _level_at(e, west) <= y).otherwise(e["y1"] <= y)
+
+    def east_of_bend(e: Column) -> Column:
+        rises = (e["x1"] < e["x2"]) == (e["y1"] < e["y2"])
+        return F.when(passes(e), under_bend(e) == rises).otherwise(e["x1"] >= west)
+
+    up = F.filter("near", lambda e: F.when(passes(e), under_bend(e) != (_level_at(e, west) <= south)).otherwise(False))
     along = F.filter(
-        "near",
-        lambda e: F.when(
-            G.crosses_level(e, y), (G.crossing_x(e, y) < x) & (G.crossing_x(e, y) >= west)
-        ).otherwise(False),
+        "near", lambda e: F.when(G.crosses_level(e, y), east_of_bend(e) & (G.crossing_x(e, y) < x)).otherwise(False)
     )
     return (F.col("below_corner") + F.size(up) + F.size(along)) % 2 == 1
 
@@ -513,22 +523,44 @@ def lines_within(
     return df.filter(F.size(points) > 0).join(outside, F.col(line_id).eqNullSafe(F.col("__out")), "left_anti")
 
 
+def _sorted_ends(edges: DataFrame) -> DataFrame:
+    """Edges with the smaller end first."""
+    x1, y1, x2, y2 = (F.col(c) for c in ENDS)
+    swap = (x1 > x2) | ((x1 == x2) & (y1 > y2))
+    return edges.select(
+        F.when(swap, x2).otherwise(x1).alias("x1"), F.when(swap, y2).otherwise(y1).alias("y1"),
+        F.when(swap, x1).otherwise(x2).alias("x2"), F.when(swap, y1).otherwise(y2).alias("y2"),
+    )
+
+
+def _place(s: Sequence[Column], x: Column, y: Column) -> Column:
+    """Where on a segment, from 0 to 1, a point of its line lies, by its longer direction."""
+    dx, dy = s[2] - s[0], s[3] - s[1]
+    return F.when(F.abs(dx) >= F.abs(dy), (x - s[0]) / F.nullif(dx, F.lit(0.0))).otherwise((y - s[1]) / F.nullif(dy, F.lit(0.0)))
+
+
 def clip_lines(
     df: DataFrame, line: str, line_id: str, polys: DataFrame, rings: str, poly_id: str, cell: float | None = None
 ) -> DataFrame:
-    """Per line and area the parts of the line inside: ``lines`` (array of lines, as it may leave and re-enter)."""
+    """Per line and area the parts of the line inside: ``lines`` (array of lines, as it may leave and re-enter).
+
+    Which side a point lies on is decided exactly. Where a line runs through a vertex, all edges there cut it at the vertex's
+    own place, and an edge that two areas share cuts it in one place for both, so no sliver is left between two cuts.
+    """
     cell = cell or auto_cell(polys, rings)
     segs = segments(df, line, [line_id])
-    edges = polygon_edges(polys, rings, [])
-    edge_cells = materialize(segment_cells(edges, cell).withColumnsRenamed({c: "e_" + c for c in ENDS}), "edge-cells")
+    edges = _sorted_ends(polygon_edges(polys, rings, [])).distinct()
+    edge_cells = materialize(segment_cells(edges, cell, pad=cell * EDGE).withColumnsRenamed({c: "e_" + c for c in ENDS}), "edge-cells")
     a = [F.col(c) for c in ENDS]
     b = [F.col("e_" + c) for c in ENDS]
-    side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
-    end1, end2 = G.orient(*a, b[0], b[1]), G.orient(*a, b[2], b[3])
-    meets = ((side1 > 0) != (side2 > 0)) & (end1 * end2 <= 0)
+    end1, end2 = G.orient_sign(*a, b[0], b[1]), G.orient_sign(*a, b[2], b[3])
+    meets = ((G.orient_sign(*b, a[0], a[1]) > 0) != (G.orient_sign(*b, a[2], a[3]) > 0)) & (end1 * end2 <= 0)
     hits = cell_join(materialize(segment_cells(segs, cell), "line-cells"), edge_cells, "inner", meets)
+    side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
+    between = F.coalesce(side1 / F.nullif(side1 - side2, F.lit(0.0)), F.lit(0.0))
+    at = F.when(end1 == 0, _place(a, b[0], b[1])).when(end2 == 0, _place(a, b[2], b[3])).otherwise(between)
     cuts = hits.groupBy(F.col(line_id).alias("__k"), F.col("seg").alias("__s")).agg(
-        F.array_sort(F.collect_set(side1 / (side1 - side2))).alias("__cuts")
+        F.array_sort(F.collect_set(F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)))).alias("__cuts")
     )
     stops = F.concat(F.array(F.lit(0.0)), F.coalesce(F.col("__cuts"), F.array().cast("array<double>")), F.array(F.lit(1.0)))
     spans = segs.join(cuts, (F.col(line_id) == F.col("__k")) & (F.col("seg") == F.col("__s")), "left").withColumn(
@@ -567,12 +599,7 @@ def clip_lines(
 
 def dissolve_edges(polys: DataFrame, rings: str) -> DataFrame:
     """Outline of a clean coverage: the edges that belong to one area only, ends in sorted order."""
-    x1, y1, x2, y2 = (F.col(c) for c in ENDS)
-    swap = (x1 > x2) | ((x1 == x2) & (y1 > y2))
-    edges = polygon_edges(polys, rings, []).select(
-        F.when(swap, x2).otherwise(x1).alias("x1"), F.when(swap, y2).otherwise(y1).alias("y1"),
-        F.when(swap, x1).otherwise(x2).alias("x2"), F.when(swap, y1).otherwise(y2).alias("y2"),
-    )
+    edges = _sorted_ends(polygon_edges(polys, rings, []))
     return edges.groupBy(*ENDS).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
 
 

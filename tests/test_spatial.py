@@ -353,3 +353,61 @@ def test_one_large_area_beside_many_small_ones(spark):
         if r["x"] < 100 and i < 2000 and 0.25 < r["x"] % 1 < 0.75 and 0.25 < r["y"] % 1 < 0.75:
             want.append((r["id"], i))
     assert got == sorted(want)
+
+
+def test_exact_side_of_near_collinear_points(spark):
+    from fractions import Fraction
+
+    rand = random.Random(5)
+    rows = []
+    for i in range(400):
+        ax, ay, bx, by = (rand.uniform(-1e6, 1e6) for _ in range(4))
+        t = rand.uniform(-0.5, 1.5)
+        cx, cy = ax + t * (bx - ax), ay + t * (by - ay)
+        for _ in range(rand.randrange(3)):
+            cx = math.nextafter(cx, math.inf * rand.choice([-1, 1]))
+        if i % 5 == 0:  # exactly on the line
+            step = [float(rand.randrange(-999, 999)) / 8 for _ in range(2)]
+            ax, ay = 0.1, 1 / 3
+            bx, by, cx, cy = ax, ay + step[1], ax, ay + 3 * step[1]
+        rows.append((i, ax, ay, bx, by, cx, cy))
+    df = spark.createDataFrame(rows, "i int, ax double, ay double, bx double, by double, cx double, cy double")
+    got = {r["i"]: r["s"] for r in df.select("i", G.orient_sign(*[F.col(c) for c in df.columns[1:]]).alias("s")).collect()}
+
+    def exact(ax, ay, bx, by, cx, cy):
+        ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
+        d = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        return (d > 0) - (d < 0)
+
+    assert got == {r[0]: exact(*r[1:]) for r in rows}
+    assert {-1, 0, 1} == set(got.values())
+
+
+def test_clip_leaves_no_slivers(spark):
+    """Lines through vertices and over shared edges: runs meet exactly, and touching a corner gives none."""
+    left = ring((0.1, 0.1), (1.3, 0.1), (1.7, 2.3), (0.1, 2.3), (0.1, 0.1))
+    right = ring((1.3, 0.1), (3.1, 0.1), (3.1, 2.3), (1.7, 2.3), (1.3, 0.1))
+    spike = ring((5.1, 0.0), (6.3, 0.7), (5.1, 1.4), (4.9, 0.7), (5.1, 0.0))
+    areas = spark.createDataFrame([(1, [left]), (2, [right]), (3, [spike])], f"area int, {RINGS}")
+    lines = [
+        (1, [(0.5, 0.7), (2.9, 1.9)]),  # over the shared edge
+        (2, [(1.3 - 0.7, 0.1 - 0.3), (1.3, 0.1), (1.3 + 0.35, 0.1 + 0.3)]),  # into the corner both share
+        (3, [(4.0, 0.7), (7.0, 0.7)]),  # through two corners of the spike
+        (4, [(6.3, -1.0), (6.3, 3.0)]),  # touches one corner
+        (5, [(4.0, 0.0), (7.0, 0.0)]),  # touches the lowest corner
+    ]
+    df = spark.createDataFrame(lines, f"id int, {LINE}")
+    runs = {(r["id"], r["area"]): r["lines"] for r in P.clip_lines(df, "line", "id", areas, "rings", "area", 0.7).collect()}
+    assert {k: len(v) for k, v in runs.items() if k[0] != 2} == {(1, 1): 1, (1, 2): 1, (3, 3): 1}
+    assert runs[1, 1][0][-1] == runs[1, 2][0][0]
+    assert [(p["x"], p["y"]) for p in runs[3, 3][0]] == [(pytest.approx(4.9), 0.7), (pytest.approx(6.3), 0.7)]
+    assert sum(len(v) for k, v in runs.items() if k[0] == 2) == 1
+
+
+def test_point_in_area_whose_corners_lie_on_cell_sides(spark):
+    """9 * 0.7 and 6.3 are not the same double."""
+    spike = ring((5.1, 0.0), (6.3, 0.7), (5.1, 1.4), (4.9, 0.7), (5.1, 0.0))
+    areas = spark.createDataFrame([(3, [spike])], f"area int, {RINGS}")
+    pts = spark.createDataFrame([(1, 6.65, 0.7), (2, 5.5, 0.7), (3, 4.5, 0.7), (4, 6.65, 0.8)], "pid int, x double, y double")
+    for cell in (0.7, 0.35, 0.1, 0.3, 1.0):
+        assert [r["pid"] for r in P.points_in_area(pts, areas, "rings", cell).collect()] == [2]
