@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
@@ -306,13 +307,32 @@ def _exact_sign(terms: Column) -> Column:
     return F.aggregate(grown, F.lit(0.0), lambda sign, part: F.when(part != 0, F.signum(part)).otherwise(sign))
 
 
-def orient_sign(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    """Exact sign of ``orient`` (1, -1 or 0): rounded where an error bound proves it, by exact sums of products elsewhere."""
-    left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
-    sure = F.abs(left - right) >= (F.abs(left) + F.abs(right)) * _ORIENT_BOUND
-    factors = [(bx, cy), (-bx, ay), (-ax, cy), (-by, cx), (by, ax), (ay, cx)]
-    products = F.transform(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in factors]), lambda f: _exact_product(f["a"], f["b"]))
-    return F.when(sure, F.signum(left - right)).otherwise(_exact_sign(F.flatten(products)))
+def surely_beside(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Both ends of ``b`` lie on one side of the line of ``a``, by more than rounding; False says nothing."""
+
+    def beyond(x: Column, y: Column, sign: int) -> Column:
+        left, right = (a[2] - a[0]) * (y - a[1]), (a[3] - a[1]) * (x - a[0])
+        return (left - right) * sign > (F.abs(left) + F.abs(right)) * _ORIENT_BOUND
+
+    return (beyond(b[0], b[1], 1) & beyond(b[2], b[3], 1)) | (beyond(b[0], b[1], -1) & beyond(b[2], b[3], -1))
+
+
+def orient_signs(points: Sequence[Sequence[Column]]) -> Column:
+    """Exact signs of ``orient`` (1, -1 or 0) of each six coordinates, as an array: rounded where an error bound proves it, by
+    exact sums of products elsewhere. For rows that need it: lambdas are not compiled."""
+
+    def sign(p: Column) -> Column:
+        ax, ay, bx, by, cx, cy = (p[c] for c in ("ax", "ay", "bx", "by", "cx", "cy"))
+        left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+        sure = F.abs(left - right) >= (F.abs(left) + F.abs(right)) * _ORIENT_BOUND
+        factors = [(bx, cy), (-bx, ay), (-ax, cy), (-by, cx), (by, ax), (ay, cx)]
+        products = F.transform(
+            F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in factors]), lambda f: _exact_product(f["a"], f["b"])
+        )
+        return F.when(sure, F.signum(left - right)).otherwise(_exact_sign(F.flatten(products)))
+
+    names = ("ax", "ay", "bx", "by", "cx", "cy")
+    return F.transform(F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, p)]) for p in points]), sign)
 
 
 def segments_cross(a: list[Column], b: list[Column]) -> Column:

@@ -553,9 +553,13 @@ def clip_lines(
     edge_cells = materialize(segment_cells(edges, cell, pad=cell * EDGE).withColumnsRenamed({c: "e_" + c for c in ENDS}), "edge-cells")
     a = [F.col(c) for c in ENDS]
     b = [F.col("e_" + c) for c in ENDS]
-    end1, end2 = G.orient_sign(*a, b[0], b[1]), G.orient_sign(*a, b[2], b[3])
-    meets = ((G.orient_sign(*b, a[0], a[1]) > 0) != (G.orient_sign(*b, a[2], a[3]) > 0)) & (end1 * end2 <= 0)
-    hits = cell_join(materialize(segment_cells(segs, cell), "line-cells"), edge_cells, "inner", meets)
+    near = cell_join(
+        materialize(segment_cells(segs, cell), "line-cells"), edge_cells, "inner", ~G.surely_beside(a, b) & ~G.surely_beside(b, a)
+    )
+    signs = G.orient_signs([[*b, a[0], a[1]], [*b, a[2], a[3]], [*a, b[0], b[1]], [*a, b[2], b[3]]])
+    end1, end2 = F.col("__signs")[2], F.col("__signs")[3]
+    meets = ((F.col("__signs")[0] > 0) != (F.col("__signs")[1] > 0)) & (end1 * end2 <= 0)
+    hits = materialize(near.withColumn("__signs", signs), "line-hits").filter(meets)
     side1, side2 = G.orient(*b, a[0], a[1]), G.orient(*b, a[2], a[3])
     between = F.coalesce(side1 / F.nullif(side1 - side2, F.lit(0.0)), F.lit(0.0))
     at = F.when(end1 == 0, _place(a, b[0], b[1])).when(end2 == 0, _place(a, b[2], b[3])).otherwise(between)

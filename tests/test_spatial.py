@@ -372,7 +372,7 @@ def test_exact_side_of_near_collinear_points(spark):
             bx, by, cx, cy = ax, ay + step[1], ax, ay + 3 * step[1]
         rows.append((i, ax, ay, bx, by, cx, cy))
     df = spark.createDataFrame(rows, "i int, ax double, ay double, bx double, by double, cx double, cy double")
-    got = {r["i"]: r["s"] for r in df.select("i", G.orient_sign(*[F.col(c) for c in df.columns[1:]]).alias("s")).collect()}
+    got = {r["i"]: r["s"] for r in df.select("i", G.orient_signs([[F.col(c) for c in df.columns[1:]]])[0].alias("s")).collect()}
 
     def exact(ax, ay, bx, by, cx, cy):
         ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
