@@ -26,12 +26,11 @@ def pivot_values(
 ) -> DataFrame:
     """One column per listed variable; a (key, variable) pair holds one value.
 
-    Partitioned by key first, so that both stages of the pivot run on one shuffle. A key has at most as many rows
-    as there are variables.
+    One grouping, so the rows of a key are one before they are shuffled wherever they lie together: what a task
+    holds is as wide rows as there are keys in its input, not as many rows as there are pairs.
     """
-    wanted = df.select(*keys, names, measure).repartition(*keys)
-    listed = wanted.groupBy(*keys).pivot(names, list(values)).agg(F.max(measure))
-    return listed.select(*keys, *values)
+    listed = [F.max(F.when(F.col(names) == v, F.col(measure))).alias(v) for v in values]
+    return df.groupBy(*keys).agg(*listed).select(*keys, *values)
 
 
 def pivot_sums(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from bindings import ORACLES, QUERIES
 from haulgrid.operators import spatial as P
+from haulgrid.operators.reshape import pivot_values
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")
@@ -111,3 +112,11 @@ def test_crowded_cell_is_split(spark):
     finally:
         for key, value in saved.items():
             spark.conf.set(key, value)
+
+
+def test_pivot_makes_one_row_of_a_key_before_the_shuffle(spark):
+    rows = [(k, v, float(i)) for k in ("a", None) for i, v in enumerate(("x", "y", "y", "other"))] + [("b", None, 9.0)]
+    wide = pivot_values(spark.createDataFrame(rows, "k string, v string, n double"), ["k"], "v", ["x", "y"], "n")
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("partial_max") and plan.count("Exchange") == 1
+    assert {tuple(r) for r in wide.collect()} == {("a", 0.0, 2.0), (None, 0.0, 2.0), ("b", None, None)}
