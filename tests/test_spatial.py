@@ -311,6 +311,26 @@ def test_corridor_matches_dense_points(spark, cell):
     assert 20 < len(got) < 100 and got & clear == {i for i in clear if most[i] < 1.0}
 
 
+def test_corridor_of_a_dense_network_meets_few_of_its_pieces(spark, monkeypatch):
+    """Two thousand pieces in one square: lines in it and one that leaves it do not meet them all."""
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(0, 20), rnd.uniform(0, 20)) for _ in range(2000)]
+    network = spark.createDataFrame([(x, y, x + 1.0, y + 1.0) for x, y in spots], "x1 double, y1 double, x2 double, y2 double")
+    rows = [(i, [(1.0 + 0.1 * i, 2.0), (2.0 + 0.1 * i, 19.0)]) for i in range(100)]
+    rows += [(100, [(10.0, 10.0), (10.0, 40.0)]), (101, [(5.0, 5.0), (5.0, 5.0)]), (102, [(5.0, 50.0), (5.0, 50.0)])]
+    df = spark.createDataFrame(rows, "id int, line array<struct<x:double,y:double>>")
+    met, join = [], P.cell_join
+
+    def counted(*args):
+        out = join(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "cell_join", counted)
+    assert {r["id"] for r in P.lines_within(df, "line", "id", network, 5.0).collect()} == {*range(100), 101}
+    assert sum(met) < 20_000
+
+
 SQUARE = ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))
 CASES = {
     "plain": ([SQUARE], True),
