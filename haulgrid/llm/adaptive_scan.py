@@ -8,7 +8,9 @@ abandoned (a hypothesis test per block). The bound is the distance of the k-th b
 are scanned first. Survivors are scored exactly, on the original vectors in double precision.
 
 Equal vectors are one candidate with its smallest ids, and one query, so copies add no work. Lists travel as blocks
-of bounded size and so do the queries that probe them: a list with a large part of all vectors is many rows.
+of bounded size and so do the queries that probe them: a list with a large part of all vectors is many rows. What travels
+is large blocks of queries, as every one of them brings a whole block of candidates along; what is tested at once is a tile
+of few queries, by matrix products while many of its pairs are alive and pair by pair afterwards.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import chosen_by_hash, map_arrow, with_row_key, write_table
+from .tables import chosen_by_hash, map_arrow, write_table
 
 NEAREST = 20
 #: Vectors that centres are fitted on, and centres, at most. Every vector is in a list, whatever their number.
@@ -29,8 +32,11 @@ MOST_LISTS = 4096
 #: Share of the lists that a query probes, and how many at least.
 PROBE_SHARE = 0.7
 LEAST_PROBES = 16
-BLOCK, QUERY_BLOCK = 512, 64
+#: Candidates of a block, queries that travel together to a list, and queries that are tested at once.
+BLOCK, QUERIES, QUERY_BLOCK = 512, 1024, 64
 COLUMNS = 16
+#: Pairs are met one by one when fewer than one in so many of a tile are alive.
+SPARSE = 16
 #: Errors of the estimate that a candidate's distance may exceed the bound by.
 TRUST = 2.1
 
@@ -58,7 +64,7 @@ class Index:
     def order(self, rotated: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest centres of each vector, nearest first."""
         far = (self.centres**2).sum(axis=1) - 2 * rotated @ self.centres.T
-        return np.argsort(far, axis=1, kind="stable")[:, :n]
+        return far.argmin(axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -67,7 +73,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _lists(index: Index):
-    """Blocks of candidates: list, ids (of copies), vectors and rotated vectors as bytes."""
+    """Pieces of lists, as a batch has them: list, ids (of copies), vectors and rotated vectors as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids = _matrix(batch.column("v")), batch.column("ids").to_pylist()
@@ -87,11 +93,31 @@ def _lists(index: Index):
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces in the order of their lists, joined to blocks of at most ``BLOCK`` candidates, but for a batch's last ones."""
+    for batch in batches:
+        lists, ids = batch.column("list").to_numpy(), batch.column("ids")
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own, plain, turned = ids.slice(a, b - a).flatten(), *(
+                b"".join(batch.column(c).slice(a, b - a).to_pylist()) for c in ("plain", "turned")
+            )
+            n = len(own)
+            starts = range(0, n, BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lists[a]] * len(starts), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array([*starts, n], pa.int32()), own),
+                 *(pa.array([v[i * w : (i + BLOCK) * w] for i in starts], pa.binary())
+                   for v in (plain, turned) for w in [len(v) // n])],
+                ["list", "ids", "plain", "turned"],
+            )
+
+
 def _probes(index: Index, sizes: np.ndarray, probes: int, enough: int, first: bool):
     """Blocks of queries by list: the nearest lists with ``enough`` vectors, or the other ones up to ``probes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, keys = _matrix(batch.column("v")), np.array(batch.column("key").to_pylist(), object)
+        for batch in (b.slice(i, QUERIES) for b in batches for i in range(0, b.num_rows, QUERIES)):
+            x, keys = _matrix(batch.column("v")), batch.column("key").to_numpy(zero_copy_only=False)
             bound = batch.column("bound").to_numpy(zero_copy_only=False)
             near = index.order(index.rotate(x, query=True), len(sizes))
             before = np.cumsum(sizes[near], axis=1) - sizes[near]
@@ -101,14 +127,15 @@ def _probes(index: Index, sizes: np.ndarray, probes: int, enough: int, first: bo
             lists = near[rows, at]
             order = np.argsort(lists, kind="stable")
             cuts = np.flatnonzero(np.diff(lists[order])) + 1
-            groups = [p[i : i + QUERY_BLOCK] for p in np.split(order, cuts) for i in range(0, len(p), QUERY_BLOCK)]
-            names, parts = [int(lists[g[0]]) for g in groups], [rows[g] for g in groups]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int32()), pa.array([list(keys[p]) for p in parts], pa.list_(pa.string())),
-                 pa.array([x[p].astype("<f4").tobytes() for p in parts], pa.binary()),
-                 pa.array([bound[p].astype("<f8").tobytes() for p in parts], pa.binary())],
-                ["list", "keys", "queries", "bounds"],
-            )
+            groups = [p for p in np.split(order, cuts) if len(p)]
+            for i in range(0, len(groups), QUERY_BLOCK):  # not all lists at once: each may be wanted by all queries
+                names, parts = zip(*[(int(lists[g[0]]), rows[g]) for g in groups[i : i + QUERY_BLOCK]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.int32()), pa.array([keys[p] for p in parts], pa.list_(pa.int64())),
+                     pa.array([x[p].astype("<f4").tobytes() for p in parts], pa.binary()),
+                     pa.array([bound[p].astype("<f8").tobytes() for p in parts], pa.binary())],
+                    ["list", "keys", "queries", "bounds"],
+                )
 
     return run
 
@@ -118,50 +145,69 @@ def survivors(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) numbers of the pairs that no test abandons; ``bounds`` are squared distances, one a query.
 
-    The first block of columns is one matrix product over all pairs, later ones meet only the pairs still alive.
+    While many pairs are alive, a block of columns is one matrix product over all pairs; later ones meet only those still alive.
     """
     width = turned.shape[1]
     rows = cols = total = None
+    every, own = np.zeros((len(queries), len(turned))), np.zeros(len(queries))  # distances are their sum
+    alive = np.ones(every.shape, bool)
     for d in range(0, width, COLUMNS):
         seen = min(d + COLUMNS, width)
         x, q = turned[:, d:seen], queries[:, d:seen]
         slack = (1 + trust / np.sqrt(seen)) ** 2 if seen < width else 1 + 1e-5
-        if total is None:
-            every = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * q @ x.T
-            rows, cols = np.nonzero(every * (width / seen) <= (bounds * slack + 1e-6)[:, None])
-            total = every[rows, cols]
+        limit = (bounds * slack + 1e-6) * (seen / width)
+        if rows is None:
+            every += (x * x).sum(axis=1) - (2 * q) @ x.T
+            own += (q * q).sum(axis=1)
+            alive &= every <= (limit - own)[:, None]
+            if seen == width or np.count_nonzero(alive) * SPARSE < alive.size:
+                rows, cols = np.nonzero(alive)
+                total = every[rows, cols] + own[rows]
             continue
         gap = x[cols] - q[rows]
         total = total + np.einsum("ij,ij->i", gap, gap)
-        keep = total * (width / seen) <= bounds[rows] * slack + 1e-6
+        keep = total <= limit[rows]
         rows, cols, total = rows[keep], cols[keep], total[keep]
     return rows, cols
 
 
+def best(queries: np.ndarray, plain: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: np.ndarray, k: int):
+    """(query, candidate) numbers and exact scores of each query's ``k`` best of the given pairs, ties to the smaller ``least``."""
+    if len(rows) > 2 * k * len(queries):
+        # a product over all pairs tells which cannot be among them, but for its rounding
+        every = np.full((len(queries), len(plain)), -np.inf)
+        every[rows, cols] = (queries @ plain.T)[rows, cols]
+        if k < len(plain):
+            cut = np.partition(every, len(plain) - k, axis=1)[:, len(plain) - k]
+            room = 1e-12 * np.sqrt((queries * queries).sum(axis=1) * (plain * plain).sum(axis=1).max())
+            keep = every[rows, cols] >= (cut - room)[rows]
+            rows, cols = rows[keep], cols[keep]
+    scores = np.einsum("ij,ij->i", plain[cols], queries[rows])
+    order = np.lexsort((least[cols], -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], cols[first], scores[first]
+
+
 def _scan(index: Index, dims: int, k: int):
+    out = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_key, out_ids, out_score = [], [], []
-            for ids, plain, turned, keys, queries, bounds in zip(*[
-                batch.column(c).to_pylist() for c in ("ids", "plain", "turned", "keys", "queries", "bounds")
-            ]):
-                plain = np.frombuffer(plain, "<f4").reshape(-1, dims).astype(float)
-                turned = np.frombuffer(turned, "<f4").reshape(-1, dims + 1).astype(float)
-                queries = np.frombuffer(queries, "<f4").reshape(-1, dims).astype(float)
-                least = np.array([i[0] for i in ids])
-                rows, cols = survivors(index.rotate(queries, True), turned, np.frombuffer(bounds, "<f8"))
-                scores = np.einsum("ij,ij->i", plain[cols], queries[rows])
-                order = np.lexsort((least[cols], -scores, rows))
-                rows, cols, scores = rows[order], cols[order], scores[order]
-                nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                best = nth < k
-                out_key += [keys[i] for i in rows[best]]
-                out_ids += [ids[i] for i in cols[best]]
-                out_score += scores[best].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_key, pa.string()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_score, pa.float64())],
-                ["key", "ids", "score"],
-            )
+            for at in range(batch.num_rows):
+                ids, keys = batch.column("ids")[at].values, batch.column("keys")[at].values.to_numpy(zero_copy_only=False)
+                plain, turned, queries = (
+                    np.frombuffer(batch.column(c)[at].as_buffer(), "<f4").reshape(-1, width).astype(float)
+                    for c, width in (("plain", dims), ("turned", dims + 1), ("queries", dims))
+                )
+                bounds, asked = np.frombuffer(batch.column("bounds")[at].as_buffer(), "<f8"), index.rotate(queries, True)
+                least, found = pc.list_element(ids, 0).to_numpy(zero_copy_only=False), []
+                for i in range(0, len(queries), QUERY_BLOCK):
+                    tile = slice(i, i + QUERY_BLOCK)
+                    rows, cols, scores = best(queries[tile], plain, *survivors(asked[tile], turned, bounds[tile]), least, k)
+                    found.append((rows + i, cols, scores))
+                rows, cols, scores = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), ids.take(pa.array(cols)), pa.array(scores)], schema=out)
 
     return run
 
@@ -193,8 +239,10 @@ def nearest(
     # k + 1 ids of a vector are enough for the k nearest rows of any query, also of one that is among them
     copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     some = ok.select("id", "v").withColumn("nth", copy).filter(F.col("nth") <= k + 1)
-    distinct = with_row_key(
-        write_table(some.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "distinct"), "key"
+    # the key is written with its row, so it does not change
+    distinct = write_table(
+        some.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("key", F.monotonically_increasing_id()),
+        "distinct",
     )
     asked = write_table(
         ok.filter("asks").select(F.col("id").alias("query_id"), "v").join(distinct.select("v", "key"), "v")
@@ -205,21 +253,26 @@ def nearest(
     drawn = sorted(distinct.filter(chosen_by_hash(F.xxhash64("v"), sample, n)).select("v").collect())
     lists = min(MOST_LISTS, max(1, round(n**0.5)))
     index = Index(np.array([r[0] for r in drawn], float), radius, lists)
-    blocks = write_table(
-        map_arrow(distinct.select("v", "ids"), _lists(index), "list int, ids array<array<long>>, plain binary, turned binary"),
-        "lists",
-    )
+    form = "list int, ids array<array<long>>, plain binary, turned binary"
+    # every batch has a few vectors of every list; they are joined, and a list too large for a task is split by the rebalancing
+    pieces = map_arrow(distinct.select("v", "ids"), _lists(index), form)
+    blocks = write_table(map_arrow(pieces.hint("rebalance", "list").sortWithinPartitions("list"), _blocks, form), "lists")
     sizes = np.zeros(len(index.centres), np.int64)
     for r in blocks.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
         sizes[r[0]] = r[1]
     probes = max(LEAST_PROBES, int(np.ceil(len(sizes) * probe_share)))
-    asking = distinct.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
+    some_query = asked.select("key").distinct()
+    travel = -(-some_query.count() // QUERIES)
+    asking = distinct.join(some_query, "key", "left_semi").select("key", "v")
+    # the more vectors give the bound, the fewer pass it: about as many of either
+    enough = max(4 * (k + 1), int(np.ceil(((k + 1) * n) ** 0.5)))
 
     def scan(queries: DataFrame, first: bool) -> DataFrame:
         wanted = map_arrow(
-            queries, _probes(index, sizes, probes, 4 * (k + 1), first), "list int, keys array<string>, queries binary, bounds binary"
+            queries.repartition(max(1, travel)), _probes(index, sizes, probes, enough, first),
+            "list int, keys array<long>, queries binary, bounds binary",
         )
-        return map_arrow(blocks.join(wanted, "list"), _scan(index, dims, k + 1), "key string, ids array<long>, score double")
+        return map_arrow(blocks.join(wanted, "list"), _scan(index, dims, k + 1), "key long, ids array<long>, score double")
 
     head = write_table(scan(asking.withColumn("bound", F.lit(float("inf"))), True), "head")
     kth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -231,6 +232,73 @@ def test_tests_abandon_most_and_keep_the_best():
     assert lost <= 8 and kept < 0.1 * 40 * 3000
 
 
+def test_pairs_are_met_one_by_one_only_when_few_live(monkeypatch):
+    """Uniform vectors under a loose bound: the first tests abandon next to nothing, so they are matrix products."""
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(512, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = adaptive_scan.Index(x, 1.0, 20)
+    turned, asked = index.rotate(x), index.rotate(x[:64], True)
+    bounds = np.sort(2 - 2 * x[:64] @ x.T, axis=1)[:, 21]
+    want, width = set(), turned.shape[1]
+    for i, q in enumerate(asked):
+        for j, v in enumerate(turned):
+            far = np.cumsum((q - v) ** 2)
+            if all(far[d - 1] * width / d <= bounds[i] * ((1 + adaptive_scan.TRUST / d**0.5) ** 2 if d < width else 1 + 1e-5) + 1e-6
+                   for d in (16, 32, 48, 64, width)):
+                want.add((i, j))
+    singly, plain = [], np.einsum
+    monkeypatch.setattr(adaptive_scan.np, "einsum", lambda how, a, b: singly.append(len(a)) or plain(how, a, b))
+    rows, cols = adaptive_scan.survivors(asked, turned, bounds)
+    assert set(zip(rows.tolist(), cols.tolist())) == want
+    assert sum(singly) < 64 * 512 / adaptive_scan.SPARSE
+
+
+def test_best_of_a_tile_keeps_ties_to_smaller_ids():
+    rnd = np.random.default_rng(10)
+    plain, queries = rnd.integers(-2, 3, (300, 6)).astype(float), rnd.integers(-2, 3, (40, 6)).astype(float)
+    least, scores = rnd.permutation(300), queries @ plain.T
+    every = tuple(c.ravel() for c in np.indices(scores.shape))
+    some = np.flatnonzero(rnd.random(scores.size) < 0.5)
+    for pick in (np.arange(every[0].size), some, some[:50], some[:0]):
+        rows, cols, found = adaptive_scan.best(queries, plain, every[0][pick], every[1][pick], least, 7)
+        want = []
+        for q in range(40):
+            mine = sorted((-scores[q, c], least[c], c) for r, c in zip(every[0][pick], every[1][pick]) if r == q)
+            want += [(q, c, -s) for s, _, c in mine[:7]]
+        assert list(zip(rows.tolist(), cols.tolist(), found.tolist())) == want
+
+
+def test_lists_and_queries_travel_in_large_blocks():
+    """Whatever batches they come in: a list's pieces are joined, and up to 1,024 queries meet it in one row."""
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(1100, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = adaptive_scan.Index(x, 1.01, 6)
+    batches = [pa.record_batch({"v": pa.array(p.tolist(), pa.list_(pa.float32())), "ids": [[int(i)] for i in n]})
+               for p, n in zip(np.array_split(x, 50), np.array_split(np.arange(1100), 50))]
+    table = pa.Table.from_batches(list(adaptive_scan._lists(index)(iter(batches)))).sort_by("list").combine_chunks()
+    blocks = pa.Table.from_batches(list(adaptive_scan._blocks(iter(table.to_batches())))).to_pylist()
+    own, seen = index.order(index.rotate(x), 1)[:, 0], []
+    assert len(blocks) == sum(-(-int(n) // adaptive_scan.BLOCK) for n in np.bincount(own))
+    for b in blocks:
+        ids = [i for i, in b["ids"]]
+        seen += ids
+        assert len(ids) <= adaptive_scan.BLOCK and (own[ids] == b["list"]).all()
+        assert (np.frombuffer(b["plain"], "<f4").reshape(-1, 8) == x[ids]).all()
+        assert np.allclose(np.frombuffer(b["turned"], "<f4").reshape(-1, 9), index.rotate(x[ids]), atol=1e-6)
+    assert sorted(seen) == list(range(1100))
+    asking = pa.record_batch({"key": np.arange(1100), "v": pa.array(x.tolist(), pa.list_(pa.float32())), "bound": np.arange(1100.0)})
+    sizes = np.bincount(own, minlength=6)
+    both = [pa.Table.from_batches(list(adaptive_scan._probes(index, sizes, 6, 100, first)(iter([asking])))).to_pylist() for first in (True, False)]
+    assert len(both[0]) <= 2 * 6 and len(both[1]) <= 2 * 6
+    pairs = [(r["list"], k) for part in both for r in part for k in r["keys"]]
+    assert sorted(pairs) == [(i, k) for i in range(6) for k in range(1100)]
+    for r in both[1]:
+        assert (np.frombuffer(r["bounds"], "<f8") == r["keys"]).all()
+        assert (np.frombuffer(r["queries"], "<f4").reshape(-1, 8) == x[r["keys"]]).all()
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="driver tables are not here")
 def test_pipeline(spark):
     """Every stage's rows from its predecessor's, and the whole from run()."""
