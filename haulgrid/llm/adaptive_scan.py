@@ -272,7 +272,8 @@ def nearest(
             queries.repartition(max(1, travel)), _probes(index, sizes, probes, enough, first),
             "list int, keys array<long>, queries binary, bounds binary",
         )
-        return map_arrow(blocks.join(wanted, "list"), _scan(index, dims, k + 1), "key long, ids array<long>, score double")
+        # ``wanted`` holds every query once a list; its size would be guessed from the few queries it is made of, and broadcast
+        return map_arrow(blocks.join(wanted.hint("merge"), "list"), _scan(index, dims, k + 1), "key long, ids array<long>, score double")
 
     head = write_table(scan(asking.withColumn("bound", F.lit(float("inf"))), True), "head")
     kth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score")))

@@ -269,6 +269,20 @@ def test_best_of_a_tile_keeps_ties_to_smaller_ids():
         assert list(zip(rows.tolist(), cols.tolist(), found.tolist())) == want
 
 
+def test_neither_lists_nor_queries_are_broadcast(spark, monkeypatch):
+    """Queries are there once a list, but Spark would guess that table's size from the queries alone."""
+    plans, plain = [], adaptive_scan.map_arrow
+
+    def noted(df, function, schema):
+        if {"plain", "queries"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, function, schema)
+
+    monkeypatch.setattr(adaptive_scan, "map_arrow", noted)
+    run_nearest(spark, [(i, [float(i), 1.0]) for i in range(50)])
+    assert len(plans) == 2 and all("SortMergeJoin" in p.split("MapInArrow")[0] for p in plans)
+
+
 def test_lists_and_queries_travel_in_large_blocks():
     """Whatever batches they come in: a list's pieces are joined, and up to 1,024 queries meet it in one row."""
     rnd = np.random.default_rng(11)
