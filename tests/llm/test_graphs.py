@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from haulgrid.llm import parity_join
@@ -104,6 +105,53 @@ def test_copies_without_ids_make_one_link(spark):
     assert joined.components().count() == 1
 
 
+def join_of(spark, texts, parts=4):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("row", F.lit(None).cast("string"))
+    return parity_join._Join(df.repartition(parts, "id"), 5, 75)
+
+
+def words_of(rnd, n):
+    return ["".join(rnd.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+
+
+def test_a_passage_in_some_documents_makes_no_group(spark):
+    """Far fewer than a fixed share of all shingles; the documents have enough of their own to meet by."""
+    rnd = random.Random(3)
+    shared = words_of(rnd, 60)
+    joined = join_of(spark, [" ".join(words_of(rnd, 50) + shared + words_of(rnd, 50)) for _ in range(40)])
+    assert joined.groups().count() == 0
+
+
+def test_copies_are_in_a_group_once(spark):
+    rnd = random.Random(4)
+    text = words_of(rnd, 90)
+    groups = join_of(spark, [" ".join(text), " ".join([*text[:-1], "other"])] * 8, 8).groups()
+    assert groups.count() == groups.select("key", "set_id").distinct().count() > 0
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_sets_around_a_component(spark, monkeypatch, block):
+    """Near copies, and others not near enough, some of which are near each other; in blocks and at once."""
+    monkeypatch.setattr(parity_join, "MEET", block)
+    rnd = random.Random(5)
+    base, texts = words_of(rnd, 200), []
+    for changed in [1] * 30 + [7, 8, 9, 10, 11] * 6:
+        copy = list(base)
+        for at in rnd.sample(range(200), changed):
+            copy[at] = words_of(rnd, 1)[0]
+        texts.append(" ".join(copy))
+        if changed == 9:
+            copy[rnd.randrange(200)] = "edit"
+            texts.append(" ".join(copy))
+    joined, rows = join_of(spark, texts), list(enumerate(texts))
+    got = {r.id: r.component_id for r in parity_join._labelled(joined.docs, 5, 75).collect()}
+    assert [(i, n, got[i]) for i, n, _ in components(rows)[0]] == components(rows)[0]
+    named = {}
+    for i, component in got.items():
+        named.setdefault(component, []).append(i)
+    assert max(map(len, named.values())) >= 30 and len(named) >= 6
+
+
 def test_keep_one(spark):
     rows = corpus()
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, component string")
